@@ -17,8 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.scratch import materialize
+
 ADDED = ("copy_no", "n_copies", "shuffle_key")
 _HEX = 13  # hex digits of the uniform number: 52 bits, exact in a double
+#: Sources whose rates are broadcast; more are joined by (source, salt).
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 _TABLE = 64  # entries of the cumulative table beyond the mean
 
 
@@ -43,7 +48,7 @@ def poisson_table(rate: Column, entries: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, total_rate: float, source_col: str) -> DataFrame:
-    """Per source: n_rows, rate, cdf. One row per source, so Spark may broadcast it after looking at its size."""
+    """Per source: n_rows, rate, cdf; one row per source."""
     counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
     weight = F.lit(float(default_weight))
     for name, w in weights.items():
@@ -72,12 +77,17 @@ def mix_sources(
 
     total_rate is the expected number of rows as a multiple of the input's.
     """
-    rates = source_rates(docs, weights, default_weight, total_rate, source_col)
+    rates = materialize(source_rates(docs, weights, default_weight, total_rate, source_col)).select("mix_source", "cdf")
     u = uniform(seed, F.col(id_col))
+    tagged = docs.withColumn("mix_source", F.coalesce(F.col(source_col), F.lit("")))
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = tagged.join(F.broadcast(rates), "mix_source")
+    else:  # deal each source's documents over SALTS keys; the table of rates is repeated for each
+        salted = tagged.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        copies = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, ["mix_source", "mix_salt"]).drop("mix_salt")
     drawn = (
-        docs.withColumn("mix_source", F.coalesce(F.col(source_col), F.lit("")))
-        .join(rates.select("mix_source", "cdf"), "mix_source")
-        .withColumn("mix_u", u)
+        joined.withColumn("mix_u", u)
         .withColumn("n_copies", F.size(F.filter("cdf", lambda c: F.col("mix_u") >= c)))
         .drop("cdf", "mix_u", "mix_source")
         .where("n_copies > 0")
