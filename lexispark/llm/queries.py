@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import mixing
+from lexispark.llm import decontaminate, mixing, quality
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,16 @@ FROM t
 """
 
 
+def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(spark, sf_dir)
+
+
+def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op6_stream_dedup)}
+    return {f.__name__: f for f in (op1_poisson_mix, op6_stream_dedup, op8_pairwise_quality, op10_suffix_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
