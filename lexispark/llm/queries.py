@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, mixing, quality
+from lexispark.llm import decontaminate, mixing, page_text, quality, secrets
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +31,24 @@ FROM t
 """
 
 
+def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.query(spark, sf_dir)
+
+
 def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(spark, sf_dir)
 
 
+def op9_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(spark, sf_dir)
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op6_stream_dedup, op8_pairwise_quality, op10_suffix_automaton)}
+    return {f.__name__: f for f in (op1_poisson_mix, op3_tag_paths, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
