@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, mixing, page_text, quality, secrets
+from lexispark.llm import decontaminate, langid, mixing, page_text, quality, secrets
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, sf_dir)
 
 
+def op5_chain_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(spark, sf_dir)
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -48,7 +52,7 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op3_tag_paths, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
+    return {f.__name__: f for f in (op1_poisson_mix, op3_tag_paths, op5_chain_langid, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
