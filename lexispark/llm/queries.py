@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, langid, mixing, page_text, quality, secrets
+from lexispark.llm import decontaminate, langid, mixing, page_text, quality, secrets, substring_dedup
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ FROM t
 """
 
 
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.query(spark, sf_dir)
+
+
 def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.query(spark, sf_dir)
 
@@ -52,7 +56,7 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op3_tag_paths, op5_chain_langid, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op5_chain_langid, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
