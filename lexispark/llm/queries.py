@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, langid, mixing, page_text, quality, secrets, substring_dedup
+from lexispark.llm import decontaminate, langid, mixing, ngram_join, page_text, quality, secrets, substring_dedup
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, sf_dir)
 
 
+def op4_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.query(spark, sf_dir)
+
+
 def op5_chain_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(spark, sf_dir)
 
@@ -56,7 +60,7 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op5_chain_langid, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op4_vertical_jaccard, op5_chain_langid, op6_stream_dedup, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
