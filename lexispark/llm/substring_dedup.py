@@ -216,7 +216,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc, start, n): runs of n consecutive windows of a document, from word `start`, that also start earlier."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = _texts(docs, id_col, text_col)
     anchors = over_texts(texts, "id", "text", "key bigint, doc bigint", _anchor_rows(window, anchor))
     upper = F.shiftrightunsigned("key", _KEY_BITS)
     bare = F.col("key").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
@@ -243,8 +243,14 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, anchor
     """id, text, and spans: array of (start, n) of the removed windows; null without any."""
     found = repeated_windows(docs, id_col, text_col, window, anchor)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(spans, texts["id"] == spans["doc"], "left").select("id", "text", "spans")
+    # the same exchange of texts by id as the one for the anchors' join
+    texts = _texts(docs, id_col, text_col)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("spans"))
+    return texts.join(spans, texts["id"] == spans["doc"], "left").select("id", "text", "spans").unionByName(nameless)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
