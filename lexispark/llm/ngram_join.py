@@ -9,12 +9,14 @@ The order is also cut into FRAGMENTS. A document's set is stored in one segment
 fragment; a pair's overlap is counted fragment by fragment, and the partial overlaps are
 summed per pair.
 
-Nothing needs all pairs of a large group of near copies. Each document is first compared
-with the least id of one of its prefix buckets. Then only buckets whose documents are not
-yet in one component are searched for pairs, in blocks of bounded size, between different
-components, after a size filter and an exact lower bound of the symmetric difference from
-folded bit strings. Every pair of a bucket is so either linked through its component,
-excluded by the bounds, or counted.
+Nothing needs all pairs of a large group of near copies. Each document is first paired
+with the least id of the prefix bucket in which it shares most; an exact lower bound of
+the symmetric difference, from folded bit strings, drops pairs that cannot be links. Then
+buckets are searched, in blocks of bounded size, for pairs between documents that those
+pairs do not connect, under a size filter and the same bound. All pairs found are counted.
+Where counting breaks up a group that the first pairs seemed to connect, the pairs inside
+it are searched and counted in the same way. So every pair of a bucket is linked through
+its component, excluded by a bound, or counted.
 
 Shingles are compared by 64-bit hashes in candidate search and by 43 bits of them in
 counting. Documents with equal sets (64-bit sum of hashes, and size) are joined first.
@@ -166,31 +168,55 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(ids: pa.Array, texts: pa.Array):
-    """One row per document and fragment: set size, 40-bit offsets (five bytes each), and in fragment 0 the folded bits."""
+    """One row per document and fragment: set size, 40-bit offsets (five bytes each)."""
     row, h = shingle_sets(texts)
     if not len(row):
         return None
     n = len(texts)
     size, _ = _sizes(row, n)
-    some = np.flatnonzero(size)
     cut = row * FRAGMENTS + (h >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
     edges = np.searchsorted(cut, np.arange(n * FRAGMENTS + 1))
     offset = (h >> np.uint64(64 - FRAGMENT_BITS - OFFSET_BITS)) & np.uint64((1 << OFFSET_BITS) - 1)
     raw = np.ascontiguousarray(offset.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-    folded = np.bincount(row * FOLD_BITS + (tv.mix(h) % np.uint64(FOLD_BITS)).astype(np.int64), minlength=n * FOLD_BITS).reshape(n, FOLD_BITS) & 1
-    bits = np.packbits(folded.astype(np.uint8), axis=1)
-    doc, fragment, sizes, segment, fold = [], [], [], [], []
-    ids = np.asarray(ids)
-    for i in some.tolist():
-        for f in range(FRAGMENTS):
-            lo, hi = edges[i * FRAGMENTS + f], edges[i * FRAGMENTS + f + 1]
-            if hi > lo or f == 0:
-                doc.append(ids[i])
-                fragment.append(f)
-                sizes.append(size[i])
-                segment.append(raw[5 * lo : 5 * hi])
-                fold.append(bits[i].tobytes() if f == 0 else None)
-    return {"doc": np.array(doc), "fragment": np.array(fragment, np.int32), "size": np.array(sizes), "segment": segment, "fold": fold}
+    full = np.flatnonzero(np.repeat(size > 0, FRAGMENTS))
+    return {
+        "doc": np.asarray(ids)[full // FRAGMENTS],
+        "fragment": (full % FRAGMENTS).astype(np.int32),
+        "size": size[full // FRAGMENTS],
+        "segment": [raw[5 * lo : 5 * hi] for lo, hi in zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)],
+    }
+
+
+def _folds(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """FOLD_BITS bits per row: each shingle flips one, so two rows differ in no more bits than their sets in shingles."""
+    flips = np.bincount(row * FOLD_BITS + (tv.mix(h) % np.uint64(FOLD_BITS)).astype(np.int64), minlength=n * FOLD_BITS)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n, FOLD_BITS), axis=1)
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _may_link(apart: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """overlap/union >= t if and only if difference <= (1-t)/(1+t) (sum of sizes)."""
+    return apart * (WHOLE + PART) <= sizes * (WHOLE - PART)
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size_a, size_b = np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b"))
+        apart = np.bitwise_count(_bits(batch.column("fold_a")) ^ _bits(batch.column("fold_b"))).sum(1, dtype=np.int64)
+        ok = _may_link(apart, size_a + size_b) & (np.minimum(size_a, size_b) * WHOLE >= np.maximum(size_a, size_b) * PART)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], ["a", "b"])
+
+
+def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the bounds on sizes and folded bits leave."""
+    left = nodes.select(F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("fold").alias("fold_a"))
+    right = nodes.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("fold").alias("fold_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "fold_a", "fold_b").mapInArrow(_prune, "a bigint, b bigint")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -228,47 +254,44 @@ def similar(overlaps: DataFrame) -> DataFrame:
     return overlaps.where(F.col("overlap") * WHOLE >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * PART).select("a", "b")
 
 
+_GROUP = ("h", "grp", "i", "j")
+
+
 def _bucket_pairs(block_pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (h, i, j): pairs of one group in different components that the bounds do not exclude."""
+    """Of rows by group: pairs of one group in different components that the bounds leave."""
     held: list[pa.RecordBatch] = []
 
     def group(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows).combine_chunks()
         col = {n: t.column(n).to_numpy() for n in ("i", "j", "blk", "doc", "component", "size")}
-        bits = np.frombuffer(t.column("fold").combine_chunks().buffers()[2], np.uint64) if t.num_rows else np.zeros(0, np.uint64)
-        bits = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("fold").combine_chunks()])
         cross = col["i"][0] != col["j"][0]
         order = np.argsort(col["size"], kind="stable")
-        doc, comp, size, blk, bits = col["doc"][order], col["component"][order], col["size"][order], col["blk"][order], bits[order]
-        m = len(doc)
+        doc, comp, size, blk, bits = col["doc"][order], col["component"][order], col["size"][order], col["blk"][order], _bits(t.column("fold"))[order]
         # partners of x, at or after x by size: sizes up to WHOLE/PART of its own
         reach = np.searchsorted(size, size * WHOLE // PART, side="right")
-        for x in range(m):
+        for x in range(len(doc)):
             lo, hi = x + 1, int(reach[x])
             if hi <= lo:
                 continue
             may = np.flatnonzero((comp[lo:hi] != comp[x]) & ((blk[lo:hi] != blk[x]) if cross else True)) + lo
             if not len(may):
                 continue
-            apart = np.bitwise_count(bits[may] ^ bits[x]).sum(1, dtype=np.int64)
-            # overlap/union >= t  <=>  difference <= (1-t)/(1+t) (sum of sizes)
-            may = may[apart * (WHOLE + PART) <= (size[may] + size[x]) * (WHOLE - PART)]
+            may = may[_may_link(np.bitwise_count(bits[may] ^ bits[x]).sum(1, dtype=np.int64), size[may] + size[x])]
             if len(may):
-                a, b = np.maximum(doc[may], doc[x]), np.minimum(doc[may], doc[x])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[may], doc[x])), pa.array(np.minimum(doc[may], doc[x]))], ["a", "b"])
 
-    def key(batch: pa.RecordBatch, at: int) -> tuple:
-        return tuple(batch.column(n)[at].as_py() for n in ("h", "i", "j"))
+    def key(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(n)[0].as_py() for n in _GROUP)
 
     for batch in block_pairs:
-        h, i, j = (np.asarray(batch.column(n)) for n in ("h", "i", "j"))
-        if not len(h):
+        if not batch.num_rows:
             continue
-        edges = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = [0, *edges.tolist(), len(h)]
+        columns = [np.asarray(batch.column(n)) for n in _GROUP]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *edges.tolist(), batch.num_rows]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             part = batch.slice(lo, hi - lo)
-            if held and key(held[0], 0) != key(part, 0):
+            if held and key(held[0]) != key(part):
                 yield from group(held)
                 held = []
             held.append(part)
@@ -276,23 +299,24 @@ def _bucket_pairs(block_pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from group(held)
 
 
-def _open_pairs(buckets: DataFrame, known: DataFrame, segments: DataFrame, width: int) -> DataFrame:
-    """Pairs of documents that share a bucket and no component, unless the bounds exclude them."""
-    label = known.select(F.col("node").alias("doc"), "component")
-    named = buckets.select("h", "doc").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = named.join(mixed.select("h", blocks.alias("blocks")), "h")
+def _named(buckets: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    known = label.select(F.col("node").alias("doc"), F.col("component").alias(name))
+    return buckets.join(known, "doc", "left").withColumn(name, F.coalesce(name, "doc"))
+
+
+def _open_pairs(named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Pairs of rows (h, doc, grp, component) that share h and grp and not component, unless the bounds exclude them."""
+    mixed = named.groupBy("h", "grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
+    rows = named.join(mixed.select("h", "grp", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks")), ["h", "grp"])
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("h", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc", "component")
-    folds = segments.where("fragment = 0").select("doc", "size", "fold")
-    full = rows.join(folds, "doc").select("h", "i", "j", "blk", "doc", "component", "size", "fold")
-    dealt = full.repartition(width, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    rows = rows.select("h", "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc", "component")
+    full = rows.join(nodes.select("doc", "size", "fold"), "doc").select(*_GROUP, "blk", "doc", "component", "size", "fold")
+    dealt = full.repartition(width, *_GROUP).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(_bucket_pairs, "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc, size, signature; one row per row with an id and a shingle) and links (a, b) that connect the same
+    """Nodes (doc, size, signature, fold: one row per id with a shingle) and links (a, b) that connect the same
     documents as all pairs of PART/WHOLE similarity or more do."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -303,32 +327,44 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         size, first = _sizes(row, len(part))
         some = size > 0
         sums = np.add.reduceat(tv.mix(h), first[some]) if some.any() else np.zeros(0, np.uint64)
-        return {"doc": np.asarray(ids)[some], "size": size[some], "signature": sums.view(np.int64)}
+        folds = [f.tobytes() for f in _folds(row, h, len(part))[some]]
+        return {"doc": np.asarray(ids)[some], "size": size[some], "signature": sums.view(np.int64), "fold": folds}
 
-    nodes = materialize(over_texts(texts, "id", "text", "doc bigint, size bigint, signature bigint", sign))
+    nodes = materialize(over_texts(texts, "id", "text", "doc bigint, size bigint, signature bigint, fold binary", sign).dropDuplicates(["doc"]))
     first = nodes.groupBy("signature", "size").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("most > b")
-    equal = nodes.join(first, ["signature", "size"]).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+    equal = nodes.select("doc", "signature", "size").join(first, ["signature", "size"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
 
     prefixes = over_texts(texts, "id", "text", "h bigint, doc bigint", _prefix_rows(frequent_bins(texts)))
     buckets = materialize(prefixes.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_buckets, "h bigint, doc bigint, leader bigint"))
-    members = buckets.select("doc").distinct()
-    segments = materialize(over_texts(texts.join(members, texts["id"] == members["doc"], "left_semi"), "id", "text", "doc bigint, fragment int, size bigint, segment binary, fold binary", _segments).dropDuplicates(["doc", "fragment"]))
 
-    # one comparison per document: the leader with which it shares most of its prefix
+    # one pair per document: the leader with which it shares most of its prefix
     shared = buckets.where("doc <> leader").groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("doc").agg(F.max(F.struct("n", (-F.col("leader")).alias("neg"))).alias("best"))
-    pairs = best.select(F.col("doc").alias("a"), (-F.col("best.neg")).alias("b"))
-    found = materialize(similar(count_overlaps(pairs, segments)).unionByName(equal))
-    rest = materialize(_open_pairs(buckets, components(found), segments, width))
-    more = similar(count_overlaps(rest, segments))
-    return nodes, materialize(found.unionByName(more))
+    likely = materialize(prune(best.select(F.col("doc").alias("a"), (-F.col("best.neg")).alias("b")), nodes).unionByName(equal).distinct())
+    guess = components(likely)
+    among = _named(buckets.select("h", "doc"), guess, "component").withColumn("grp", F.lit(0).cast("bigint"))
+    others = materialize(_open_pairs(among, nodes, width))
+
+    pairs = likely.unionByName(others)
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    chosen = texts.join(wanted, texts["id"] == wanted["doc"], "left_semi").dropDuplicates(["id"])
+    segments = materialize(over_texts(chosen, "id", "text", "doc bigint, fragment int, size bigint, segment binary", _segments))
+    found = materialize(similar(count_overlaps(pairs, segments)))
+
+    lost = likely.join(found, ["a", "b"], "left_anti")
+    if lost.isEmpty():
+        return nodes, found
+    # groups that the likely pairs seemed to connect: search inside them, between what is connected indeed
+    inside = _named(_named(buckets.select("h", "doc"), guess, "grp"), components(found), "component")
+    more = materialize(similar(count_overlaps(_open_pairs(inside, nodes, width), segments)))
+    return nodes, found.unionByName(more)
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs."""
     nodes, linked = links(docs, id_col, text_col)
     label = components(linked)
-    known = nodes.groupBy("doc").agg(F.max("size").alias("size")).join(label, nodes["doc"] == label["node"], "left")
+    known = nodes.join(label, nodes["doc"] == label["node"], "left")
     known = known.select("doc", "size", F.coalesce("component", "doc").alias("component"))
     ids = docs.select(F.col(id_col).alias("doc_id"))
     out = ids.join(known, ids["doc_id"].cast("bigint") == known["doc"], "left")
