@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lexispark.plans import registry, text_queries, vector_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
