@@ -33,7 +33,8 @@ from lexispark.llm.scratch import scratch_dir, shuffle_width
 
 END_ID = 0
 SLICE = 8 << 20
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
+AT_ONCE = 10_000
 
 SEGMENT = (
     "part int, segment int, n_tokens bigint, has_id binary, doc_ids binary, doc_tokens binary, "
@@ -126,7 +127,7 @@ class PieceEncoder:
         return np.concatenate([np.array(x, np.int32) for x in made] or [np.zeros(0, np.int32)]), np.array([len(x) for x in made], np.int64)
 
     def _learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        made = [e.ids for i in range(0, len(pieces), AT_ONCE) for e in self.tokenizer.encode_batch_fast(pieces[i : i + AT_ONCE], add_special_tokens=False)]
         count = len(self.first) - 1
         sizes = np.array([len(x) for x in made], np.int64)
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
