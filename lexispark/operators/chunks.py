@@ -12,14 +12,14 @@ def chunk(docs: DataFrame, size: int = 200, overlap: int = 40, id_col: str = "do
     """doc_id, chunk_idx, total_chunks, chunk_words, chunk. Texts without words have no chunks."""
     pieces = tx.windows(tx.words(F.col(text_col)), size, size - overlap)
     made = docs.select(F.col(id_col), pieces.alias("pieces"))
-    made = made.select(id_col, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_idx", "ws"))
+    made = made.select(id_col, F.size("pieces").alias("total_chunks"), F.posexplode_outer("pieces").alias("chunk_idx", "ws")).where("ws is not null")
     return made.select(id_col, "chunk_idx", "total_chunks", F.size("ws").alias("chunk_words"), F.array_join("ws", " ").alias("chunk"))
 
 
 def segments(docs: DataFrame, size: int = 180, least: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, seq, segment: windows without overlap, short ones dropped before numbering (from 1)."""
     kept = F.filter(F.transform(tx.windows(tx.words(F.col(text_col)), size, size), lambda ws: F.array_join(ws, " ")), lambda s: F.length(s) >= least)
-    return docs.select(F.col(id_col), F.posexplode(kept).alias("at", "segment")).select(id_col, (F.col("at") + 1).alias("seq"), "segment")
+    return docs.select(F.col(id_col), F.posexplode_outer(kept).alias("at", "segment")).where("segment is not null").select(id_col, (F.col("at") + 1).alias("seq"), "segment")
 
 
 def paragraphs(docs: DataFrame, longer_than: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -89,7 +89,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, df, cf over the collection."""
-    each = docs.select(F.col(id_col).alias("d"), F.explode(tx.tokens(F.col(text_col))).alias("term")).groupBy("term", "d").agg(F.count(F.lit(1)).alias("tf"))
+    each = docs.select(F.col(id_col).alias("d"), F.explode_outer(tx.tokens(F.col(text_col))).alias("term")).where("term is not null").groupBy("term", "d").agg(F.count(F.lit(1)).alias("tf"))
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -103,7 +103,7 @@ def fts_terms_df(spark, sf):
 WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), e AS (SELECT doc_id, ts[i] AS term, i - 1 AS p FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM t))
 SELECT term, doc_id, count(*)::INTEGER AS tf, min(p)::INTEGER AS first_position FROM e WHERE length(term) >= 9 GROUP BY term, doc_id""")
 def fts_postings_long_terms(spark, sf):
-    at = F.posexplode(tx.tokens(F.col("text"))).alias("p", "term")
+    at = F.posexplode_outer(tx.tokens(F.col("text"))).alias("p", "term")
     rows = table(spark, sf, "documents").select("doc_id", at).where(F.length("term") >= 9)
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("p").alias("first_position"))
 
@@ -224,6 +224,7 @@ s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 5], ' ') AS g FROM (SELECT id
 
 
 def _six(rows, key):
+    """Six-word shingles. To be exploded with explode_outer: for explode, Spark derives a size filter and pushes the whole expression below."""
     ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
     return rows.select(key, ws.alias("ws")).select(key, tx.shingles(F.col("ws"), 6).alias("gs"))
 
@@ -232,7 +233,7 @@ def _six(rows, key):
 , h AS (SELECT g, min(id) AS first_id, count(*) AS holders FROM s GROUP BY g)
 SELECT s.id AS doc_id, count(*) AS n_shingles, count(*) FILTER (holders > 1) AS n_shared, count(*) FILTER (first_id < s.id) AS n_seen_before FROM s JOIN h USING (g) GROUP BY s.id""")
 def dup_docs_shingle6(spark, sf):
-    rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode("gs").alias("g")).select("doc_id", F.xxhash64("g").alias("g"))
+    rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode_outer("gs").alias("g")).where("g is not null").select("doc_id", F.xxhash64("g").alias("g"))
     per = rows.groupBy("g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("holders"))
     joined = rows.join(per, "g")
     return joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.count_if(F.col("holders") > 1).alias("n_shared"), F.count_if(F.col("first_id") < F.col("doc_id")).alias("n_seen_before"))
@@ -244,7 +245,7 @@ b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 5], ' ') AS g FROM (SELE
 SELECT item_id, s.id AS doc_id, count(*) AS shared, round(count(*) / any_value(n), 6) AS containment
 FROM b JOIN s USING (g) JOIN (SELECT item_id, count(*) AS n FROM b GROUP BY item_id) USING (item_id) GROUP BY item_id, s.id HAVING count(*) * 2 >= any_value(n)""")
 def benchmark_containment(spark, sf):
-    items = _six(table(spark, sf, "benchmark"), "item_id").select("item_id", F.size("gs").alias("n"), F.explode("gs").alias("g"))
-    rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode("gs").alias("g"))
+    items = _six(table(spark, sf, "benchmark"), "item_id").select("item_id", F.size("gs").alias("n"), F.explode_outer("gs").alias("g")).where("g is not null")
+    rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode_outer("gs").alias("g")).where("g is not null")
     hits = rows.join(items, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).where("shared * 2 >= n")
     return hits.select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
