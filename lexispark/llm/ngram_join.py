@@ -2,8 +2,10 @@
 
 The n-grams (word shingles) of all documents stand in one global order: first those of
 ordinary buckets of a document-frequency histogram, then the very frequent ones, each by
-hash. A document's candidates share one of its first n - ceil(t n) + 1 shingles in that
-order (its prefix), as every pair with Jaccard similarity t or more does.
+hash. A document's prefix is its first n - ceil(t n) + m shingles in that order. Of two
+documents with Jaccard similarity t or more, the one whose prefix ends first has at most
+ceil(t n) - m shingles behind it and shares ceil(t n) at least, so m of them in both
+prefixes: candidates share as many as the smaller m (1, more for long documents).
 
 The order is also cut into FRAGMENTS. A document's set is stored in one segment per
 fragment; a pair's overlap is counted fragment by fragment, and the partial overlaps are
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
@@ -48,7 +50,11 @@ FRAGMENT_BITS, OFFSET_BITS = 3, 40
 FRAGMENTS = 1 << FRAGMENT_BITS
 #: The histogram has 2^BIN_BITS counters whatever the corpus' size; a bin is frequent from FREQUENT times the mean on.
 BIN_BITS, PIECE_BITS, FREQUENT, LEAST_FREQUENT = 20, 14, 8, 64
-FOLD_BITS = 2048
+FOLD_BITS, SMALL_FOLD_BITS = 2048, 512
+#: Sets over LONG shingles have a longer prefix, so that similar ones share more of it: one shingle more for each STEP.
+LONG, STEP = 512, 16
+#: Groups of up to this many are compared side by side.
+SMALL_GROUP = 32
 #: Members of a bucket that are compared in one group; larger buckets are compared in pairs of blocks.
 BLOCK = 16_384
 
@@ -115,6 +121,15 @@ def frequent_bins(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def least_shared(size):
+    """How many prefix shingles two similar sets share at least: the smaller of their numbers."""
+    return 1 + np.maximum(size - LONG, 0) // STEP
+
+
+def _least_shared(size: Column) -> Column:
+    return F.lit(1) + F.floor(F.greatest(size - LONG, F.lit(0)) / STEP)
+
+
 def _prefix_rows(frequent: np.ndarray):
     packed = np.packbits(frequent)
 
@@ -131,7 +146,7 @@ def _prefix_rows(frequent: np.ndarray):
         late = np.unpackbits(packed).view(bool)[h >> np.uint64(64 - BIN_BITS)]
         order = np.lexsort((h, late, row))
         rank = np.arange(len(h)) - first[row]
-        take = (rank < (size - -(-size * PART // WHOLE) + 1)[row]) & own[row]
+        take = (rank < (size - -(-size * PART // WHOLE) + least_shared(size))[row]) & own[row]
         return {"h": h[order][take].view(np.int64), "doc": np.asarray(ids)[row[take]]}
 
     return emit
@@ -213,10 +228,12 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the bounds on sizes and folded bits leave."""
+    """Of pairs (a, b, n: prefix shingles shared), (a, b) of those that the bounds on n, sizes and folded bits leave."""
     left = nodes.select(F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("fold").alias("fold_a"))
     right = nodes.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("fold").alias("fold_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "fold_a", "fold_b").mapInArrow(_prune, "a bigint, b bigint")
+    enough = F.col("n") >= _least_shared(F.least("size_a", "size_b"))
+    sized = pairs.join(left.drop("fold_a"), "a").join(right.drop("fold_b"), "b").where(enough).select("a", "b")
+    return sized.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "fold_a", "fold_b").mapInArrow(_prune, "a bigint, b bigint")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -283,18 +300,50 @@ def _bucket_pairs(block_pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     def key(batch: pa.RecordBatch) -> tuple:
         return tuple(batch.column(n)[0].as_py() for n in _GROUP)
 
+    def small(rows: pa.RecordBatch, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs inside groups of up to SMALL_GROUP rows, for all of them at once; member numbers the groups."""
+        col = {n: np.asarray(rows.column(n)) for n in ("i", "j", "blk", "doc", "component", "size")}
+        bits = _bits(rows.column("fold"))
+        for d in range(1, min(SMALL_GROUP, len(member))):
+            x = np.flatnonzero(member[d:] == member[:-d])
+            if not len(x):
+                break
+            y = x + d
+            sx, sy = col["size"][x], col["size"][y]
+            ok = (col["component"][x] != col["component"][y]) & (np.minimum(sx, sy) * WHOLE >= np.maximum(sx, sy) * PART)
+            ok &= (col["i"][x] == col["j"][x]) | (col["blk"][x] != col["blk"][y])
+            x, y = x[ok], y[ok]
+            ok = _may_link(np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64), col["size"][x] + col["size"][y])
+            if ok.any():
+                a, b = col["doc"][x[ok]], col["doc"][y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
     for batch in block_pairs:
         if not batch.num_rows:
             continue
         columns = [np.asarray(batch.column(n)) for n in _GROUP]
         edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        bounds = [0, *edges.tolist(), batch.num_rows]
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            part = batch.slice(lo, hi - lo)
-            if held and key(held[0]) != key(part):
-                yield from group(held)
-                held = []
-            held.append(part)
+        bounds = np.concatenate(([0], edges, [batch.num_rows]))
+        # the first group may go on from the last batch, and the last into the next
+        first = batch.slice(0, bounds[1])
+        if held and key(held[0]) != key(first):
+            yield from group(held)
+            held = []
+        held.append(first)
+        if len(bounds) == 2:
+            continue
+        yield from group(held)
+        held = [batch.slice(bounds[-2])]
+        counts = np.diff(bounds)[1:-1]
+        if len(counts):
+            inner = batch.slice(bounds[1], bounds[-2] - bounds[1])
+            member = np.repeat(np.arange(len(counts)), counts)
+            few = counts <= SMALL_GROUP
+            keep = np.flatnonzero(few[member])
+            if len(keep):
+                yield from small(inner.take(pa.array(keep)), member[keep])
+            for g in np.flatnonzero(~few).tolist():
+                yield from group([batch.slice(bounds[g + 1], counts[g])])
     if held:
         yield from group(held)
 
@@ -310,13 +359,14 @@ def _open_pairs(named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     rows = named.join(mixed.select("h", "grp", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int").alias("blocks")), ["h", "grp"])
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("h", "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc", "component")
-    full = rows.join(nodes.select("doc", "size", "fold"), "doc").select(*_GROUP, "blk", "doc", "component", "size", "fold")
+    full = rows.join(nodes.select("doc", "size", F.col("small_fold").alias("fold")), "doc").select(*_GROUP, "blk", "doc", "component", "size", "fold")
     dealt = full.repartition(width, *_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.mapInArrow(_bucket_pairs, "a bigint, b bigint").distinct()
+    shared = dealt.mapInArrow(_bucket_pairs, "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return prune(shared, nodes)
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc, size, signature, fold: one row per id with a shingle) and links (a, b) that connect the same
+    """Nodes (doc, size, signature, folded bits: one row per id with a shingle) and links (a, b) that connect the same
     documents as all pairs of PART/WHOLE similarity or more do."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -327,10 +377,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         size, first = _sizes(row, len(part))
         some = size > 0
         sums = np.add.reduceat(tv.mix(h), first[some]) if some.any() else np.zeros(0, np.uint64)
-        folds = [f.tobytes() for f in _folds(row, h, len(part))[some]]
-        return {"doc": np.asarray(ids)[some], "size": size[some], "signature": sums.view(np.int64), "fold": folds}
+        folds = _folds(row, h, len(part))[some]
+        small = np.bitwise_xor.reduce(folds.reshape(len(folds), -1, SMALL_FOLD_BITS // 8), axis=1)
+        bits = {"fold": [f.tobytes() for f in folds], "small_fold": [f.tobytes() for f in small]}
+        return {"doc": np.asarray(ids)[some], "size": size[some], "signature": sums.view(np.int64)} | bits
 
-    nodes = materialize(over_texts(texts, "id", "text", "doc bigint, size bigint, signature bigint, fold binary", sign).dropDuplicates(["doc"]))
+    nodes = materialize(over_texts(texts, "id", "text", "doc bigint, size bigint, signature bigint, fold binary, small_fold binary", sign).dropDuplicates(["doc"]))
     first = nodes.groupBy("signature", "size").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("most > b")
     equal = nodes.select("doc", "signature", "size").join(first, ["signature", "size"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
 
@@ -340,7 +392,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # one pair per document: the leader with which it shares most of its prefix
     shared = buckets.where("doc <> leader").groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("doc").agg(F.max(F.struct("n", (-F.col("leader")).alias("neg"))).alias("best"))
-    likely = materialize(prune(best.select(F.col("doc").alias("a"), (-F.col("best.neg")).alias("b")), nodes).unionByName(equal).distinct())
+    likely = materialize(prune(best.select(F.col("doc").alias("a"), (-F.col("best.neg")).alias("b"), F.col("best.n").alias("n")), nodes).unionByName(equal).distinct())
     guess = components(likely)
     among = _named(buckets.select("h", "doc"), guess, "component").withColumn("grp", F.lit(0).cast("bigint"))
     others = materialize(_open_pairs(among, nodes, width))

@@ -72,3 +72,12 @@ def test_edges(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in nj.join_components(d).collect())[:2] == [("1", 7, "1"), ("1", 7, "1")]
     assert sorted((r.doc_id or 0, r.doc) for r in nj.keep_first(d).collect()) == [(0, 2), (1, 1), (1, 1), (3, 3)]
     assert nj.join_components(d.limit(0)).count() == 0 and nj.keep_first(d.limit(0)).columns == d.columns
+
+
+def test_long_documents_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(nj, "LONG", 20)
+    monkeypatch.setattr(nj, "STEP", 3)
+    monkeypatch.setattr(nj, "SMALL_GROUP", 3)
+    rows = made(6)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(nj.join_components(d)) == nj.brute_force(rows)
