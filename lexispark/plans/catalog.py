@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.plans import registry, text_queries, vector_queries  # noqa: F401
+from lexispark.plans import check_queries, registry, store_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:
