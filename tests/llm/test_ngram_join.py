@@ -74,10 +74,16 @@ def test_edges(spark):
     assert nj.join_components(d.limit(0)).count() == 0 and nj.keep_first(d.limit(0)).columns == d.columns
 
 
-def test_long_documents_and_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(nj, "LONG", 20)
-    monkeypatch.setattr(nj, "STEP", 3)
-    monkeypatch.setattr(nj, "SMALL_GROUP", 3)
-    rows = made(6)
+def test_long_documents_and_large_groups(spark):
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    base = [[word() for _ in range(2500)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        ws = list(base[i % 3])
+        for _ in range(rnd.choice([0, 20, 70, 75, 80, 85, 200])):  # about 75 changed words leave a similarity of 3 in 4
+            ws[rnd.randrange(len(ws))] = word()
+        rows.append((i, " ".join(ws if i % 5 else ws[: rnd.randrange(1700, 2500)])))
+    rows += [(200 + i, " ".join(base[0][:300] + [word() for _ in range(1800)])) for i in range(45)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(nj.join_components(d)) == nj.brute_force(rows)
