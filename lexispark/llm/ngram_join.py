@@ -1,8 +1,7 @@
 """N-gram Jaccard self-join by vertical partitioning, and its link components.
 
-The n-grams (word shingles) of all documents stand in one global order: first those of
-ordinary buckets of a document-frequency histogram, then the very frequent ones, each by
-hash. A document's prefix is its first n - ceil(t n) + m shingles in that order. Of two
+The n-grams (word shingles) of all documents stand in one global order: by the level of
+their bin in a frequency histogram, rare ones first, then by hash. A document's prefix is its first n - ceil(t n) + m shingles in that order. Of two
 documents with Jaccard similarity t or more, the one whose prefix ends first has at most
 ceil(t n) - m shingles behind it and shares ceil(t n) at least, so m of them in both
 prefixes: candidates share as many as the smaller m (1, more for long documents).
@@ -48,8 +47,9 @@ N = 5
 PART, WHOLE = 75, 100
 FRAGMENT_BITS, OFFSET_BITS = 3, 40
 FRAGMENTS = 1 << FRAGMENT_BITS
-#: The histogram has 2^BIN_BITS counters whatever the corpus' size; a bin is frequent from FREQUENT times the mean on.
-BIN_BITS, PIECE_BITS, FREQUENT, LEAST_FREQUENT = 20, 14, 8, 64
+#: The histogram has 2^BIN_BITS counters whatever the corpus' size. A bin's level is 0 up to FREQUENT standard deviations
+#: (of a count with the bins' mean) above the mean, and one more for each doubling of that excess, LEVELS at most.
+BIN_BITS, PIECE_BITS, FREQUENT, LEVELS = 20, 14, 3, 12
 FOLD_BITS, SMALL_FOLD_BITS = 2048, 512
 #: Sets over LONG shingles have a longer prefix, so that similar ones share more of it: one shingle more for each STEP.
 LONG, STEP = 512, 16
@@ -89,8 +89,8 @@ def _sizes(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.cumsum(size) - size
 
 
-def frequent_bins(texts: DataFrame) -> np.ndarray:
-    """Of each histogram bin, whether it is frequent. Counts cover every shingle of every text."""
+def bin_levels(texts: DataFrame) -> np.ndarray:
+    """Level of each histogram bin. Counts cover every shingle of every text."""
     piece = 1 << PIECE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,14 +110,18 @@ def frequent_bins(texts: DataFrame) -> np.ndarray:
                 counts = np.frombuffer(raw.as_buffer(), np.int32)
                 sums[k] = sums[k] + counts if k in sums else counts.astype(np.int64)
         for k, s in sums.items():
-            many = np.flatnonzero(s > max(LEAST_FREQUENT, FREQUENT * s.mean()))
+            mean = s.mean()
+            over = (s - mean) / (FREQUENT * np.sqrt(mean) + 1)
+            many = np.flatnonzero(over > 1)
             if len(many):
-                yield pa.RecordBatch.from_arrays([pa.array(many + (k << PIECE_BITS))], ["bin"])
+                level = np.minimum(LEVELS, 1 + np.log2(over[many]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(many + (k << PIECE_BITS)), pa.array(level)], ["bin", "level"])
 
     counts = texts.mapInArrow(count, "piece bigint, counts binary")
-    many = counts.repartition(1 << (BIN_BITS - PIECE_BITS), "piece").mapInArrow(add, "bin bigint")
-    out = np.zeros(1 << BIN_BITS, bool)
-    out[[r.bin for r in many.collect()]] = True  # a bin in FREQUENT at most
+    many = counts.repartition(1 << (BIN_BITS - PIECE_BITS), "piece").mapInArrow(add, "bin bigint, level bigint")
+    out = np.zeros(1 << BIN_BITS, np.uint8)
+    for r in many.collect():  # bins, not shingles: a fixed number at most
+        out[r.bin] = r.level
     return out
 
 
@@ -130,8 +134,11 @@ def _least_shared(size: Column) -> Column:
     return F.lit(1) + F.floor(F.greatest(size - LONG, F.lit(0)) / STEP)
 
 
-def _prefix_rows(frequent: np.ndarray):
-    packed = np.packbits(frequent)
+def _prefix_rows(levels: np.ndarray):
+    import zlib
+
+    packed = zlib.compress(levels.tobytes())
+    opened: list[np.ndarray] = []
 
     def emit(ids: pa.Array, texts: pa.Array):
         row, h = shingle_sets(texts)
@@ -143,7 +150,9 @@ def _prefix_rows(frequent: np.ndarray):
         _, one = np.unique(np.where(size > 0, signature, np.arange(n).astype(np.uint64)), return_index=True)
         own = np.zeros(n, bool)
         own[one] = True  # of equal sets in this slice, one speaks for all
-        late = np.unpackbits(packed).view(bool)[h >> np.uint64(64 - BIN_BITS)]
+        if not opened:
+            opened.append(np.frombuffer(zlib.decompress(packed), np.uint8))
+        late = opened[0][h >> np.uint64(64 - BIN_BITS)]
         order = np.lexsort((h, late, row))
         rank = np.arange(len(h)) - first[row]
         take = (rank < (size - -(-size * PART // WHOLE) + least_shared(size))[row]) & own[row]
@@ -386,7 +395,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     first = nodes.groupBy("signature", "size").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("most > b")
     equal = nodes.select("doc", "signature", "size").join(first, ["signature", "size"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
 
-    prefixes = over_texts(texts, "id", "text", "h bigint, doc bigint", _prefix_rows(frequent_bins(texts)))
+    prefixes = over_texts(texts, "id", "text", "h bigint, doc bigint", _prefix_rows(bin_levels(texts)))
     buckets = materialize(prefixes.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_buckets, "h bigint, doc bigint, leader bigint"))
 
     # one pair per document: the leader with which it shares most of its prefix

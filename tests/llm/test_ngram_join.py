@@ -42,7 +42,6 @@ def test_equals_brute_force(spark):
 
 
 def test_frequent_bins_blocks_and_small_batches(spark, monkeypatch):
-    monkeypatch.setattr(nj, "LEAST_FREQUENT", 3)
     monkeypatch.setattr(nj, "BLOCK", 4)
     monkeypatch.setattr("lexispark.llm.textvec.row_slices.__defaults__", (500,))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
