@@ -45,13 +45,9 @@ def _matches(tokens: Column, clause: tuple[str, ...]) -> Column:
         return F.size(F.filter(tokens, lambda t: t == ws[0]))
     if kind == "prefix":
         return F.size(F.filter(tokens, lambda t: t.startswith(ws[0])))
-    def here(t: Column, i: Column) -> Column:
-        out = t == ws[0]
-        for k, w in enumerate(ws[1:], 1):
-            out = out & F.coalesce(F.get(tokens, i + k) == w, F.lit(False))
-        return out
-
-    return F.size(F.filter(tokens, here))
+    # places of the phrase in the joined tokens; one pass, also where Spark repeats the expression in a pushed filter
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(joined, F.lit(f"(?= {' '.join(ws)} )"))
 
 
 def search(docs: DataFrame, clauses: list[tuple[str, ...]], k: int | None = None, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
