@@ -132,9 +132,9 @@ _TERM = "len(list_filter(ts, lambda t: t = '{}'))"
 _PREFIX = "len(list_filter(ts, lambda t: starts_with(t, '{}')))"
 
 
-@query(_bm25([_TERM.format("thing"), _TERM.format("there")]))
+@query(_bm25([_TERM.format("and"), _TERM.format("that")]))
 def fts_bm25_and(spark, sf):
-    return fulltext.search(table(spark, sf, "documents"), fulltext.parse("thing there")).select("doc_id", F.round("score", 6).alias("score"))
+    return fulltext.search(table(spark, sf, "documents"), fulltext.parse("and that")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25([_PREFIX.format("thing"), _PREFIX.format("on")]))

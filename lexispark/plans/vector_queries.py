@@ -51,9 +51,9 @@ def vec_label_centroid(spark, sf):
 
 @query(_BASE + """
 , p AS (SELECT b.vec_id, a.vec_id AS other, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
-SELECT vec_id, min(other) AS duplicate_of, round(min_by(s, other), 6) AS similarity FROM p WHERE s >= 0.6 GROUP BY vec_id""")
+SELECT vec_id, min(other) AS duplicate_of, round(min_by(s, other), 6) AS similarity FROM p WHERE s >= 0.35 GROUP BY vec_id""")
 def vec_earlier_duplicate(spark, sf):
-    return v.earlier_duplicate(table(spark, sf, "embeddings"), 0.6).withColumn("similarity", F.round("similarity", 6))
+    return v.earlier_duplicate(table(spark, sf, "embeddings"), 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
 def _fixed_centroids(spark, sf):
