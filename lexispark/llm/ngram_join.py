@@ -408,7 +408,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     pairs = likely.unionByName(others)
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    chosen = texts.join(wanted, texts["id"] == wanted["doc"], "left_semi").dropDuplicates(["id"])
+    # one plan at every size: texts are dealt by id, never met by a broadcast of the wanted ids
+    chosen = texts.join(wanted.hint("merge"), texts["id"] == wanted["doc"], "left_semi").dropDuplicates(["id"])
     segments = materialize(over_texts(chosen, "id", "text", "doc bigint, fragment int, size bigint, segment binary", _segments))
     found = materialize(similar(count_overlaps(pairs, segments)))
 
