@@ -86,20 +86,24 @@ def vec_ivf_topk_nprobe4(spark, sf):
     return v.search_lists(lists, _queries(spark, sf), c, 4).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_BASE + _LISTS + _PROBE + f"""
+#: Lists probed of 16 for a recall of nine tenths and more on these vectors, which have few neighbours.
+PROBES = 13
+
+
+@query(_BASE + _LISTS + _PROBE.replace("r <= 4", f"r <= {PROBES}") + f"""
 , f AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_COS}, 9) DESC, vec_id) AS rank FROM e, q),
 o AS (SELECT f.query_id, count(k.vec_id) AS hit FROM f LEFT JOIN k ON f.query_id = k.query_id AND f.vec_id = k.vec_id AND k.rank <= 10 WHERE f.rank <= 10 GROUP BY f.query_id)
 SELECT round(avg(hit / 10) * 100, 1) AS recall_pct, count(*) AS n_queries FROM o""")
 def vec_recall_at_k(spark, sf):
     e, q, c = table(spark, sf, "embeddings"), _queries(spark, sf), _fixed_centroids(spark, sf)
-    return v.recall(v.search_lists(v.assign(e, c), q, c, 4), v.search(e, q, 10), 10)
+    return v.recall(v.search_lists(v.assign(e, c), q, c, PROBES), v.search(e, q, 10), 10)
 
 
 @query()
 def vec_ivf_kmeans(spark, sf):
     e, q = table(spark, sf, "embeddings"), _queries(spark, sf)
     c = v.kmeans(e, 16)
-    return v.search_lists(v.assign(e, c), q, c, 12)
+    return v.search_lists(v.assign(e, c), q, c, PROBES)
 
 
 @query()
