@@ -4,8 +4,9 @@ The page is read as a stream of tags and texts. Every text node has a root-to-le
 of block elements (with class names). Per path of a page: text length, punctuation, and
 number of nodes; from these the text-per-node ratio and the punctuation-per-node ratio.
 Both are smoothed over neighbouring paths in page order and fused as the sum of their
-logarithms, with a prior for what the path's names say (article, main against menus,
-adverts, forms, comments); paths over a share of the page's mean are content.
+logarithms, with a finite prior for what the names around a block say (article, main
+against menus, adverts, forms, comments); blocks over a share of the page's mean are
+content. A boilerplate name says nothing on an element around most of the page's text.
 
 Defined results: null or empty html, and pages without content, give an empty text;
 unclosed elements end with their parents, and blocks that cannot nest (p, li, td ...)
@@ -45,33 +46,30 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _PUNCT = re.compile(r"[.,;:!?。，；：！？…]")
 _WS = re.compile(r"\s+")
 
-#: A path is content if its fused score reaches this share of the mean over the page's text, NAMED at most.
+#: Elements that may lie around a whole page. Their boilerplate names count only where less than half of its text is below them.
+WRAPPERS = frozenset("form head".split())
+#: A block is content if its fused score and prior reach this share of their mean over the page's text, where boilerplate counts by its ratios.
 SHARE = 0.6
-#: What a path inside a part named as the article has beyond its ratios.
-NAMED = 6.0
+#: The prior inside a part named as the article, and inside one named as boilerplate.
+NAMED, BOILER = 3.0, -5.0
 SMOOTH = (0.05, 0.9, 0.05)
 
 
-def _weight(tag: str, words: frozenset[str]) -> float:
-    if tag in BOILER_TAGS or words & BOILER_WORDS:
-        return 0.0
-    return 4.0 if tag in CONTENT_TAGS or words & CONTENT_WORDS else 1.0
-
-
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], float, str]]:
-    """(path, weight, text) of each block of text, in page order; the text is decoded, its white space collapsed."""
-    stack: list[tuple[str, str, float]] = []  # tag, name in the path, weight
-    out: list[tuple[tuple[str, ...], float, str]] = []
+    """(path, prior, text) of each block of text, in page order; the text is decoded, its white space collapsed."""
+    stack: list[tuple[str, str, int]] = []  # tag, name in the path, number of the element
+    said: list[tuple[bool, bool, bool]] = []  # per element: boilerplate by its kind, by a name that a wrapper may have, content
+    below: list[int] = []  # per element: length of the text in elements below it
+    found: list[tuple[tuple[str, ...], tuple[int, ...], str]] = []
     pieces: list[str] = []
 
     def flush() -> None:
         text = _WS.sub(" ", _html.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            weight = 1.0
-            for _, _, w in stack:
-                weight = min(4.0, weight * w)
-            out.append((tuple(n for _, n, _ in stack), weight, text))
+            for _, _, e in stack[:-1]:
+                below[e] += len(text)
+            found.append((tuple(n for _, n, _ in stack), tuple(e for _, _, e in stack), text))
 
     at, n = 0, len(page)
     while at < n:
@@ -114,17 +112,23 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], float, str]]:
             stack.pop()
         names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x).lower()
         words = frozenset(re.split(r"[^a-z0-9]+", names)) if names else frozenset()
-        boil = 0.0 if tag == "head" or (tag == "header" and not any(t in CONTENT_TAGS for t, _, _ in stack)) else _weight(tag, words)
-        stack.append((tag, f"{tag}.{names}" if names else tag, boil))
+        kind = tag in BOILER_TAGS - WRAPPERS or (tag == "header" and not any(t in CONTENT_TAGS for t, _, _ in stack))
+        if tag in ("html", "body"):  # their names speak of the page
+            words = frozenset()
+        stack.append((tag, f"{tag}.{names}" if names else tag, len(said)))
+        said.append((kind, tag in WRAPPERS or bool(words & BOILER_WORDS), tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)))
+        below.append(0)
     flush()
-    return out
+    size = sum(len(t) for _, _, t in found)
+    boil = [kind or (name and 2 * n < size) for (kind, name, _), n in zip(said, below, strict=True)]
+    return [(p, BOILER if any(boil[e] for e in es) else NAMED if any(said[e][2] for e in es) else 0.0, t) for p, es, t in found]
 
 
 def path_scores(blocks: list[tuple[tuple[str, ...], float, str]]) -> dict[tuple[str, ...], float]:
     """Fused score of each path of the page."""
     stats: dict[tuple[str, ...], list[float]] = {}
-    for path, weight, text in blocks:
-        s = stats.setdefault(path, [0.0, 0.0, 0.0, weight])
+    for path, _, text in blocks:
+        s = stats.setdefault(path, [0.0, 0.0, 0.0])
         s[0] += len(text)
         s[1] += len(_PUNCT.findall(text))
         s[2] += 1
@@ -148,12 +152,9 @@ def main_text(page: str | None) -> tuple[str, list[str]]:
     if not scores:
         return "", []
     size = sum(len(t) for _, _, t in blocks)
-    least = min(NAMED, SHARE * sum(scores[p] * len(t) for p, _, t in blocks) / size)
-    # where the page names its article, that decides between paths in and out of it
-    named = any(w > 1 for _, w, _ in blocks)
-    prior = {p: (NAMED if w > 1 else -math.inf if w == 0 or named else 0.0) for p, w, _ in blocks}
-    chosen = {p for p, s in scores.items() if s + prior[p] >= least}
-    return " ".join(t for p, _, t in blocks if p in chosen), sorted({"/".join(p) for p in chosen})
+    least = SHARE * sum((scores[p] + max(prior, 0.0)) * len(t) for p, prior, t in blocks) / size
+    chosen = [(p, t) for p, prior, t in blocks if scores[p] + prior >= least]
+    return " ".join(t for _, t in chosen), sorted({"/".join(p) for p, _ in chosen})
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -38,3 +38,32 @@ def test_edges(spark):
     got = {r.row.page_id: r.result.text for r in p.extract(d).collect()}
     assert got[1] == got[2] == got[4] == "" and got[3] == "plain < text > here & there" and len(got[5]) == 399999
     assert p.extract(d.limit(0)).count() == 0
+
+
+BODY = "A long sentence, with commas, and stops. Then another one, still going on. " * 3
+MENU = "<nav><ul>" + "<li><a href=x>Home</a></li>" * 9 + "</ul></nav>"
+
+
+def test_stray_content_classes_leave_the_article():
+    for stray in ("<p class='text-lead'>Read more</p>", "<div class=post><p>Next, a teaser.</p></div>"):
+        page = f"<body>{MENU}<div>" + f"<p>{BODY}</p>" * 4 + f"</div>{stray}<footer>Terms, all of them.</footer></body>"
+        text = p.main_text(page)[0]
+        assert text.startswith(" ".join([BODY.strip()] * 4)) and "Home" not in text and "Terms" not in text
+
+
+def test_wrappers_with_boilerplate_names_keep_the_article():
+    article = f"<article><h1>A title of the page</h1>{f'<p>{BODY}</p>' * 4}</article>"
+    rest = MENU + "<div class='sidebar'><p>Buy this, now.</p></div>"
+    want = " ".join(["A title of the page", *[BODY.strip()] * 4])
+    for page in (
+        f"<body class='has-sidebar with-comments'>{rest}{article}</body>",
+        f"<body><div class='has-sidebar'>{rest}{article}</div></body>",
+        f"<body><form action=x>{rest}{article}</form></body>",
+        f"<body><div class='page with-comments'><form>{rest}{article}</form></div></body>",
+    ):
+        assert p.main_text(page)[0] == want
+
+
+def test_ratios_decide_inside_a_named_part():
+    page = "<body><main>" + f"<p>{BODY}</p>" * 4 + "<ul>" + "<li>x</li>" * 9 + "</ul></main></body>"
+    assert p.main_text(page)[0] == " ".join([BODY.strip()] * 4)
