@@ -88,9 +88,23 @@ def vec_ivf_topk_nprobe4(spark, sf):
 
 #: Lists probed of 16 for a recall of nine tenths and more on these vectors, which have few neighbours.
 PROBES = 13
+#: The same for the trained lists of `vec_ivf_kmeans`.
+KMEANS_PROBES = 14
+#: Vectors per query that the product codes choose and exact similarities rank.
+CANDIDATES = 100
 
 
-@query(_BASE + _LISTS + _PROBE.replace("r <= 4", f"r <= {PROBES}") + f"""
+_PROBE_MORE = _PROBE.replace("r <= 4", f"r <= {PROBES}")
+
+
+@query(_BASE + _LISTS + _PROBE_MORE + " SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 6) AS similarity FROM k WHERE rank <= 10")
+def vec_ivf_topk(spark, sf):
+    c = _fixed_centroids(spark, sf)
+    lists = v.assign(table(spark, sf, "embeddings"), c)
+    return v.search_lists(lists, _queries(spark, sf), c, PROBES).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_BASE + _LISTS + _PROBE_MORE + f"""
 , f AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_COS}, 9) DESC, vec_id) AS rank FROM e, q),
 o AS (SELECT f.query_id, count(k.vec_id) AS hit FROM f LEFT JOIN k ON f.query_id = k.query_id AND f.vec_id = k.vec_id AND k.rank <= 10 WHERE f.rank <= 10 GROUP BY f.query_id)
 SELECT round(avg(hit / 10) * 100, 1) AS recall_pct, count(*) AS n_queries FROM o""")
@@ -103,14 +117,14 @@ def vec_recall_at_k(spark, sf):
 def vec_ivf_kmeans(spark, sf):
     e, q = table(spark, sf, "embeddings"), _queries(spark, sf)
     c = v.kmeans(e, 16)
-    return v.search_lists(v.assign(e, c), q, c, PROBES)
+    return v.search_lists(v.assign(e, c), q, c, KMEANS_PROBES)
 
 
 @query()
 def vec_pq(spark, sf):
-    e = table(spark, sf, "embeddings")
-    books = v.train_books(e)
-    return v.search_codes(v.product_codes(e, books), _queries(spark, sf), books)
+    e, q = table(spark, sf, "embeddings"), _queries(spark, sf)
+    books = v.train_books(e, nbits=8)
+    return v.rerank(v.search_codes(v.product_codes(e, books), q, books, CANDIDATES), e, q)
 
 
 @query(_BASE + f"""
