@@ -146,10 +146,13 @@ def _prefix_rows(levels: np.ndarray):
             return None
         n = len(texts)
         size, first = _sizes(row, n)
-        signature = np.add.reduceat(tv.mix(h), np.minimum(first, len(h) - 1)) * (size > 0)
-        _, one = np.unique(np.where(size > 0, signature, np.arange(n).astype(np.uint64)), return_index=True)
+        full = np.flatnonzero(size)
+        signature = np.add.reduceat(tv.mix(h), first[full])
+        alike = np.lexsort((size[full], signature))
+        new = np.ones(len(full), bool)
+        new[1:] = (np.diff(signature[alike]) != 0) | (np.diff(size[full][alike]) != 0)
         own = np.zeros(n, bool)
-        own[one] = True  # of equal sets in this slice, one speaks for all
+        own[full[alike[new]]] = True  # of equal sets in this slice, one speaks for all
         if not opened:
             opened.append(np.frombuffer(zlib.decompress(packed), np.uint8))
         late = opened[0][h >> np.uint64(64 - BIN_BITS)]

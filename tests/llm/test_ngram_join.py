@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from lexispark.llm import ngram_join as nj
 from lexispark.llm.components import components
 
@@ -86,3 +89,13 @@ def test_long_documents_and_large_groups(spark):
     rows += [(200 + i, " ".join(base[0][:300] + [word() for _ in range(1800)])) for i in range(45)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(nj.join_components(d)) == nj.brute_force(rows)
+
+
+def test_prefixes_of_a_text_and_one_short_of_a_word_before_an_empty_text():
+    emit = nj._prefix_rows(np.zeros(1 << nj.BIN_BITS, np.uint8))
+    for seed in range(12):  # both orders of the hashes
+        words = [f"w{seed}x{i}" for i in range(9)]
+        texts = [" ".join(words[:-1]), " ".join(words), "", None]
+        for ids in ([1, 2, 3], [2, 1, 3]):
+            out = emit(pa.array(ids), pa.array([texts[i - 1] for i in ids]))
+            assert set(out["doc"].tolist()) == {1, 2}
