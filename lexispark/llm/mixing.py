@@ -25,6 +25,7 @@ _HEX = 13  # hex digits of the uniform number: 52 bits, exact in a double
 BROADCAST_SOURCES = 20_000
 SALTS = 64
 _TABLE = 64  # entries of the cumulative table beyond the mean
+_REACH = 10  # standard deviations about the mean that it spans
 
 
 def uniform(seed: int, doc_id: Column) -> Column:
@@ -33,22 +34,30 @@ def uniform(seed: int, doc_id: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("bigint").cast("double") / F.lit(float(1 << (4 * _HEX)))
 
 
-def poisson_table(rate: Column, entries: Column) -> Column:
-    """Cumulative probabilities of 0, 1, ... `entries` events at this rate."""
-    first = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_least(rate: Column) -> Column:
+    """The number of events where the table of this rate begins; 0 for rates of up to _REACH squared."""
+    return F.greatest(F.lit(0), F.floor(rate - _REACH * F.sqrt(rate))).cast("int")
+
+
+def poisson_table(rate: Column, least: Column) -> Column:
+    """Cumulative probabilities of least, least + 1, ... events at this rate; fewer and more are below what a double tells.
+
+    exp(-rate) is 0 at high rates: a table that begins above 0 starts from 1 and is divided by its sum.
+    """
+    start = F.when(least == 0, F.exp(-rate)).otherwise(F.lit(1.0))
     return F.aggregate(
-        F.sequence(F.lit(1), entries),
-        first,
+        F.sequence(least + 1, (F.ceil(rate + _REACH * F.sqrt(rate)) + _TABLE).cast("int")),
+        F.struct(start.alias("p"), F.array(start).alias("cdf")),
         lambda acc, k: F.struct(
             (acc["p"] * rate / k).alias("p"),
             F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * rate / k)).alias("cdf"),
         ),
-        lambda acc: acc["cdf"],
+        lambda acc: F.when(least == 0, acc["cdf"]).otherwise(F.transform(acc["cdf"], lambda c: c / F.element_at(acc["cdf"], -1))),
     )
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, total_rate: float, source_col: str) -> DataFrame:
-    """Per source: n_rows, rate, cdf; one row per source."""
+    """Per source: n_rows, rate, least, cdf; one row per source."""
     counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
     weight = F.lit(float(default_weight))
     for name, w in weights.items():
@@ -59,8 +68,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
         sums.join(totals, how="cross")  # one row
         .where("weight > 0")
         .withColumn("rate", F.col("weight") / F.col("sum_weight") * F.lit(float(total_rate)) * F.col("sum_rows") / F.col("n_rows"))
-        .withColumn("cdf", poisson_table(F.col("rate"), (F.ceil(F.col("rate") + 10 * F.sqrt("rate")) + _TABLE).cast("int")))
-        .select("mix_source", "n_rows", "rate", "cdf")
+        .withColumn("least", poisson_least(F.col("rate")))
+        .withColumn("cdf", poisson_table(F.col("rate"), F.col("least")))
+        .select("mix_source", "n_rows", "rate", "least", "cdf")
     )
 
 
@@ -77,7 +87,7 @@ def mix_sources(
 
     total_rate is the expected number of rows as a multiple of the input's.
     """
-    rates = materialize(source_rates(docs, weights, default_weight, total_rate, source_col)).select("mix_source", "cdf")
+    rates = materialize(source_rates(docs, weights, default_weight, total_rate, source_col)).select("mix_source", F.col("least").alias("mix_least"), "cdf")
     u = uniform(seed, F.col(id_col))
     tagged = docs.withColumn("mix_source", F.coalesce(F.col(source_col), F.lit("")))
     if rates.count() <= BROADCAST_SOURCES:
@@ -88,8 +98,8 @@ def mix_sources(
         joined = salted.join(copies, ["mix_source", "mix_salt"]).drop("mix_salt")
     drawn = (
         joined.withColumn("mix_u", u)
-        .withColumn("n_copies", F.size(F.filter("cdf", lambda c: F.col("mix_u") >= c)))
-        .drop("cdf", "mix_u", "mix_source")
+        .withColumn("n_copies", F.col("mix_least") + F.size(F.filter("cdf", lambda c: F.col("mix_u") >= c)))
+        .drop("cdf", "mix_least", "mix_u", "mix_source")
         .where("n_copies > 0")
     )
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))

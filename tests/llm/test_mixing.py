@@ -57,3 +57,16 @@ def test_edges(spark):
     twice = d.union(d)
     n = collections.Counter(r.doc_id for r in m.mix_sources(twice, {}, 1.0, 3.0).collect())
     assert all(k % 2 == 0 for k in n.values())
+
+
+def test_high_rates_equal_brute_force(spark):
+    import hashlib
+
+    for rate in (100, 800, 5000):
+        rows = m.mix_sources(spark.range(12).selectExpr("id AS doc_id", "'a' AS source"), {}, 1.0, float(rate), 4).groupBy("doc_id").count().collect()
+        sums, c = [], 0.0
+        for k in range(2 * rate):
+            c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            sums.append(c)
+        u = [int(hashlib.md5(f"4:{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(12)]
+        assert {r.doc_id: r["count"] for r in rows} == {i: sum(x >= c for c in sums) for i, x in enumerate(u)}
