@@ -76,11 +76,9 @@ def search(docs: DataFrame, clauses: list[tuple[str, ...]], k: int | None = None
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, tf, positions (from 0): grouped inside each document, so without a shuffle."""
-    at = F.transform(tx.tokens(F.col(text_col)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    rows = docs.select(F.col(id_col), F.explode(F.array_distinct(tx.tokens(F.col(text_col)))).alias("term"), at.alias("at"))
-    positions = F.transform(F.filter("at", lambda p: p["t"] == F.col("term")), lambda p: p["i"])
-    return rows.select("term", id_col, F.size(positions).alias("tf"), positions.alias("positions"))
+    """term, doc_id, tf, positions (from 0, in order)."""
+    rows = docs.select(F.col(id_col), F.posexplode_outer(tx.tokens(F.col(text_col))).alias("p", "term")).where("term is not null")
+    return rows.groupBy("term", id_col).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +68,13 @@ def synonyms(words: DataFrame, word: str = "word", group: str = "group") -> Data
     return pairs.join(size, group).groupBy(word).agg(F.sum("others").alias("n_synonyms"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_hops: int = 30) -> DataFrame:
-    """node, hops: breadth-first from the start nodes; cycles end by themselves. Each hop's frontier is cached and released."""
-    seen = start.select(F.col("node"), F.lit(0).alias("hops")).distinct().persist()
+def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """node, hops: breadth-first from the start nodes until no node is new, or most_hops; cycles end by themselves. Lineage is cut at each hop."""
+    seen = start.select(F.col("node"), F.lit(0).alias("hops")).distinct().localCheckpoint()
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in itertools.count(1) if most_hops is None else range(1, most_hops + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).persist()
+        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).localCheckpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

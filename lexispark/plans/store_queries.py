@@ -190,6 +190,15 @@ def reachability(spark, sf):
     return rel.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")), 4)
 
 
+@query()
+def reachability_all(spark, sf):
+    """All rows as edges, and as many hops as there are."""
+    n = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    li = table(spark, sf, "lineitem")
+    edges = li.join(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (1 + F.col("l_partkey") % F.col("n")).alias("dst")).distinct()  # one row
+    return rel.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+
+
 @query("""
 WITH RECURSIVE n AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 c(user_id, event_id, depth) AS (SELECT user_id, event_id, 1 FROM n WHERE rn = 1 UNION ALL SELECT c.user_id, n2.event_id, depth + 1 FROM c JOIN n n1 ON n1.event_id = c.event_id JOIN n n2 ON n2.event_id = n1.nxt WHERE depth < 30)

@@ -108,6 +108,14 @@ def fts_postings_long_terms(spark, sf):
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("p").alias("first_position"))
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), e AS (SELECT doc_id, ts[i] AS term, i - 1 AS p FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM t))
+SELECT term, doc_id, count(*)::INTEGER AS tf, string_agg(p::VARCHAR, ',' ORDER BY p) AS positions FROM e GROUP BY term, doc_id""")
+def fts_postings(spark, sf):
+    rows = fulltext.postings(table(spark, sf, "documents"))
+    return rows.withColumn("positions", F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
+
+
 def _equals(word: str):
     return lambda t: t == word
 
