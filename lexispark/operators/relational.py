@@ -81,6 +81,32 @@ def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None)
     return seen
 
 
+#: Short items that are sent to every task at once: rows, and characters.
+ITEM_BLOCK, ITEM_CHARS = 10_000, 4_000_000
+
+
+def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id of the docs (doc_id, text) that contain an item (item_id, item).
+
+    Items of five words or more meet documents by their second to fourth word, which are whole words of any text
+    around them. Shorter items have no such words: they meet all documents, in broadcast blocks of bounded size.
+    """
+    words = lambda c: F.split(c, r"[ \n]")
+    split = items.withColumn("ws", words(F.col("item")))
+    keyed = split.where(F.size("ws") >= 5).select("item_id", F.concat_ws(" ", F.get("ws", F.lit(1)), F.get("ws", F.lit(2)), F.get("ws", F.lit(3))).alias("key"))
+    run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))
+    runs = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.explode_outer(F.array_distinct(run)).alias("key"))
+    pairs = runs.join(keyed, "key").select("doc_id", "item_id").distinct()
+    hits = pairs.join(items, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    short = split.where(F.size("ws") < 5).select("item_id", "item")
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["n"] // ITEM_BLOCK), -(-size["chars"] // ITEM_CHARS))
+    for b in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        hits = hits.unionByName(docs.join(F.broadcast(part), F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
+    return hits
+
+
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, width: float, id_col: str) -> DataFrame:
     """For each left row the nearest right row of the same key within `width`: an equi-join on key and bucket, then the distance.
 

@@ -235,14 +235,9 @@ def title_word_holders(spark, sf):
 @query("""
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
 def contains_theta_join(spark, sf):
-    """Containment of whole items: candidates by the item's first 24 characters' word run, then the containment itself."""
+    """Containment of whole items, long ones by a key of whole words."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    words = lambda c: F.split(c, r"[ \n]")
-    keyed = items.withColumn("ws", words(F.col("item"))).select("item_id", "item", F.concat_ws(" ", F.get("ws", F.lit(1)), F.get("ws", F.lit(2)), F.get("ws", F.lit(3))).alias("key"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", words(F.col("text")).alias("ws"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))
-    pairs = docs.select("doc_id", F.explode_outer(F.array_distinct(runs)).alias("key")).join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    hits = pairs.join(items, "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
+    hits = rel.containing(items, table(spark, sf, "documents"))
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
