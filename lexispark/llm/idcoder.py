@@ -1,14 +1,19 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-Blocks are independent: model and coder start anew in each, and each carries a CRC of its
-ids. Many blocks are coded side by side, one per lane of numpy arrays.
-
-For every id the model has an order-2 prediction (what followed the last two ids), an
-order-1 prediction (what followed the last id), an order-0 table of ids seen, and the
-escape to the plain id. Two sets of adaptive counts say how far each has been right: one
-by the confidence of the two predictions, one by the last two outcomes. The counts are
-summed (mixed in proportion to their evidence), scaled, and drive one step of a 64-bit
-carry-less range coder per id.
+Blocks are independent: model and coder start anew in each, from the segment's header
+alone, and each block carries a CRC of its ids. Many blocks are coded side by side, one per lane of numpy arrays.
+
+An id is predicted in three orders. Order 2 names one id, that which followed the last two
+ids the last time. Order 1 has the frequencies of the ids that followed the last one, order
+0 those of all ids of the block so far, and an id that is new to the block falls to a prior:
+the segment's header says how often each id occurs in it, in powers of two. Two sets of adaptive counts say which order holds
+the id: one by how much is known in each order, one by the last two outcomes. Their counts
+are summed (mixed in proportion to their evidence) and drive one step of a 64-bit
+carry-less range coder; the frequency within the order drives a second.
+
+Order 2 and the counts learn from every id. Frequencies are learnt at the ends of rounds
+that grow with the block, by sorting what the block has shown: a range of equal entries of
+the sorted list is the id's interval.
 """
 
 from __future__ import annotations
@@ -17,58 +22,131 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 1024
-_T2, _T1, _T0 = 10, 10, 10  # bits of the tables' sizes
+BLOCK = 1 << 12
+LANES = 2048
+MOST_BITS = 20
+MOST_BLOCK = 1 << 13
+_FIRST, _GROWTH = 64, 4  # ids in the first round, and how fast the rounds' ends grow
+_T2, _HASH = 10, 11  # bits of the order-2 table and of the order-1 contexts
 _HALVE = 128
 _LOW = np.uint64((1 << 32) - 1)
-_S32 = np.uint64(32)
-_S48 = np.uint64(48)
-_FIELDS = np.uint64(0x0001000100010001)
-_FIELD = np.uint64(0xFFFF)
+_ONE, _S16, _S32, _S48 = np.uint64(1), np.uint64(16), np.uint64(32), np.uint64(48)
+_FIELDS, _FIELD = np.uint64(0x0001000100010001), np.uint64(0xFFFF)
+_UPPER = np.uint64(0x800080008000)
 _ODD = np.int64(0x9E3779B1)
+#: Outcomes that are possible, by whether order 2 and order 1 know anything; the others' counts are cleared.
+_KNOWN = np.array([0xFFFF << (16 * j) for j in range(4)], np.uint64)
+_POSSIBLE = np.array([(_KNOWN[0] if conf else 0) | (_KNOWN[1] if bucket else 0) | _KNOWN[2] | _KNOWN[3] for bucket in range(12) for conf in range(4)], np.uint64)
+_FRESH = np.uint64(0xFFFF) << np.uint64(48)  # of a block's first round only the prior is possible, and order 2
+#: Fields of a run (size, begin, id) and of a context (entries, begin, bucket).
+_SIZE, _BEGIN, _RUN = (1 << 14) - 1, (1 << 13) - 1, (1 << 28) - 1
+_CERTAIN = np.uint64((1 << 20) | (1 << 40))  # interval 0 to 1 of 1
+
+
+def header(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, and the exponents of their weights."""
+    counts = np.bincount(ids, minlength=1)
+    kinds = np.flatnonzero(counts)
+    counts, shift = counts[kinds], 0
+    while np.maximum(1, counts >> shift).sum() > _most_parts(bits):
+        shift += 1
+    return kinds.astype(np.uint32), np.minimum(np.frexp(np.maximum(1, counts >> shift))[1] - 1, MOST_BITS - 1).astype(np.uint8)
+
+
+def _most_parts(bits: int) -> int:
+    """Bound of the prior's total; with that of the outcomes' counts it stays under the coder's 32 bits."""
+    return 1 << (17 if bits <= 16 else MOST_BITS)
+
+
+def _contexts(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.int64) * _ODD >> 13) & ((1 << _HASH) - 1)
+
+
+def _rounds(size: int) -> list[tuple[int, int]]:
+    """Begin and end of every round of blocks of that size."""
+    ends = [0, _FIRST]
+    while ends[-1] < size:
+        ends.append(_GROWTH * ends[-1])
+    return [(a, min(b, size)) for a, b in zip(ends, ends[1:])] if size else []
+
+
+class _Sorted:
+    """A sorted list per lane; for every entry of it, the id, and the begin and size of its run of equal entries."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        keys.sort(axis=1)
+        self.lanes, self.size = keys.shape
+        new = np.ones(keys.shape, bool)
+        np.not_equal(keys[:, 1:], keys[:, :-1], out=new[:, 1:])
+        self.keys = keys
+        self.heads = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.heads, keys.size))
+        self.head_keys = keys.reshape(-1)[self.heads]
+        self.head_runs = (self.head_keys & np.uint32((1 << MOST_BITS) - 1)).astype(np.int64) << 28 | self.heads % self.size << 14 | self.sizes
+
+    def runs(self) -> np.ndarray:
+        return np.repeat(self.head_runs, self.sizes)
+
+
+class _Frequencies:
+    """What the blocks have shown so far: ids by the id before (order 1), and ids alone (order 0)."""
+
+    def __init__(self, shown: np.ndarray, context: np.ndarray) -> None:
+        lanes, size = shown.shape
+        self.size = size
+        keys = shown.copy()
+        keys[:, 1:] |= (_contexts(shown[:, :-1]) << MOST_BITS).astype(np.uint32)
+        keys[:, 0] |= np.uint32(_contexts(np.zeros(1, np.int64))[0] << MOST_BITS)
+        self.pairs = _Sorted(keys)
+        self.singles = _Sorted(shown.copy())
+        # per lane and context: bucket << 27 | begin << 14 | entries
+        where = (self.pairs.heads // size << _HASH) + (self.pairs.head_keys >> np.uint32(MOST_BITS))
+        edge = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        begin = self.pairs.heads[edge]
+        n = np.diff(np.append(begin, keys.size))
+        kinds = np.diff(np.append(edge, len(where)))
+        bucket = np.minimum(5, np.frexp(n)[1]) + np.where(2 * kinds <= n, 6, 0)
+        context.fill(0)
+        context[where[edge]] = bucket << 27 | begin % size << 14 | n
+        self.context = context
 
 
 class _Model:
-    """Predictions and counts of the lanes. A table of counts has the four outcomes' in 16-bit fields of one number."""
+    """Order-2 predictions, and counts of outcomes in 16-bit fields of one number."""
 
     def __init__(self, lanes: int, bits: int) -> None:
-        # the counts' total stays under 2^14 (2^10 for wide ids): interval times plain id must fit the coder's 32 bits
-        step = 24 if bits <= 18 else 1
+        step = 24 if bits <= 16 else 3
         self.steps = np.array([step << (16 * j) for j in range(4)], np.uint64)
-        self.t2 = np.full(lanes << _T2, -4, np.int64)  # id << 2 | confidence (1 or 3)
-        self.t1 = np.full(lanes << _T1, -4, np.int64)
-        self.t0 = np.full(lanes << _T0, -1, np.int64)
-        self.a = np.full(lanes << 4, _FIELDS, np.uint64)
+        self.t2 = np.full(lanes << _T2, -4, np.int32)  # id << 2 | confidence (1 or 3)
+        self.a = np.full(lanes * 48, _FIELDS, np.uint64)
         self.b = np.full(lanes << 4, _FIELDS, np.uint64)
         every = np.arange(lanes, dtype=np.int64)
-        self.base2, self.base1, self.base0, self.base16 = every << _T2, every << _T1, every << _T0, every << 4
+        self.base2, self.base_a, self.base_b = every << _T2, every * 48, every << 4
         self.last = np.zeros(lanes, np.int64)
         self.back = np.zeros(lanes, np.int64)
         self.past = np.zeros(lanes, np.int64)
         self.n = 0
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums of the outcomes' counts in 16-bit fields, and their total."""
-        h1 = self.last * _ODD
-        self.i1 = self.base1 + (h1 >> 20 & ((1 << _T1) - 1))
-        self.i2 = self.base2 + ((h1 ^ self.back * np.int64(0x85EBCA6B)) >> 20 & ((1 << _T2) - 1))
-        self.p2, self.p1 = self.t2.take(self.i2, mode="clip"), self.t1.take(self.i1, mode="clip")
-        self.ia = self.base16 + ((self.p2 & 3) << 2) + (self.p1 & 3)
-        self.ib = self.base16 + self.past
+    def predict(self, buckets: np.ndarray, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the outcomes' counts in 16-bit fields, and their total; buckets are four times those of order 1."""
+        self.i2 = self.base2 + ((self.last * _ODD ^ self.back * np.int64(0x85EBCA6B)) >> 20 & ((1 << _T2) - 1))
+        self.p2 = self.t2.take(self.i2, mode="clip")
+        known = (self.p2 & 3) + buckets
+        self.ia = self.base_a + known
+        self.ib = self.base_b + self.past
         self.ca, self.cb = self.a.take(self.ia, mode="clip"), self.b.take(self.ib, mode="clip")
-        ends = (self.ca + self.cb) * _FIELDS
+        possible = _POSSIBLE.take(known, mode="clip")
+        if fresh:
+            possible &= _KNOWN[0] | _FRESH
+        ends = ((self.ca + self.cb) & possible) * _FIELDS
         return ends, ends >> _S48
 
-    def update(self, ids: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, i0: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         more = self.steps.take(outcome, mode="clip")
         self.a[self.ia] = self.ca + more
         self.b[self.ib] = self.cb + more
-        new = ids << 2 | 1
         # a right prediction is confident from then on; a wrong one loses that, or is replaced
-        self.t2[self.i2] = np.where(hit2, self.p2 | 2, np.where(self.p2 & 2 > 0, self.p2 ^ 2, new))
-        self.t1[self.i1] = np.where(hit1, self.p1 | 2, np.where(self.p1 & 2 > 0, self.p1 ^ 2, new))
-        self.t0[i0] = ids
+        self.t2[self.i2] = np.where(outcome == 0, self.p2 | 2, np.where(self.p2 & 2 > 0, self.p2 ^ 2, ids.astype(np.int32) << 2 | 1))
         self.past = (self.past << 2 & 12) + outcome
         self.back = self.last
         self.last = ids
@@ -80,69 +158,120 @@ class _Model:
                 t += _FIELDS
 
 
-def _narrow(low: np.ndarray, reach: np.ndarray) -> np.ndarray | None:
-    """Lanes whose interval is under 2^32, after cutting it to one value of the upper half of low."""
+def _shift(low: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose interval is under 2^32, and the upper half of their low: the interval is cut to one value of it and widened."""
     out = np.flatnonzero(reach <= _LOW)
-    if not len(out):
-        return None
-    lo, re = low[out], reach[out]
-    apart = (lo >> _S32) != ((lo + re - np.uint64(1)) >> _S32)
-    if apart.any():
-        reach[out] = np.where(apart, (~lo & _LOW) + np.uint64(1), re)
-    return out
+    lo, re = low.take(out, mode="clip"), reach.take(out, mode="clip")
+    word = lo >> _S32
+    re = np.where(word == (lo + re - _ONE) >> _S32, re, (~lo & _LOW) + _ONE)
+    low[out] = lo << _S32
+    reach[out] = re << _S32
+    return out, word
 
 
 def raw_bits(ids: np.ndarray) -> int:
-    return max(_T0 + 1, int(ids.max()).bit_length() if len(ids) else 1)
+    return max(1, int(ids.max()).bit_length() if len(ids) else 1)
+
+
+def _fallbacks(seen: _Frequencies | None, lanes: slice, now: np.ndarray, before: np.ndarray, new: np.ndarray, rank: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the ids of a round of some lanes, by position and lane: four times the order-1 bucket, the outcome if order 2 fails, its interval."""
+    ranks = rank[now]
+    inner = new[ranks]
+    outcome = np.full(now.shape, 3, np.int8)
+    buckets = np.zeros(now.shape, np.int8)
+    if seen is not None:
+        n, size = len(now), seen.size
+        every = np.arange(n)[:, None]
+        # order 0, by a table of lanes and ids
+        single = seen.singles
+        some = slice(*np.searchsorted(single.heads, (lanes.start * size, lanes.stop * size)))
+        table = np.zeros(n * kinds, np.int32)
+        table[(single.heads[some] // size - lanes.start) * kinds + rank[single.head_keys[some]]] = single.head_runs[some] & _RUN
+        run = table[every * kinds + ranks].astype(np.int64)
+        found = run > 0
+        inner[found] = (run >> 14 | (run & _SIZE) << 20 | size << 40)[found].view(np.uint64)
+        outcome[found] = 2
+        # order 1
+        context = _contexts(before)
+        known = seen.context[(every + lanes.start << _HASH) + context].astype(np.int64)
+        buckets = (known >> 25 & 0x3C).astype(np.int8)
+        keys = (context << MOST_BITS).astype(np.uint32) | now
+        at = np.empty(now.shape, np.int64)
+        pairs = seen.pairs
+        edges = np.searchsorted(pairs.heads, np.arange(lanes.start, lanes.stop + 1) * size)
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            at[i] = np.searchsorted(pairs.head_keys[a:b], keys[i])
+        at = np.minimum(at + edges[:-1, None], len(pairs.heads) - 1)
+        found = pairs.head_keys[at] == keys
+        found &= at < edges[1:, None]
+        run, known = pairs.head_runs[at[found]] & _RUN, known[found]
+        inner[found] = ((run >> 14) - (known >> 14 & _BEGIN) | (run & _SIZE) << 20 | (known & _SIZE) << 40).view(np.uint64)
+        outcome[found] = 1
+    return buckets.T, outcome.T, inner.T
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, bits: int | None = None) -> dict:
-    """Arrays of a segment: per block its number of ids, CRC, number of 32-bit words; all words; the width of a plain id."""
+    """Arrays of a segment: per block its number of ids, CRC, number of 32-bit words; all words; the header."""
     bits = bits or raw_bits(ids)
-    if bits > 22:
-        raise ValueError("ids of more than 22 bits")
+    if bits > MOST_BITS or block > MOST_BLOCK:
+        raise ValueError(f"ids of more than {MOST_BITS} bits, or blocks of more than {MOST_BLOCK} ids")
     n = -(-len(ids) // block)
     sizes = np.full(n, block)
     if n:
         sizes[-1] = len(ids) - block * (n - 1)
-    wide = np.zeros((n, block), np.int64)  # a shorter last block is coded with zeros behind
-    wide.reshape(-1)[: len(ids)] = ids
-    columns = np.ascontiguousarray(wide.T)
+    shown = np.zeros((n, block), np.uint32)  # a shorter last block is coded with zeros behind
+    shown.reshape(-1)[: len(ids)] = ids
+    kinds, exponents = header(shown.reshape(-1), bits) if n else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+    weight = np.uint64(1) << exponents.astype(np.uint64)
+    new = np.cumsum(weight) - weight | weight << np.uint64(20) | weight.sum() << np.uint64(40)
+    rank = np.zeros(1 << bits, np.int32)
+    rank[kinds] = np.arange(len(kinds))
     model = _Model(n, bits)
     low, reach = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    said: list[tuple[np.ndarray, np.ndarray]] = []
-    part_bits = np.array([0, 0, _T0, bits], np.uint64)
-    for t in range(int(sizes.max()) if n else 0):
-        x = columns[t]
-        ends, total = model.predict()
-        slot = x & ((1 << _T0) - 1)
-        i0 = model.base0 + slot
-        hit2, hit1 = model.p2 >> 2 == x, model.p1 >> 2 == x
-        outcome = 3 - (model.t0.take(i0, mode="clip") == x).astype(np.int64)
-        outcome[hit1] = 1
-        outcome[hit2] = 0
-        at = (outcome << 4).view(np.uint64)
-        end = ends >> at & _FIELD
-        begin = (ends << np.uint64(16)) >> at & _FIELD
-        r = reach // total
-        low += r * begin
-        reach = r * (end - begin)
-        # a seen id is one of 2^T0 parts of its interval, a plain id one of 2^bits
-        width = part_bits.take(outcome, mode="clip")
-        reach >>= width
-        low += np.where(outcome == 3, x, np.where(outcome == 2, slot, 0)).view(np.uint64) * reach
-        model.update(x, outcome, hit2, hit1, i0)
-        out = _narrow(low, reach)
-        if out is not None:
-            said.append((out, (low[out] >> _S32).astype(np.uint32)))
-            low[out] <<= _S32
-            reach[out] <<= _S32
+    lanes_said: list[np.ndarray] = []
+    words_said: list[np.ndarray] = []
+    every = np.arange(n, dtype=np.int32)
+    part = np.uint64((1 << 20) - 1)
+    context = np.zeros(n << _HASH, np.int32)
+    for start, end in _rounds(int(sizes.max()) if n else 0):
+        now = shown[:, start:end]
+        before = np.zeros_like(now)
+        before[:, 1:] = now[:, :-1]
+        if start:
+            before[:, 0] = shown[:, start - 1]
+        buckets, outcomes, inners = (np.empty((end - start, n), kind) for kind in (np.int8, np.int8, np.uint64))
+        seen = _Frequencies(shown[:, :start], context) if start else None
+        at_once = max(1, min((1 << 21) // len(kinds), (1 << 17) // (end - start)))
+        for i in range(0, n, at_once):
+            some = slice(i, min(n, i + at_once))
+            buckets[:, some], outcomes[:, some], inners[:, some] = _fallbacks(seen, some, now[some], before[some], new, rank, len(kinds))
+        del seen
+        columns = np.ascontiguousarray(now.T)
+        for t in range(end - start):
+            x = columns[t].astype(np.int64)
+            ends, total = model.predict(buckets[t], start == 0)
+            hit = model.p2 >> 2 == x
+            outcome = np.where(hit, 0, outcomes[t].astype(np.int64))
+            inner = np.where(hit, _CERTAIN, inners[t])
+            at = (outcome << 4).view(np.uint64)
+            begin = (ends << _S16) >> at & _FIELD
+            r = reach // total
+            low += r * begin
+            reach = r * ((ends >> at & _FIELD) - begin)
+            r = reach // (inner >> np.uint64(40))
+            low += r * (inner & part)
+            reach = r * (inner >> np.uint64(20) & part)
+            model.update(x, outcome)
+            out, word = _shift(low, reach)
+            lanes_said.append(out.astype(np.int32))
+            words_said.append(word.astype(np.uint32))
     for word in (low >> _S32, low & _LOW):
-        said.append((np.arange(n), word.astype(np.uint32)))
-    lane, word = (np.concatenate(x) for x in zip(*said, strict=True))
-    order = np.argsort(lane.astype(np.uint32), kind="stable")
+        lanes_said.append(every)
+        words_said.append(word.astype(np.uint32))
+    lane, word = np.concatenate(lanes_said), np.concatenate(words_said)
+    order = np.argsort(lane.astype(np.uint16) if n < 1 << 16 else lane, kind="stable")
     crc = np.array([zlib.crc32(ids[i * block : i * block + s].astype("<u4").tobytes()) for i, s in enumerate(sizes)], np.uint32)
-    return {"bits": bits, "sizes": sizes.astype(np.int32), "crcs": crc, "words": np.bincount(lane, minlength=n).astype(np.int32), "payload": word[order]}
+    return {"bits": bits, "kinds": kinds, "exponents": exponents, "sizes": sizes.astype(np.int32), "crcs": crc, "words": np.bincount(lane, minlength=n).astype(np.int32), "payload": word[order]}
 
 
 def decode(segment: dict) -> np.ndarray:
@@ -153,44 +282,76 @@ def decode(segment: dict) -> np.ndarray:
         return np.zeros(0, np.uint32)
     data = np.concatenate((payload.astype(np.uint64), np.zeros(2, np.uint64)))
     at = (np.cumsum(words) - words).astype(np.int64)
+    kinds = segment["kinds"].astype(np.int64)
+    weight = 1 << segment["exponents"].astype(np.int64)
+    prior = np.cumsum(weight) - weight
+    of_part = np.repeat(np.arange(len(kinds)), weight)
     model = _Model(n, bits)
     low, reach = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     code = data[at] << _S32 | data[at + 1]
     at += 2
-    columns = np.zeros((int(sizes.max()), n), np.int64)
-    part_bits = np.array([0, 0, _T0, bits], np.uint64)
-    most = np.array([0, 0, (1 << _T0) - 1, (1 << bits) - 1], np.uint64)
-    last_place = len(data) - 1
-    for t in range(len(columns)):
-        ends, total = model.predict()
-        r = reach // total
-        value = (code - low) // r
-        outcome = (value >= ends & _FIELD).astype(np.int64)
-        outcome += value >= (ends >> np.uint64(16) & _FIELD)
-        outcome += value >= (ends >> _S32 & _FIELD)
-        shift = (outcome << 4).view(np.uint64)
-        end = ends >> shift & _FIELD
-        begin = (ends << np.uint64(16)) >> shift & _FIELD
-        low += r * begin
-        reach = r * (end - begin)
-        reach >>= part_bits.take(outcome, mode="clip")
-        part = np.minimum((code - low) // reach, most.take(outcome, mode="clip"))
-        low += part * reach
-        x = part.view(np.int64)
-        i0 = model.base0 + (x & ((1 << _T0) - 1))
-        x = np.where(outcome == 3, x, model.t0.take(i0, mode="clip"))
-        x = np.where(outcome == 1, model.p1 >> 2, x)
-        x = np.where(outcome == 0, model.p2 >> 2, x)
-        columns[t] = x
-        i0 = model.base0 + (x & ((1 << _T0) - 1))
-        model.update(x, outcome, model.p2 >> 2 == x, model.p1 >> 2 == x, i0)
-        out = _narrow(low, reach)
-        if out is not None:
-            code[out] = code[out] << _S32 | data[np.minimum(at[out], last_place)]
-            at[out] += 1
-            low[out] <<= _S32
-            reach[out] <<= _S32
-    ids = columns.T.astype(np.uint32).reshape(-1)[: int(sizes.sum())]
+    longest = int(sizes.max())
+    shown = np.zeros((n, longest), np.uint32)
+    every = np.arange(n, dtype=np.int64)
+    context_of = _contexts(np.arange(1 << bits))
+    base_context, context = every << _HASH, np.zeros(n << _HASH, np.int32)
+    none = np.zeros(n, np.int64)
+    for start, end in _rounds(longest):
+        columns = np.empty((end - start, n), np.uint32)
+        known = none
+        if start:
+            seen = _Frequencies(shown[:, :start], context)
+            runs = np.concatenate((seen.pairs.runs(), seen.singles.runs()))
+            base = every * start
+            base_single = base + n * start
+            del seen
+        # by outcome: parts of the second step; order 1 has its own per lane
+        totals = np.array([1, 1, max(start, 1), len(of_part)], np.int64)
+        for t in range(end - start):
+            if start:
+                known = context.take(base_context + context_of.take(model.last, mode="clip"), mode="clip").astype(np.int64)
+            ends, total = model.predict(known >> 25 & 0x3C, start == 0)
+            r = reach // total
+            value = (code - low) // r
+            # the upper bit of a field stays where the value has reached its end
+            outcome = np.bitwise_count(((value * _FIELDS | _UPPER) - ends) & _UPPER).astype(np.int64)
+            shift = (outcome << 4).view(np.uint64)
+            begin = (ends << _S16) >> shift & _FIELD
+            low += r * begin
+            reach = r * ((ends >> shift & _FIELD) - begin)
+            parts = totals.take(outcome, mode="clip")
+            first = outcome == 1
+            x = model.p2 >> 2
+            if start:
+                parts = np.where(first, known & _SIZE, parts)
+            r = reach // parts.view(np.uint64)
+            value = np.minimum(((code - low) // r).view(np.int64), parts - 1)
+            lower, width = np.zeros(n, np.int64), np.ones(n, np.int64)
+            if start:
+                into = known >> 14 & _BEGIN
+                run = runs.take(value + np.where(first, base + into, base_single), mode="clip")
+                x = np.where(outcome > 0, run >> 28, x)
+                lower = np.where(first, (run >> 14 & _SIZE) - into, run >> 14 & _SIZE)
+                width = run & _SIZE
+                sure = np.flatnonzero(outcome == 0)
+                lower[sure] = 0
+                width[sure] = 1
+            new = np.flatnonzero(outcome == 3)
+            if len(new):
+                which = of_part.take(value[new], mode="clip")
+                x[new] = kinds.take(which, mode="clip")
+                lower[new] = prior.take(which, mode="clip")
+                width[new] = weight.take(which, mode="clip")
+            low += lower.view(np.uint64) * r
+            reach = width.view(np.uint64) * r
+            columns[t] = x
+            model.update(x, outcome)
+            out, _ = _shift(low, reach)
+            place = at.take(out, mode="clip")
+            code[out] = code.take(out, mode="clip") << _S32 | data.take(place, mode="clip")
+            at[out] = place + 1
+        shown[:, start:end] = columns.T
+    ids = shown.reshape(-1)[: int(sizes.sum())]
     edge = np.cumsum(sizes)
     for i, (e, s) in enumerate(zip(edge.tolist(), sizes.tolist(), strict=True)):
         if zlib.crc32(ids[e - s : e].astype("<u4").tobytes()) != segment["crcs"][i]:

@@ -91,7 +91,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [M64], np.uint64)
+LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [M64], np.uint64)
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     size = ends - starts
 
     def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
-        return eights[at].view(np.uint64).ravel() & _MASKS[np.minimum(left, 8)]
+        return eights[at].view(np.uint64).ravel() & LOW_BYTES[np.minimum(left, 8)]
 
     h = mix(load(starts, size) ^ (size.astype(np.uint64) * np.uint64(BASE)))
     rest = np.flatnonzero((size > 8) & (size <= _LONG_WORD))

@@ -1,19 +1,16 @@
 """Token ids of a corpus in compressed binary blocks, written and read back by Spark.
 
 Documents are dealt to partitions by ranges of their id and sorted, so that partition,
-segment and block numbers follow the ids. Texts are encoded, the end id is appended to
-each, and segments of about LANES * BLOCK ids (whole documents) become rows of a Parquet
-folder: the documents' ids and token counts, and the blocks of `idcoder`, each with its
-own checksum. Any segment can be read without the others.
-
-A tokenizer run costs far more than looking up a piece that has been seen, so texts are
-cut where no token can span (before a single space after an ASCII sign or letter, or one
-of the two-byte letters), and each distinct piece of a slice is encoded once. The
-tokenizer's own special strings in a text are ordinary text.
-
-Defined results: null and empty texts are the end id alone; repeated rows each have their
-place, in the order of their texts; null ids come first; an empty table gives an empty
-folder and no rows. Extra columns are not written.
+segment and block numbers follow the ids (or kept in the order in which they come). Texts
+are encoded (see `pieces`), the end id is appended to each, and segments of about
+LANES * BLOCK ids (whole documents) become rows of a Parquet folder: the documents' ids and
+token counts, and the blocks of `idcoder`, each with its own checksum. Any segment can be
+read without the others. The tokenizer's own special strings in a text are ordinary text.
+
+Defined results: null and empty texts are the end id alone; rows that repeat an id each
+have their place, in an order of their texts' hashes, and may lie in several partitions;
+null ids come first; an empty table gives an empty folder and no rows. Extra columns are
+not written.
 """
 
 from __future__ import annotations
@@ -27,21 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm import idcoder
+from lexispark.llm import idcoder, pieces
 from lexispark.llm import textvec as tv
 from lexispark.llm.scratch import scratch_dir, shuffle_width
 
 END_ID = 0
-SLICE = 8 << 20
-KEPT_PIECES = 250_000
-AT_ONCE = 10_000
+SLICE = 1 << 20
 
 SEGMENT = (
-    "part int, segment int, n_tokens bigint, has_id binary, doc_ids binary, doc_tokens binary, "
-    "bits int, block_ids binary, block_crcs binary, block_words binary, payload binary"
+    "part int, segment int, n_tokens bigint, has_id binary, doc_ids binary, doc_tokens binary, bits int, kinds binary, "
+    "exponents binary, block_ids binary, block_crcs binary, block_words binary, payload binary"
 )
-_PREVIOUS = tv.byte_table([*range(0x21, 0x7F)])
-_TWO_BYTE_LEAD = tv.byte_table(range(0xC3, 0xE0))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -50,94 +43,6 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def load_tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
-class PieceEncoder:
-    """Ids of whole texts from the ids of their pieces."""
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted; check and place are in the same order
-        self.check = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    @staticmethod
-    def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of every piece; text starts are piece starts."""
-        edge = np.zeros(len(buf) + 1, bool)
-        if len(buf) > 1:
-            plain = _PREVIOUS[buf[:-1]]
-            plain[1:] |= _TWO_BYTE_LEAD[buf[:-2]] & (buf[1:-1] >= 0x80)
-            edge[1:-1] = (buf[1:] == 0x20) & plain
-        edge[off[:-1]] = True
-        edge[len(buf)] = True
-        starts = np.flatnonzero(edge)
-        return starts[:-1], starts[1:]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of ids of each text."""
-        buf, off = tv.text_bytes(texts)
-        n = len(texts)
-        if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
-        starts, ends = self.cut(buf, off)
-        key = tv.hash_spans(buf, starts, ends)
-        check = tv.mix(key + tv.hash_spans(buf[::-1], len(buf) - ends, len(buf) - starts))
-        kinds, one, back = np.unique(key, return_index=True, return_inverse=True)
-        if (check[one][back] != check).any() or not self._known(kinds, check[one]):
-            return self._plain(texts)
-        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != kinds) if len(self.keys) else np.arange(len(kinds))
-        if len(new):
-            if len(self.keys) + len(new) > KEPT_PIECES:
-                self._forget()
-                new = np.arange(len(kinds))
-            self._learn(kinds[new], check[one[new]], [buf[starts[i] : ends[i]].tobytes().decode() for i in one[new].tolist()])
-            at = np.searchsorted(self.keys, kinds)
-        place = self.place[at][back]
-        size = self.first[place + 1] - self.first[place]
-        head = np.cumsum(size) - size
-        ids = self.ids[np.repeat(self.first[place] - head, size) + np.arange(size.sum())]
-        text = np.searchsorted(off, starts, side="right") - 1
-        return ids, np.bincount(text, size, n).astype(np.int64)
-
-    def _known(self, kinds: np.ndarray, check: np.ndarray) -> bool:
-        """Whether pieces with a known key are the known pieces."""
-        if not len(self.keys):
-            return True
-        at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
-        return not ((self.keys[at] == kinds) & (self.check[at] != check)).any()
-
-    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        return np.concatenate([np.array(x, np.int32) for x in made] or [np.zeros(0, np.int32)]), np.array([len(x) for x in made], np.int64)
-
-    def _learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
-        made = [e.ids for i in range(0, len(pieces), AT_ONCE) for e in self.tokenizer.encode_batch_fast(pieces[i : i + AT_ONCE], add_special_tokens=False)]
-        count = len(self.first) - 1
-        sizes = np.array([len(x) for x in made], np.int64)
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in made for i in x), np.int32, int(sizes.sum()))))
-        keys, check = np.concatenate((self.keys, keys)), np.concatenate((self.check, check))
-        place = np.concatenate((self.place, np.arange(count, count + len(made))))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.check, self.place = keys[order], check[order], place[order]
-
-
 def _with_end(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.full(len(ids) + len(sizes), END_ID, np.int32)
     keep = np.ones(len(out), bool)
@@ -153,7 +58,7 @@ def _encode_partition(path: str, block: int, lanes: int):
     arrow = to_arrow_schema(StructType.fromDDL(SEGMENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(load_tokenizer(path))
+        encoder = pieces.worker_encoder(path)
         part = TaskContext.get().partitionId()
         segment, room = 0, block * lanes
         ids, tokens, docs, named = [], [], [], []
@@ -161,7 +66,7 @@ def _encode_partition(path: str, block: int, lanes: int):
         def row() -> pa.RecordBatch:
             made = idcoder.encode(np.concatenate(ids), block)
             values = [part, segment, sum(map(len, ids)), np.concatenate(named).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(tokens).tobytes(), made["bits"]]
-            values += [made[k].tobytes() for k in ("sizes", "crcs", "words", "payload")]
+            values += [made[k].tobytes() for k in ("kinds", "exponents", "sizes", "crcs", "words", "payload")]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -193,15 +98,19 @@ def _encode_partition(path: str, block: int, lanes: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = idcoder.BLOCK, lanes: int = idcoder.LANES) -> None:
+def write_tokens(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = idcoder.BLOCK, lanes: int = idcoder.LANES, by_id: bool = True) -> None:
+    """Write the files, in ascending order of id, or (by_id=False) in the order of docs' partitions and rows."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_encode_partition(vocabulary, block, lanes), SEGMENT).write.parquet(out)
+    if by_id:
+        # an id on very many rows is dealt on by text, and by where a row comes from
+        order = ["id", F.xxhash64("text"), "origin"]
+        rows = rows.withColumn("origin", F.spark_partition_id()).repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows.select("id", "text").mapInArrow(_encode_partition(vocabulary, block, lanes), SEGMENT).write.parquet(out)
 
 
 def _segment_of(batch: pa.RecordBatch, i: int) -> dict:
     col = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-    return {"bits": batch.column("bits")[i].as_py(), "sizes": col("block_ids", np.int32), "crcs": col("block_crcs", np.uint32), "words": col("block_words", np.int32), "payload": col("payload", np.uint32)} | {
+    return {"bits": batch.column("bits")[i].as_py(), "kinds": col("kinds", np.uint32), "exponents": col("exponents", np.uint8), "sizes": col("block_ids", np.int32), "crcs": col("block_crcs", np.uint32), "words": col("block_words", np.int32), "payload": col("payload", np.uint32)} | {
         "named": col("has_id", np.uint8), "docs": col("doc_ids", np.int64), "tokens": col("doc_tokens", np.int64),
     }
 

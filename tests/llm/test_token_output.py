@@ -3,7 +3,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from lexispark.llm import idcoder as c
+from lexispark.llm import pieces
 from lexispark.llm import token_output as to
 
 SF = "/root/testdata/sf0.01"
@@ -23,7 +27,7 @@ def test_blocks_are_independent_and_checked():
     ids = np.random.default_rng(1).integers(0, 90, 1000).astype(np.uint32)
     s = c.encode(ids, 100)
     edge = np.cumsum(s["words"])
-    one = {k: s[k][4:5] for k in ("sizes", "crcs", "words")} | {"bits": s["bits"], "payload": s["payload"][edge[3] : edge[4]]}
+    one = {k: s[k][4:5] for k in ("sizes", "crcs", "words")} | {k: s[k] for k in ("bits", "kinds", "exponents")} | {"payload": s["payload"][edge[3] : edge[4]]}
     assert (c.decode(one) == ids[400:500]).all()
     assert s["payload"].nbytes < 2 * len(ids)
     s["payload"] = s["payload"].copy()
@@ -32,25 +36,69 @@ def test_blocks_are_independent_and_checked():
         c.decode(s)
 
 
-def plain(rows):
-    t = to.load_tokenizer(to.vocabulary_path())
+def test_shorter_than_zlib_and_order_0(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(4000).collect()]
+    ids, sizes = pieces.worker_encoder(to.vocabulary_path()).encode(pa.array(texts))
+    ids = to._with_end(ids, sizes)
+    made = c.encode(ids)
+    size = sum(made[k].nbytes for k in ("payload", "kinds", "exponents", "crcs", "words", "sizes"))
+    counts = np.bincount(ids)
+    p = counts[counts > 0] / len(ids)
+    assert size < len(ids) * -(p * np.log2(p)).sum() / 8
+    assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+    assert (c.decode(made) == ids).all()
+
+
+def plain(rows, by_id=True):
+    t = pieces.load_tokenizer(to.vocabulary_path())
     out, start = [], 0
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+    code = lambda text: 42 if text is None else (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], code(r[1]))) if by_id else rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
 
 
-def test_pieces_equal_whole_texts():
-    texts = ["", " ", "a", " a  b   c ", "don't we'll  \n x", "a  b 　 c  d", "é è ñ ß x", "中 文 字 a", "!! ?? 12 34a b1", "<|endoftext|> x <|endoftext|>", "tab\t x\r\n y", "\u0085 a\u0085 b", "a \U0001f600 b\U0001f600 c", "x\x1c y\x1f z\x00 q", "l'été s'en 'S 'll"]
-    t = to.load_tokenizer(to.vocabulary_path())
-    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    e = to.PieceEncoder(t)
-    for _ in range(2):
-        ids, sizes = e.encode(pa.array(texts))
-        ends = np.cumsum(sizes)
-        assert [ids[b - s : b].tolist() for s, b in zip(sizes, ends)] == want
+TEXTS = ["", " ", "a", " a  b   c ", "don't we'll  \n x", "a\u00a0b \u3000 c  d", "é è ñ ß x", "中 文 字 a", "!! ?? 12 34a b1", "<|endoftext|> x <|endoftext|>", "tab\t x\r\n y", "\u0085 a\u0085 b", "a \U0001f600 b\U0001f600 c", "x\x1c y\x1f z\x00 q", "l'été s'en 'S 'll",
+    "a\n\nb", "a\n b\t\tc\n", "x.'s y'd 'tis ''ll 1's", "中文。日本語、한국어 ½x² Ⅷ", "’s “q” – a… b", "naïve×3÷2 Ωμέγα Привет, мир!", "\u0301a \u0345b ªº", "a" * 5000 + " " * 30 + "b"]
+
+
+def encoded(e, texts):
+    ids, sizes = e.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(sizes)
+    return [ids[b - s : b].tolist() for s, b in zip(sizes, ends)]
+
+
+@pytest.mark.parametrize("kept", [pieces.KEPT_BYTES, 2000])
+def test_pieces_equal_whole_texts(kept):
+    e = pieces.PieceEncoder(to.vocabulary_path(), kept)
+    want = [x.ids for x in e.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
+    for _ in range(3):
+        assert encoded(e, TEXTS) == want
+    assert len(e.hits.all()) * pieces._PIECE_BYTES < 2 * pieces.KEPT_BYTES
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ éß×Ωж中。'’.,!19½\n\t\r\x1c\u00a0\u2028\u3000\U0001f600s tdm")), max_size=6))
+def test_pieces_equal_random_texts(texts):
+    e = pieces.worker_encoder(to.vocabulary_path())
+    assert encoded(e, texts) == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    path = to.vocabulary_path("word_bpe_49k.json")
+    e = pieces.PieceEncoder(path)
+    assert not e.by_piece
+    assert encoded(e, TEXTS) == [x.ids for x in e.tokenizer.encode_batch(TEXTS, add_special_tokens=False)]
+
+
+def test_equal_hashes_are_told_apart():
+    t = pieces._Table(4)
+    key, check = np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 3], np.uint64)
+    t.put(key, check, np.arange(4, dtype=np.int32))
+    assert t.find(key, check).tolist() == [0, 1, 2, 3]
+    assert t.find(np.array([5, 9], np.uint64), np.array([4, 1], np.uint64)).tolist() == [-1, -1]
 
 
 def test_query_equals_brute_force(spark):
@@ -59,10 +107,16 @@ def test_query_equals_brute_force(spark):
     assert got == sorted(plain(rows))
 
 
-def test_edges(spark, monkeypatch):
-    monkeypatch.setattr(to, "KEPT_PIECES", 5)
+def test_edges(spark):
     rows = [(2, None), (1, ""), (2, "x"), (2, "x"), (None, "n"), (7, "word " * 3000), (8, "end")]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
     got = [tuple(r) for r in to.token_index(d, block=64, lanes=3).collect()]
     assert sorted(got, key=lambda r: r[1]) == plain(rows)
     assert to.token_index(d.limit(0)).count() == 0
+
+
+def test_order_of_rows_can_be_kept(spark):
+    rows = [(9, "c d"), (2, "a"), (5, None), (2, "a"), (1, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in to.token_index(d, by_id=False).collect()]
+    assert sorted(got, key=lambda r: r[1]) == plain(rows, by_id=False)
