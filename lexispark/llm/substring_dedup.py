@@ -1,20 +1,26 @@
 """Substring deduplication over prefix-partitioned suffix trees.
 
-Suffixes are word sequences. The trees are cut at a depth of WINDOW words: a node at that
-depth with more than one leaf is a repeat, and deeper nodes would mark no other word. All
-its leaves but the first (least id, then least start) are removed windows; consecutive
-ones make up the maximal repeats.
-
-1. A suffix whose window nobody shares has no such node. Every window has an anchor, its
-   least-hashed run of ANCHOR words, which equal windows share; windows with an anchor
-   that occurs once are dropped. Each task merges equal anchors before the shuffle.
-2. The other suffixes are dealt to trees by a prefix of half a window; a prefix with more
-   suffixes than an even share is extended to the whole window. Each task merges equal
-   windows first, so one passage, however common, sends one suffix per slice of text.
-3. Each partition walks its subtrees in prefix order, in batches: the first leaf of a
-   deep node stays, the others are reported.
-
-Words are compared by 64-bit hashes of words, anchors and windows (76 bits with the prefix).
+Suffixes are word sequences. What has to be found are the nodes of WINDOW words or more
+with more than one leaf: their repeats. The trees are sparse: of every window the suffix
+that starts at its anchor, the least-hashed run of ANCHOR words in it, is a leaf, with the
+words before it at hand. Equal windows have equal anchors at the same place, so that they
+are leaves of one tree, and neighbouring windows mostly share a leaf.
+
+1. Windows whose anchor occurs once have no such node and are dropped. Each task merges
+   equal anchors before the shuffle.
+2. The other leaves are dealt to trees by the prefix that the anchor is, with the text of
+   their windows. A prefix with more leaves than an even share is made longer, to a whole
+   window. Each task builds the trees of its slice of text first and sends no leaf whose
+   windows all start earlier in the slice, so that a passage, however common, sends one
+   leaf per slice.
+3. Each partition builds the subtrees of its prefixes: leaves in the order of the words to
+   come, with the words that neighbours have in common, and once more in the order of the
+   words before. A window that starts j words before its anchor repeats where leaves have
+   a node of WINDOW - j words in the first order and one of j words in the second. The
+   first leaf of such a node (least id, then least start) stays, the others are reported;
+   consecutive ones make up the maximal repeats.
+
+Words are compared by 64-bit hashes, anchors by 62 bits.
 
 Defined results: null and empty texts have no words; texts under WINDOW words lose
 nothing; rows repeated with the same id are one document that occurs once (rows that share
@@ -39,20 +45,20 @@ from lexispark.llm.arrowmap import over_texts
 from lexispark.llm.scratch import materialize, shuffle_width
 
 WINDOW, ANCHOR = 20, 8
-PREFIX_BITS = 12
-_POS_BITS = 40
+_LEFT_BITS = 8
 _KEY_BITS = 62
 #: Kinds of rows of the first pass, in the two upper bits of the key.
-_ONE, _MANY, _KNOWN, _COUNT = range(4)
+_ONE, _MANY, _KNOWN = range(3)
 
 
 class _Suffixes:
-    """Words, windows and anchors of a slice of texts."""
+    """Words, windows and anchors of a slice of texts; owner is the word at which a window's anchor starts."""
 
     def __init__(self, texts: pa.Array, window: int, anchor: int) -> None:
         buf, off = tv.text_bytes(texts)
-        starts, ends, self.row = tv.words(buf, off, tv.NOT_SPACE)
-        self.first = np.searchsorted(self.row, np.arange(len(texts)))
+        self.buf = buf
+        self.starts, self.ends, self.row = starts, ends, row = tv.words(buf, off, tv.NOT_SPACE)
+        self.first = np.searchsorted(row, np.arange(len(texts)))
         self.wh = tv.hash_spans(buf, starts, ends)
         self.window = window
         self.at = np.flatnonzero(tv.same_row(self.row, window))
@@ -71,13 +77,6 @@ class _Suffixes:
             self.owner = self.at + owner[self.at]
         self.keys = short >> np.uint64(64 - _KEY_BITS)
 
-    def prefixes(self) -> np.ndarray:
-        half = tv.window_hashes(self.wh, self.window // 2, 2)
-        return (half[self.at] >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)
-
-    def full(self) -> np.ndarray:
-        return tv.window_hashes(self.wh, self.window, 3)[self.at].view(np.int64)
-
 
 def _anchor_rows(window: int, anchor: int):
     def emit(ids: pa.Array, texts: pa.Array):
@@ -95,10 +94,6 @@ def _anchor_rows(window: int, anchor: int):
         pairs = np.unique(np.stack([keys[back[known]].view(np.int64), ids[s.row[places[known]]]]), axis=1)
         out_key.append(pairs[0].view(np.uint64) | np.uint64(_KNOWN << _KEY_BITS))
         out_doc.append(pairs[1])
-        bins = np.bincount(s.prefixes(), minlength=1 << PREFIX_BITS)
-        big = np.flatnonzero(bins > 2 + 2 * len(s.at) / len(bins))
-        out_key.append(big.astype(np.uint64) | np.uint64(_COUNT << _KEY_BITS))
-        out_doc.append(bins[big])
         return {"key": np.concatenate(out_key).view(np.int64), "doc": np.concatenate(out_doc)}
 
     return emit
@@ -109,7 +104,7 @@ def _kind(keys: np.ndarray) -> np.ndarray:
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of their 62-bit key: (key, doc) of anchors in more than one slice, and the rows that pass."""
+    """Of rows in order of their 62-bit key: (key, doc) of anchors in more than one slice or place."""
     names = ["key", "doc"]
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last key's rows so far: one is enough to go on
     seen = False
@@ -119,7 +114,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         kind = _kind(key)
         through = kind >= _KNOWN
         if through.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[through]), pa.array(doc[through])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[through] & mask), pa.array(doc[through])], names)
         key, doc = np.concatenate([held[0], key[~through]]), np.concatenate([held[1], doc[~through]])
         if not len(key):
             continue
@@ -137,8 +132,65 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         held, seen = (key[-1:], doc[-1:]), not pending
 
 
-def _window_rows(window: int, anchor: int, docs_with_keys: DataFrame) -> DataFrame:
-    """(full, doc, loc): suffixes with a shared anchor, one per slice and window, and runs already known to be repeats."""
+class _Tree:
+    """The subtrees of prefixes: leaves in order of their words, and how many words each has in common with the leaf before."""
+
+    def __init__(self, prefix: np.ndarray, words: np.ndarray) -> None:
+        self.order = np.lexsort((*words.T[::-1], prefix))
+        p, w = prefix[self.order], words[self.order]
+        self.common = np.full(len(p), -1)
+        self.common[1:] = np.where(p[1:] == p[:-1], np.logical_and.accumulate(w[1:] == w[:-1], axis=1).sum(axis=1), -1)
+
+    def node(self, depth: int) -> np.ndarray:
+        """Every leaf's ancestor that is `depth` words under the prefix, by number."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.common < depth)
+        return out
+
+
+class _Leaves:
+    """Occurrences of anchors in order of document and place; left and n say which windows each stands for."""
+
+    def __init__(self, prefix: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, n: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        self.columns = [prefix, doc, pos, left, n, before, after]
+        self.prefix, self.doc, self.pos, self.left, self.n, self.before, self.after = self.columns
+        offsets = np.arange(before.shape[1] + 1)
+        self.windows = (offsets <= left[:, None]) & (offsets > (left - n)[:, None])  # by how far a window starts before the anchor
+
+    @staticmethod
+    def at(hashes: np.ndarray, place: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words before and after the anchors at these places (what lies outside their windows is not looked at)."""
+        reach = np.arange(window - anchor)
+        return (hashes.take(place[:, None] + step, mode="clip") for step in (-1 - reach, anchor + reach))
+
+    def take(self, rows: np.ndarray) -> _Leaves:
+        return _Leaves(*(c[rows] for c in self.columns))
+
+    def join(self, other: _Leaves) -> _Leaves:
+        return _Leaves(*(np.concatenate(x) for x in zip(self.columns, other.columns, strict=True)))
+
+    def later(self) -> np.ndarray:
+        """Of the leaves' windows, those that start earlier too."""
+        out = np.zeros(self.windows.shape, bool)
+        ahead, behind = _Tree(self.prefix, self.after), _Tree(self.prefix, self.before)
+        reach = self.before.shape[1]
+        for j in range(reach + 1):
+            some = np.flatnonzero(self.windows[:, j])
+            node = ahead.node(reach - j)[some] * (len(self.doc) + 1) + behind.node(j)[some]
+            order = np.argsort(node, kind="stable")
+            node, some = node[order], some[order]
+            new = np.append(True, node[1:] != node[:-1])[: len(node)]
+            head = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            out[some, j] = (self.doc[some] != self.doc[head]) | (self.pos[some] != self.pos[head])
+        return out
+
+    def runs(self, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, j = np.nonzero(later)
+        return _runs(self.doc[row], self.pos[row] - j)
+
+
+def _leaf_rows(window: int, anchor: int, docs_with_keys: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """(prefix, doc, loc, n, text): leaves that are to be compared between slices, and (loc < 0) runs already known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,27 +202,43 @@ def _window_rows(window: int, anchor: int, docs_with_keys: DataFrame) -> DataFra
                 lists = part.column(2)
                 whose = np.repeat(np.arange(len(ids)), np.diff(np.asarray(lists.offsets)))
                 wanted = np.sort(np.asarray(lists.flatten()).view(np.uint64) ^ tv.mix(whose.astype(np.uint64)))
-                row = s.row[s.at]
-                mine = s.keys[s.owner] ^ tv.mix(row.astype(np.uint64))
+                mine = s.keys[s.owner] ^ tv.mix(s.row[s.at].astype(np.uint64))
                 hit = np.searchsorted(wanted, mine)
                 ok = np.flatnonzero((hit < len(wanted)) & (wanted[np.minimum(hit, len(wanted) - 1)] == mine)) if len(wanted) else np.zeros(0, np.int64)
                 if not len(ok):
                     continue
-                full, prefix, doc = s.full()[ok], s.prefixes()[ok], ids[row[ok]]
-                pos = s.at[ok] - s.first[row[ok]]
-                order = np.lexsort((pos, doc, full, prefix))
-                full, prefix, doc, pos = full[order], prefix[order], doc[order], pos[order]
-                new = np.ones(len(full), bool)
-                new[1:] = (full[1:] != full[:-1]) | (prefix[1:] != prefix[:-1])
-                head = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = (doc != doc[head]) | (pos != pos[head])
-                d, p, n = _runs(doc[later], pos[later])
+                owner, start = s.owner[ok], s.at[ok]
+                head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                place, n = owner[head], np.diff(np.append(head, len(owner)))
+                row = s.row[place]
+                order = np.lexsort((place, ids[row]))
+                place, n, row, start = place[order], n[order], row[order], start[head][order]
+                leaves = _Leaves(s.keys[place].view(np.int64), ids[row], place - s.first[row], place - start, n, *_Leaves.at(s.wh, place, window, anchor))
+                later = leaves.later()
+                d, p, m = leaves.runs(later)
+                stay = leaves.windows & ~later
+                long = stay.any(axis=1) & np.isin(leaves.prefix, heavy)
+                whole, j = np.nonzero(stay & long[:, None])
+                short = np.flatnonzero(stay.any(axis=1) & ~long)
+                most = stay.shape[1] - 1 - np.argmax(stay[short, ::-1], axis=1)
+                least = np.argmax(stay[short], axis=1)
+                full = tv.window_hashes(s.wh, window, 3)
+                first = np.concatenate((place[whole] - j, place[short] - most))
+                last = np.concatenate((place[whole] - j, place[short] - least)) + window - 1
+                size = s.ends[last] - s.starts[first]
+                offsets = np.concatenate(([0], np.cumsum(size)))
+                text = s.buf[np.repeat(s.starts[first] - offsets[:-1], size) + np.arange(offsets[-1])]
+                given = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(text)).cast(pa.string())
+                prefix = np.concatenate((full[place[whole] - j].view(np.int64), leaves.prefix[short], tv.mix(d.astype(np.uint64)).view(np.int64)))
+                loc = np.concatenate(((leaves.pos[whole] - j) << _LEFT_BITS, leaves.pos[short] << _LEFT_BITS | most, -p - 1))
+                doc = np.concatenate((leaves.doc[whole], leaves.doc[short], d))
+                count = np.concatenate((np.zeros(len(size), np.int64), m))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([full[new], n])), pa.array(np.concatenate([doc[new], d])), pa.array(np.concatenate([pos[new] | (prefix[new] << _POS_BITS), -p - 1]))],
-                    ["full", "doc", "loc"],
+                    [pa.array(prefix), pa.array(doc), pa.array(loc), pa.array(count), pa.concat_arrays([given, pa.nulls(len(d), pa.string())])],
+                    ["prefix", "doc", "loc", "n", "text"],
                 )
 
-    return docs_with_keys.mapInArrow(run, "full bigint, doc bigint, loc bigint")
+    return docs_with_keys.mapInArrow(run, "prefix bigint, doc bigint, loc bigint, n bigint, text string")
 
 
 def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,32 +252,33 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[edge], pos[edge], np.diff(np.concatenate((edge, [len(doc)])))
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Later leaves of every deep node, from suffixes in prefix order: (doc, start, n) runs of removed windows."""
-    last = None  # prefix, window, and first leaf of the node at hand
-    place = np.int64((1 << _POS_BITS) - 1)
-    for batch in batches:
-        full, doc, loc = (np.asarray(batch.column(i)) for i in range(3))
-        run = loc < 0
-        docs, starts, sizes = [doc[run]], [-loc[run] - 1], [full[run]]
-        full, doc, loc = full[~run], doc[~run], loc[~run]
-        if len(full):
-            prefix, pos = loc >> _POS_BITS, loc & place
-            new = np.ones(len(full), bool)
-            new[1:] = (full[1:] != full[:-1]) | (prefix[1:] != prefix[:-1])
-            if last is not None and (prefix[0], full[0]) == last[:2]:
-                new[0] = False
-            node = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            head_doc = np.concatenate((doc[heads], [last[2] if last else 0]))[node]
-            head_pos = np.concatenate((pos[heads], [last[3] if last else 0]))[node]
-            later = (doc != head_doc) | (pos != head_pos)
-            d, p, n = _runs(doc[later], pos[later])
-            docs.append(d)
-            starts.append(p)
-            sizes.append(n)
-            last = (prefix[-1], full[-1], head_doc[-1], head_pos[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, starts, sizes)], ["doc", "start", "n"])
+def _walk(window: int, anchor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Later windows of every tree, from leaves in order of prefix, document and place: (doc, start, n) runs."""
+        held = None  # leaves of the last prefix that stay
+        for batch in batches:
+            prefix, doc, loc, n = (np.asarray(batch.column(i)) for i in range(4))
+            known = loc < 0
+            out = [(doc[known], -loc[known] - 1, n[known])]
+            if not known.all():
+                leaf = np.flatnonzero(~known)
+                texts = batch.column(4).take(pa.array(leaf))
+                buf, off = tv.text_bytes(texts)
+                starts, ends, row = tv.words(buf, off, tv.NOT_SPACE)
+                hashes = tv.hash_spans(buf, starts, ends)
+                left = loc[leaf] & (1 << _LEFT_BITS) - 1
+                place = np.searchsorted(row, np.arange(len(leaf))) + left
+                leaves = _Leaves(prefix[leaf], doc[leaf], loc[leaf] >> _LEFT_BITS, left, np.bincount(row, minlength=len(leaf)) - window + 1, *_Leaves.at(hashes, place, window, anchor))
+                if held is not None:
+                    leaves = held.join(leaves)
+                later = leaves.later()
+                stay = (leaves.prefix == leaves.prefix[-1]) & (leaves.windows & ~later).any(axis=1)
+                later[: 0 if held is None else len(held.doc)] = False  # reported already
+                out.append(leaves.runs(later))
+                held = leaves.take(np.flatnonzero(stay))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "start", "n"])
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -218,31 +287,25 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     width = shuffle_width(spark)
     texts = _texts(docs, id_col, text_col)
     anchors = over_texts(texts, "id", "text", "key bigint, doc bigint", _anchor_rows(window, anchor))
-    upper = F.shiftrightunsigned("key", _KEY_BITS)
     bare = F.col("key").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
-    dealt = anchors.repartition(width, F.when(upper >= _KNOWN, F.xxhash64("doc", "key")).otherwise(bare)).sortWithinPartitions(bare)
+    dealt = anchors.repartition(width, F.when(F.shiftrightunsigned("key", _KEY_BITS) >= _KNOWN, F.xxhash64("doc", "key")).otherwise(bare)).sortWithinPartitions(bare)
     shared = materialize(dealt.mapInArrow(_shared_anchors, "key bigint, doc bigint"))
 
-    counts = shared.where(upper == _COUNT).groupBy(bare.alias("prefix")).agg(F.sum("doc").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    share = max(1.0, total / max(1, width) / 8)
-    heavy = [r.prefix for r in counts.where(F.col("n") > share).collect()]  # of 2^PREFIX_BITS at most
+    total = shared.count()
+    # fewer than 8 * width prefixes can have so many of all leaves
+    heavy = [r.key for r in shared.groupBy("key").count().where(F.col("count") > max(1.0, total / max(1, width) / 8)).collect()]
 
     # the texts' exchange by id serves this join and the one of the caller
-    keys = shared.where(upper != _COUNT).groupBy("doc").agg(F.collect_list(bare).alias("keys"))
-    rows = _window_rows(window, anchor, texts.join(keys, texts["id"] == keys["doc"]).select("id", "text", "keys"))
-    prefix = F.shiftright("loc", _POS_BITS)
-    deal = F.when(F.col("loc") < 0, F.xxhash64("doc", "loc"))
-    if heavy:
-        deal = deal.when(prefix.isin(heavy), F.xxhash64("full"))
-    trees = rows.repartition(width, deal.otherwise(F.xxhash64(prefix))).sortWithinPartitions(prefix, "full", "doc", "loc")
-    return trees.mapInArrow(_walk, "doc bigint, start bigint, n bigint")
+    keys = shared.repartition(width, "doc").groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    rows = _leaf_rows(window, anchor, texts.join(keys, texts["id"] == keys["doc"]).select("id", "text", "keys"), np.array(heavy, np.int64))
+    return rows.repartition(width, "prefix").sortWithinPartitions("prefix", "doc", "loc").mapInArrow(_walk(window, anchor), "doc bigint, start bigint, n bigint")
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
     """id, text, and spans: array of (start, n) of the removed windows; null without any."""
     found = repeated_windows(docs, id_col, text_col, window, anchor)
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # runs are dealt as they are: lists made before the exchange would take several times the room
+    spans = found.repartition(shuffle_width(docs.sparkSession), "doc").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # the same exchange of texts by id as the one for the anchors' join
     texts = _texts(docs, id_col, text_col)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("spans"))
