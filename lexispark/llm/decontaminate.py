@@ -16,6 +16,7 @@ of either table are ignored by `find_hits` and kept by `decontaminate`.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
 from lexispark.llm.arrowmap import annotate
+from lexispark.llm.scratch import materialize
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words on: n_hit * COVER >= n_words.
@@ -238,21 +240,35 @@ def item_blocks(bench: DataFrame, id_col: str, text_col: str, most: int = BLOCK_
         yield block
 
 
+_AUTOMATON: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, shared, window: int) -> Automaton:
+    """The automaton of a block, kept by the worker process from task to task until another is needed."""
+    if name not in _AUTOMATON:
+        _AUTOMATON.clear()
+        _AUTOMATON[name] = Automaton(shared.value, window)
+    return _AUTOMATON[name]
+
+
 def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Columns row (struct of all columns of docs) and result (FIELDS): hit words of each document and the items they come from.
 
-    One pass over docs for each block of benchmark words; one block is the usual case.
+    One pass over docs for each block of benchmark words; one block is the usual case. With
+    more, each pass is written before the next block is fetched, so that driver and
+    workers hold one block and its automaton at a time.
     """
     spark = docs.sparkSession
-    out = None
+    out = shared = None
     for block in item_blocks(bench, item_id, item_text):
+        if shared is not None:
+            out = materialize(out)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words, or one longer item
-        made: list[Automaton] = []
+        name = uuid.uuid4().hex
 
-        def compute(texts: pa.Array, _, shared=shared, made=made):
-            if not made:
-                made.append(Automaton(shared.value, window))
-            n, spans, items = hits_of(texts, made)
+        def compute(texts: pa.Array, _, shared=shared, name=name):
+            n, spans, items = hits_of(texts, [_automaton(name, shared, window)])
             hit = [sum(e - s for s, e in sp) for sp in spans]
             return n, hit, [sorted(i) for i in items], [[{"start": int(s), "end": int(e)} for s, e in sp] for sp in spans]
 
@@ -263,7 +279,6 @@ def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id
             out = annotate(before.select("row.*", F.col("result").alias("__earlier")), text_col, FIELDS, compute)
             out = _joined(out, docs.columns)
     if out is None:
-        empty = F.struct(F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
         def count(texts: pa.Array, _):
             n, spans, items = hits_of(texts, [])
