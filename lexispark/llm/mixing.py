@@ -7,9 +7,9 @@ cumulative table. Each copy is a row of its own, and rows leave in the order of
 of (seed, id, copy), dealt over the partitions by that hash.
 
 Defined results: null sources form a source of their own, named ''; a source without a
-weight gets `default_weight`; repeated rows draw the same count; null and empty texts
-are rows like any other; weights that are all 0 or an empty table give no rows. Extra
-columns travel along, and may have any name but those in `ADDED`.
+weight gets `default_weight`; repeated rows draw the same count; null ids draw as the id
+'' does; null and empty texts are rows like any other; weights that are all 0 or an empty
+table give no rows. Extra columns travel along, and may have any name but those in `ADDED`.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from lexispark.llm.scratch import materialize
 
 ADDED = ("copy_no", "n_copies", "shuffle_key")
 _HEX = 13  # hex digits of the uniform number: 52 bits, exact in a double
-#: Sources whose rates are broadcast; more are joined by (source, salt).
-BROADCAST_SOURCES = 20_000
+#: Bytes of rates (names and tables) that are broadcast; more are joined by (source, salt).
+BROADCAST_BYTES = 32 << 20
 SALTS = 64
 _TABLE = 64  # entries of the cumulative table beyond the mean
 _REACH = 10  # standard deviations about the mean that it spans
@@ -60,8 +60,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     """Per source: n_rows, rate, least, cdf; one row per source."""
     counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
     weight = F.lit(float(default_weight))
-    for name, w in weights.items():
-        weight = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(weight)
+    if weights:
+        given = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))])
+        weight = F.coalesce(F.element_at(given, F.col("mix_source")), weight)
     sums = counts.withColumn("weight", weight)
     totals = sums.agg(F.sum("weight").alias("sum_weight"), F.sum("n_rows").alias("sum_rows"))
     return (
@@ -88,24 +89,22 @@ def mix_sources(
     total_rate is the expected number of rows as a multiple of the input's.
     """
     rates = materialize(source_rates(docs, weights, default_weight, total_rate, source_col)).select("mix_source", F.col("least").alias("mix_least"), "cdf")
-    u = uniform(seed, F.col(id_col))
-    tagged = docs.withColumn("mix_source", F.coalesce(F.col(source_col), F.lit("")))
-    if rates.count() <= BROADCAST_SOURCES:
+    # the row travels as one column, so that its names meet none of ours
+    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"))
+    size = rates.agg(F.sum(F.length("mix_source") + 8 * F.size("cdf") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         joined = tagged.join(F.broadcast(rates), "mix_source")
     else:  # deal each source's documents over SALTS keys; the table of rates is repeated for each
-        salted = tagged.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        salted = tagged.withColumn("mix_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         copies = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, ["mix_source", "mix_salt"]).drop("mix_salt")
-    drawn = (
-        joined.withColumn("mix_u", u)
-        .withColumn("n_copies", F.col("mix_least") + F.size(F.filter("cdf", lambda c: F.col("mix_u") >= c)))
-        .drop("cdf", "mix_least", "mix_u", "mix_source")
-        .where("n_copies > 0")
-    )
+        joined = salted.join(copies, ["mix_source", "mix_salt"])
+    drawn = joined.withColumn("u", uniform(seed, F.col("id")))
+    drawn = drawn.select("row", "id", (F.col("mix_least") + F.size(F.filter("cdf", lambda c: F.col("u") >= c))).alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(id_col).cast("string"), F.col("copy_no").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "id", F.col("copy_no").cast("string")))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.withColumn("shuffle_key", key).repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = copies.withColumn("shuffle_key", key).repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("row.*", *ADDED)
 
 
 #: Production mix of the corpus query: the oversized source comes down, two come up.

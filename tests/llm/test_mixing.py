@@ -46,7 +46,7 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
     d = docs(spark, 400)
     key = lambda x: sorted((r.doc_id, r.copy_no, r.shuffle_key) for r in x.collect())
     want = key(m.mix_sources(d, {}, 1.0, 2.0, 5))
-    monkeypatch.setattr(m, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(m, "BROADCAST_BYTES", 0)
     assert key(m.mix_sources(d, {}, 1.0, 2.0, 5)) == want
 
 
@@ -70,3 +70,13 @@ def test_high_rates_equal_brute_force(spark):
             sums.append(c)
         u = [int(hashlib.md5(f"4:{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(12)]
         assert {r.doc_id: r["count"] for r in rows} == {i: sum(x >= c for c in sums) for i, x in enumerate(u)}
+
+
+def test_clashing_names_and_null_ids(spark):
+    rows = [(i if i % 9 else None, None, "a", 1.0, "x", 2, 3, "r") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, cdf double, mix_source string, u int, id int, row string")
+    got = m.mix_sources(d, {"a": 1.0}, 1.0, 2.0, 3)
+    assert got.columns == [*d.columns, *m.ADDED]
+    out = got.collect()
+    assert {(r.cdf, r.mix_source, r.u, r.id, r.row) for r in out} == {(1.0, "x", 2, 3, "r")}
+    assert collections.Counter(r.doc_id for r in out if r.doc_id is not None) == {k: v for k, v in brute([r for r in d.collect() if r.doc_id is not None], {"a": 1.0}, 1.0, 2.0, 3).items()}
