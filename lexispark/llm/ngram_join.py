@@ -1,13 +1,14 @@
 """N-gram Jaccard self-join by vertical partitioning, and its link components.
 
 The n-grams (word shingles) of all documents stand in one global order: by the level of
-their bin in a frequency histogram, rare ones first, then by hash. A document's prefix is its first n - ceil(t n) + m shingles in that order. Of two
+their bin in a frequency histogram, rare ones first, then by hash. A document's prefix is
+its first n - ceil(t n) + m shingles in that order. Of two
 documents with Jaccard similarity t or more, the one whose prefix ends first has at most
 ceil(t n) - m shingles behind it and shares ceil(t n) at least, so m of them in both
 prefixes: candidates share as many as the smaller m (1, more for long documents).
 
-The order is also cut into FRAGMENTS. A document's set is stored in one segment per
-fragment; a pair's overlap is counted fragment by fragment, and the partial overlaps are
+The order is also cut into FRAGMENTS: level 0 in ranges of the hash, and the frequent levels
+behind it. A document's set is stored in one segment per fragment; a pair's overlap is counted fragment by fragment, and the partial overlaps are
 summed per pair.
 
 Nothing needs all pairs of a large group of near copies. Each document is first paired
@@ -19,8 +20,8 @@ Where counting breaks up a group that the first pairs seemed to connect, the pai
 it are searched and counted in the same way. So every pair of a bucket is linked through
 its component, excluded by a bound, or counted.
 
-Shingles are compared by 64-bit hashes in candidate search and by 43 bits of them in
-counting. Documents with equal sets (64-bit sum of hashes, and size) are joined first.
+Shingles are compared by 64-bit hashes in candidate search and by fragment and 40 bits of
+them in counting. Documents with equal sets (64-bit sum of hashes, and size) are joined first.
 
 Defined results: null, empty and word-less texts have empty sets and no links; texts of
 fewer than N words have one shingle, the whole sequence; rows repeated with an id are one
@@ -45,11 +46,10 @@ from lexispark.llm.scratch import materialize, shuffle_width
 N = 5
 #: Similarity as a fraction: PART / WHOLE.
 PART, WHOLE = 75, 100
-FRAGMENT_BITS, OFFSET_BITS = 3, 40
-FRAGMENTS = 1 << FRAGMENT_BITS
-#: The histogram has 2^BIN_BITS counters whatever the corpus' size. A bin's level is 0 up to FREQUENT standard deviations
+FRAGMENTS, OFFSET_BITS = 8, 40
+#: The histogram has 2^BIN_BITS counters, and more on a corpus with over 2^BIN_FILL shingles for each, up to 2^MOST_BIN_BITS. A bin's level is 0 up to FREQUENT standard deviations
 #: (of a count with the bins' mean) above the mean, and one more for each doubling of that excess, LEVELS at most.
-BIN_BITS, PIECE_BITS, FREQUENT, LEVELS = 20, 14, 3, 12
+BIN_BITS, MOST_BIN_BITS, BIN_FILL, PIECE_BITS, FREQUENT, LEVELS = 20, 24, 9, 14, 3, 12
 FOLD_BITS, SMALL_FOLD_BITS = 2048, 512
 #: Sets over LONG shingles have a longer prefix, so that similar ones share more of it: one shingle more for each STEP.
 LONG, STEP = 512, 16
@@ -89,22 +89,31 @@ def _sizes(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.cumsum(size) - size
 
 
-def bin_levels(texts: DataFrame) -> np.ndarray:
-    """Level of each histogram bin. Counts cover every shingle of every text."""
+def bin_bits(shingles: int) -> int:
+    return min(MOST_BIN_BITS, max(BIN_BITS, shingles.bit_length() - BIN_FILL))
+
+
+def bins_of(h: np.ndarray, levels: int) -> np.ndarray:
+    """The bins of shingles in a histogram of that many."""
+    return (h >> np.uint64(65 - levels.bit_length())).astype(np.int64)
+
+
+def bin_levels(texts: DataFrame, bits: int = BIN_BITS) -> np.ndarray:
+    """Level of each of 2^bits histogram bins. Counts cover every shingle of every text."""
     piece = 1 << PIECE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << BIN_BITS, np.int32)
+        bins = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, part in tv.row_slices(batch, tv.filled(batch.column(1))):
                 _, h = shingle_sets(part)
-                bins += np.bincount((h >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(bins)).astype(np.int32)
+                np.add.at(bins, bins_of(h, len(bins)), 1)
         if bins.any():
             parts = bins.reshape(-1, piece)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int64)), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # the pieces of one partition: 64 of 2^14 numbers at most
+        sums: dict[int, np.ndarray] = {}  # the pieces of one partition, of 2^PIECE_BITS numbers
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 counts = np.frombuffer(raw.as_buffer(), np.int32)
@@ -118,8 +127,8 @@ def bin_levels(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(many + (k << PIECE_BITS)), pa.array(level)], ["bin", "level"])
 
     counts = texts.mapInArrow(count, "piece bigint, counts binary")
-    many = counts.repartition(1 << (BIN_BITS - PIECE_BITS), "piece").mapInArrow(add, "bin bigint, level bigint")
-    out = np.zeros(1 << BIN_BITS, np.uint8)
+    many = counts.repartition(1 << (bits - PIECE_BITS), "piece").mapInArrow(add, "bin bigint, level bigint")
+    out = np.zeros(1 << bits, np.uint8)
     for r in many.collect():  # bins, not shingles: a fixed number at most
         out[r.bin] = r.level
     return out
@@ -155,7 +164,7 @@ def _prefix_rows(levels: np.ndarray):
         own[full[alike[new]]] = True  # of equal sets in this slice, one speaks for all
         if not opened:
             opened.append(np.frombuffer(zlib.decompress(packed), np.uint8))
-        late = opened[0][h >> np.uint64(64 - BIN_BITS)]
+        late = opened[0][bins_of(h, len(opened[0]))]
         order = np.lexsort((h, late, row))
         rank = np.arange(len(h)) - first[row]
         take = (rank < (size - -(-size * PART // WHOLE) + least_shared(size))[row]) & own[row]
@@ -194,24 +203,37 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (h[-1], leader[-1], doc[-1], not last_alone)
 
 
-def _segments(ids: pa.Array, texts: pa.Array):
-    """One row per document and fragment: set size, 40-bit offsets (five bytes each)."""
-    row, h = shingle_sets(texts)
-    if not len(row):
-        return None
-    n = len(texts)
-    size, _ = _sizes(row, n)
-    cut = row * FRAGMENTS + (h >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
-    edges = np.searchsorted(cut, np.arange(n * FRAGMENTS + 1))
-    offset = (h >> np.uint64(64 - FRAGMENT_BITS - OFFSET_BITS)) & np.uint64((1 << OFFSET_BITS) - 1)
-    raw = np.ascontiguousarray(offset.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-    full = np.flatnonzero(np.repeat(size > 0, FRAGMENTS))
-    return {
-        "doc": np.asarray(ids)[full // FRAGMENTS],
-        "fragment": (full % FRAGMENTS).astype(np.int32),
-        "size": size[full // FRAGMENTS],
-        "segment": [raw[5 * lo : 5 * hi] for lo, hi in zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)],
-    }
+def _segment_rows(levels: np.ndarray):
+    import zlib
+
+    packed = zlib.compress(levels.tobytes())
+    opened: list[np.ndarray] = []
+
+    def emit(ids: pa.Array, texts: pa.Array):
+        """One row per document and fragment: set size, 40-bit offsets (five bytes each)."""
+        row, h = shingle_sets(texts)
+        if not len(row):
+            return None
+        if not opened:
+            opened.append(np.frombuffer(zlib.decompress(packed), np.uint8))
+        n = len(texts)
+        size, _ = _sizes(row, n)
+        # ranges of the global order: level 0 by hash, then all that is frequent
+        fragment = np.where(opened[0][bins_of(h, len(opened[0]))] > 0, FRAGMENTS - 1, ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64))
+        cut = row * FRAGMENTS + fragment
+        order = np.argsort(cut, kind="stable")
+        edges = np.searchsorted(cut[order], np.arange(n * FRAGMENTS + 1))
+        offset = h[order] >> np.uint64(20) & np.uint64((1 << OFFSET_BITS) - 1)
+        raw = np.ascontiguousarray(offset.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        full = np.flatnonzero(np.repeat(size > 0, FRAGMENTS))
+        return {
+            "doc": np.asarray(ids)[full // FRAGMENTS],
+            "fragment": (full % FRAGMENTS).astype(np.int32),
+            "size": size[full // FRAGMENTS],
+            "segment": [raw[5 * lo : 5 * hi] for lo, hi in zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)],
+        }
+
+    return emit
 
 
 def _folds(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -398,7 +420,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     first = nodes.groupBy("signature", "size").agg(F.min("doc").alias("b"), F.max("doc").alias("most")).where("most > b")
     equal = nodes.select("doc", "signature", "size").join(first, ["signature", "size"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
 
-    prefixes = over_texts(texts, "id", "text", "h bigint, doc bigint", _prefix_rows(bin_levels(texts)))
+    levels = bin_levels(texts, bin_bits(nodes.agg(F.sum("size")).first()[0] or 0))
+    prefixes = over_texts(texts, "id", "text", "h bigint, doc bigint", _prefix_rows(levels))
     buckets = materialize(prefixes.repartition(width, "h").sortWithinPartitions("h", "doc").mapInArrow(_buckets, "h bigint, doc bigint, leader bigint"))
 
     # one pair per document: the leader with which it shares most of its prefix
@@ -413,7 +436,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     # one plan at every size: texts are dealt by id, never met by a broadcast of the wanted ids
     chosen = texts.join(wanted.hint("merge"), texts["id"] == wanted["doc"], "left_semi").dropDuplicates(["id"])
-    segments = materialize(over_texts(chosen, "id", "text", "doc bigint, fragment int, size bigint, segment binary", _segments))
+    segments = materialize(over_texts(chosen, "id", "text", "doc bigint, fragment int, size bigint, segment binary", _segment_rows(levels)))
     found = materialize(similar(count_overlaps(pairs, segments)))
 
     lost = likely.join(found, ["a", "b"], "left_anti")
