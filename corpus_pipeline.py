@@ -2,8 +2,8 @@
 
 Documents that score low for quality go; of each component of near duplicates the least
 id stays; contaminated documents go; sources are brought to their target weights by
-replication; and what is left is written as token ids, of which the last stage returns the
-index that it has read back.
+replication, in globally shuffled order; and what is left is written as token ids in that
+order, of which the last stage returns the index that it has read back.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_index(docs)
+    return token_output.token_index(docs, by_id=False)
 
 
 STAGES = [
