@@ -1,8 +1,9 @@
 """Ranked full-text search: terms, prefixes, phrases, substrings; BM25; rank fusion.
 
-A search over documents needs no index shuffle: each document counts its own matches, and
-only collection statistics (documents, mean length, document frequency per term) are
-aggregated. `postings` builds the index table for stores that are searched often.
+`build_index` writes the postings once, dealt and sorted by term, so that a search of an
+`Index` reads the row groups of its own terms (or prefixes) and the table of document
+lengths. `search` is the same ranking over a table without an index: one scan, in which
+each document counts its own matches and only collection statistics are aggregated.
 """
 
 from __future__ import annotations
@@ -64,13 +65,9 @@ def search(docs: DataFrame, clauses: list[tuple[str, ...]], k: int | None = None
     counted = counted.select(id_col, "keep", F.size("ts").alias("len"), *[_matches(F.col("ts"), c).alias(f"tf{i}") for i, c in enumerate(clauses)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(clauses))])
     every = F.lit(True)
-    score = F.lit(0.0)
     for i in range(len(clauses)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-        every = every & (tf > 0)
-    hits = counted.where(every & F.col("keep")).join(F.broadcast(stats)).select(id_col, score.alias("score"))  # one row
+        every = every & (F.col(f"tf{i}") > 0)
+    hits = counted.where(every & F.col("keep")).join(F.broadcast(stats)).select(id_col, _bm25(len(clauses)).alias("score"))  # one row
     hits = hits.orderBy(F.desc("score"), id_col)
     return hits.limit(k) if k else hits
 
@@ -81,6 +78,77 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.groupBy("term", id_col).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
 
 
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> Index:
+    """Write the index of docs under path: postings by term, documents with their length and the columns to filter by.
+
+    Terms are dealt by ranges of (term, id), so that a very frequent term lies in several files.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tx.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"), *keep)
+    rows.select("doc_id", F.size("ts").alias("len"), *keep).write.parquet(f"{path}/documents")
+    each = rows.select("doc_id", F.transform("ts", lambda t, i: F.struct(t.alias("term"), i.alias("p"))).alias("ts")).select("doc_id", F.explode_outer("ts").alias("t")).where("t is not null")
+    found = each.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.p")).alias("positions"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found.select("term", "doc_id", "tf", "positions").repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    return Index(spark, path)
+
+
+class Index:
+    """A written index."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.documents = spark.read.parquet(f"{path}/documents")
+
+    def matches(self, clause: tuple[str, ...]) -> DataFrame:
+        """doc_id, tf of the documents that match a clause."""
+        kind, *ws = clause
+        if kind == "prefix":
+            hits = self.postings.where(F.col("term").startswith(ws[0]))
+            return hits.groupBy("doc_id").agg(F.sum("tf").alias("tf"))
+        first = self.postings.where(F.col("term") == ws[0])
+        if len(ws) == 1:
+            return first.select("doc_id", "tf")
+        at = first.select("doc_id", "positions")
+        for i, w in enumerate(ws[1:], 1):  # places of the phrase so far that go on with the next word
+            more = self.postings.where(F.col("term") == w).select("doc_id", F.transform("positions", _back(i)).alias("more"))
+            at = at.join(more, "doc_id").select("doc_id", F.array_intersect("positions", "more").alias("positions"))
+        return at.select("doc_id", F.size("positions").alias("tf")).where("tf > 0")
+
+    def search(self, clauses: list[tuple[str, ...]], k: int | None = None, where: Column | None = None) -> DataFrame:
+        """doc_id, score as `search` gives them."""
+        spark = self.documents.sparkSession
+        if not clauses:
+            return spark.createDataFrame([], "doc_id bigint, score double")
+        stats = self.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
+        hits = None
+        for i, c in enumerate(clauses):
+            found = self.matches(c).withColumnRenamed("tf", f"tf{i}")
+            stats = stats.join(found.agg(F.count(F.lit(1)).alias(f"df{i}")))  # one row each
+            hits = found if hits is None else hits.join(found, "doc_id")
+        documents = self.documents if where is None else self.documents.where(where)
+        hits = hits.join(documents.select("doc_id", "len"), "doc_id").join(F.broadcast(stats))
+        hits = hits.select("doc_id", _bm25(len(clauses)).alias("score")).orderBy(F.desc("score"), "doc_id")
+        return hits.limit(k) if k else hits
+
+    def term_counts(self) -> DataFrame:
+        """term, df, cf over the collection."""
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def _back(i: int):
+    return lambda p: p - i
+
+
+def _bm25(n: int) -> Column:
+    score = F.lit(0.0)
+    for i in range(n):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
+        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    return score
+
+
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, df, cf over the collection."""
     each = docs.select(F.col(id_col).alias("d"), F.explode_outer(tx.tokens(F.col(text_col))).alias("term")).where("term is not null").groupBy("term", "d").agg(F.count(F.lit(1)).alias("tf"))

@@ -11,7 +11,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
@@ -277,3 +277,84 @@ def verses(df: DataFrame, book: str = "book", chapters: str = "text") -> DataFra
     c = df.select(F.col(book).alias("book"), F.posexplode(chapters).alias("c", "vs"))
     v = c.select("book", "c", F.posexplode("vs").alias("v", "body")).where(F.trim("body") != "")
     return v.select("book", F.format_string("%s %d:%d", "book", F.col("c") + 1, F.col("v") + 1).alias("ref"), "body")
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of every line, in splits of any size: for files too large to be read whole, and formats that need no line numbers."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("text"))
+
+
+def csv_rows(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """The wanted columns, by their names in the header, as strings; rows with fewer fields than the header are left out."""
+    quoted = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = quoted.csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_broken"])
+    rows = quoted.schema(schema).option("columnNameOfCorruptRecord", "_broken").csv(path)
+    return rows.where("_broken is null").select(*wanted)
+
+
+def mysql_table(lines_: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """One table of a dump under its columns' names, given in the order of its CREATE TABLE; rows of another width are left out."""
+    rows = mysql_rows(lines_, [table]).where(F.size("values") == len(columns))
+    return rows.select(*[F.col("values")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def lexicon_entries(df: DataFrame, xml: str = "xml", key: str = "key") -> DataFrame:
+    """df with headword (the first <orth> or <w>, else the key without a number at its end), norm, and definition without a leading headword."""
+    first = F.coalesce(*[F.nullif(F.trim(F.regexp_replace(F.regexp_extract(xml, rf"(?s)<{t}\b[^>]*>(.*?)</{t}>", 1), "<[^>]+>", "")), F.lit("")) for t in ("orth", "w")])
+    head = F.coalesce(first, F.regexp_replace(key, r"\d+$", ""))
+    rows = df.withColumn("headword", head)
+    rows = rows.withColumn("norm", F.coalesce(F.nullif(tx.lexicon_key(F.col("headword")), F.lit("")), tx.lexicon_key(F.col(key))))
+    text = tx.entry_text(F.col(xml))
+    lead = F.when(text.startswith(F.col("headword")), F.length("headword")).otherwise(0)
+    return rows.withColumn("definition", F.trim(text.substr(lead + 1, F.length(text))))
+
+
+def first_definition(*columns: str) -> Column:
+    """The first of the columns that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns])
+
+
+def verse_languages(df: DataFrame, fields: dict[str, str], fallbacks: dict[str, str], key: list[str]) -> DataFrame:
+    """key, lang, body: a row per field that a verse has; the fallbacks' fields only where none of the first has text."""
+    has = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    own = F.lit(False)
+    for c in fields:
+        own = own | has(c)
+    parts = [F.when(has(c), F.struct(F.lit(l).alias("lang"), F.col(c).alias("body"))) for c, l in fields.items()]
+    parts += [F.when(has(c) & ~own, F.struct(F.lit(l).alias("lang"), F.col(c).alias("body"))) for c, l in fallbacks.items()]
+    rows = df.select(*key, F.explode_outer(F.array_compact(F.array(*parts))).alias("v")).where("v is not null")
+    return rows.select(*key, "v.lang", "v.body")
+
+
+def card_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a card store: one file, or files by day, never both; a broken line anywhere is refused."""
+    names = [r.name for r in spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).distinct().limit(10_000).collect()]
+    if any(n.startswith("cards.") for n in names) and len(names) > 1:
+        raise ValueError("a single card file and day files")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def claims(spark: SparkSession, path: str) -> DataFrame:
+    """path, row (variant) of the JSON lines under path, backups and broken lines left out."""
+    rows = raw_lines(spark, path).where(~tx.is_backup(F.element_at(F.split("path", "/"), -1)))
+    return rows.select("path", F.try_parse_json("text").alias("row")).where("row is not null")
+
+
+def titled_paths(df: DataFrame, column: str = "json") -> DataFrame:
+    """title, path pairs of JSON of any shape: objects that have both, at any depth."""
+    value = r'"((?:[^"\\]|\\.)*)"'
+    both = rf'"title"\s*:\s*{value}[^{{}}]*?"path"\s*:\s*{value}'
+    titles, paths = (F.regexp_extract_all(column, F.lit(both), F.lit(i)) for i in (1, 2))
+    return df.select(F.explode_outer(F.arrays_zip(titles.alias("title"), paths.alias("path"))).alias("p")).where("p is not null").select("p.title", "p.path")
+
+
+def text_cache(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
+    """wanted with text from a cache written by write_text_cache; '' where the cache has none."""
+    have = spark.read.parquet(path)
+    return wanted.join(have.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def write_text_cache(docs: DataFrame, path: str, key: str, text_col: str = "text") -> None:
+    """Sanitised texts with the signature of what they were made from."""
+    docs.select(key, tx.sanitize(F.col(text_col)).alias("text"), tx.content_hash(F.col(text_col)).alias("signature")).write.parquet(path)
