@@ -23,7 +23,7 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 12
-LANES = 2048
+LANES = 1024
 MOST_BITS = 20
 MOST_BLOCK = 1 << 13
 _FIRST, _GROWTH = 64, 4  # ids in the first round, and how fast the rounds' ends grow

@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from lexispark.llm import textvec as tv
 
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 48 << 20
 AT_ONCE = 1 << 14
 _PIECE_BYTES = 76  # of a piece in the table at half load, but for its ids
 
