@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,17 +125,30 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(items: Column, size: int, step: int) -> Column:
     """Slices of `size` items every `step`, the last one included even if a longer one covers it."""
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i + 1, size))
+
+    def cut(xs: Column) -> Column:
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(xs, i + 1, size))
+
+    return bound(items, cut)
 
 
 def shingles(items: Column, n: int) -> Column:
-    """Distinct runs of n items, joined by spaces. Give a column, not an expression: it is read for every run."""
-    last = F.size(items) - n + 1
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.concat_ws(" ", *[F.get(items, i + k) for k in range(n)]))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n items, joined by spaces."""
+
+    def cut(xs: Column) -> Column:
+        last = F.size(xs) - n + 1
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.concat_ws(" ", *[F.get(xs, i + k) for k in range(n)]))
+        return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return bound(items, cut)
 
 
 def preview(text: Column, most: int = 200) -> Column:
@@ -148,6 +162,20 @@ def context(text: Column, needle: Column, around: int) -> Column:
     return F.when(at > 0, F.substring(text, begin, at - begin + F.length(needle if isinstance(needle, Column) else F.lit(needle)) + around))
 
 
+def located(text: Column, pattern: str) -> Column:
+    """Array of structs at (from 1) and hit: every match of a pattern. Matches are not empty."""
+    hits, rest = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    # a match begins after the pieces before it and the matches between them
+    steps = F.zip_with(hits, F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))), lambda h, r: F.struct(h.alias("hit"), r.alias("rest")))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,hit:string>>").alias("found"))
+
+    def step(acc: Column, s: Column) -> Column:
+        at = acc["next"] + F.length(s["rest"])
+        return F.struct((at + F.length(s["hit"])).alias("next"), F.concat(acc["found"], F.array(F.struct(at.alias("at"), s["hit"].alias("hit")))).alias("found"))
+
+    return F.aggregate(steps, start, step)["found"]
+
+
 def is_title_cased(text: Column) -> Column:
     """At least three words of four or more letters, six tenths of them capitalised."""
     long = F.regexp_extract_all(text, F.lit(r"([A-Za-z]{4,})"), F.lit(1))
@@ -159,7 +187,7 @@ def overlap_share(left: Column, right: Column, n: int = 6) -> Column:
     """Share of the left text's n-word shingles that the right one has; 0 without shingles."""
     own = shingles(F.regexp_extract_all(F.lower(left), F.lit("([a-z0-9']+)"), F.lit(1)), n)
     other = shingles(F.regexp_extract_all(F.lower(right), F.lit("([a-z0-9']+)"), F.lit(1)), n)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, other)) / F.size(own))
+    return bound(own, lambda xs: F.when(F.size(xs) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(xs, other)) / F.size(xs)))
 
 
 def term_variants(term: Column) -> Column:

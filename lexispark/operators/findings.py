@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.operators import relational
 
 NOTE = r"^\[\^([^\]]+)\]"
 ANCHOR = r"\[\^([^\]]+)\](?!:)"
@@ -94,21 +95,12 @@ def banned(lines: DataFrame, patterns: list[tuple[str, str]], carve: str | None
 
     place is book:line:column. One pass over the lines; those that no pattern matches are dropped first.
     """
-    kinds = [F.struct(F.lit(name).alias("name"), F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)).alias("hits"), F.split("text", p, -1).alias("rest")) for name, p in patterns]
+    kinds = [F.struct(F.lit(name).alias("name"), tx.located(F.col("text"), p).alias("found")) for name, p in patterns]
     some = None
     for _, p in patterns:
         some = F.col("text").rlike(p) if some is None else some | F.col("text").rlike(p)
     rows = lines.where(some).select("book", "line_no", "text", F.explode_outer(F.array(*kinds)).alias("k"))
-    # a match begins after the pieces before it and the matches between them
-    steps = F.zip_with("k.hits", F.slice("k.rest", 1, F.greatest(F.size("k.hits"), F.lit(1))), lambda h, r: F.struct(h.alias("hit"), r.alias("rest")))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,hit:string>>").alias("found"))
-
-    def step(acc, s):
-        at = acc["next"] + F.length(s["rest"])
-        return F.struct((at + F.length(s["hit"])).alias("next"), F.concat(acc["found"], F.array(F.struct(at.alias("at"), s["hit"].alias("hit")))).alias("found"))
-
-    rows = rows.select("book", "line_no", "text", F.col("k.name").alias("name"), F.aggregate(steps, start, step)["found"].alias("found"))
-    rows = rows.select("book", "line_no", "text", "name", F.explode_outer("found").alias("f")).where("f is not null")
+    rows = rows.select("book", "line_no", "text", F.col("k.name").alias("name"), F.explode_outer("k.found").alias("f")).where("f is not null")
     begin = F.greatest(F.lit(1), F.col("f.at") - around)
     out = rows.withColumn("hit", F.substring(F.col("text"), begin, F.col("f.at") + F.length("f.hit") + around - begin))
     if carve:
@@ -121,11 +113,12 @@ def banned(lines: DataFrame, patterns: list[tuple[str, str]], carve: str | None
 
 
 def cross_references(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms (book, term, target): whether the target book has the term or a variant, else where it is found."""
+    """terms (book, term, target): whether a line of the target book has the term or a variant, else where it is found."""
     wanted = terms.select("book", "term", "target", F.explode(tx.term_variants(F.col("term"))).alias("variant"))
-    texts = lines.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    found = wanted.join(texts.select(F.col("book").alias("where"), F.lower("body").alias("body")), F.expr("contains(body, variant)"), "left")
-    out = found.groupBy("book", "term", "target").agg(F.array_sort(F.collect_set("where")).alias("places"))
+    items = wanted.select(F.col("variant").alias("item_id"), F.col("variant").alias("item")).distinct()
+    at = lines.select(F.struct("book", "line_no").alias("doc_id"), F.lower("text").alias("text"))
+    hits = relational.containing(items, at).select(F.col("item_id").alias("variant"), F.col("doc_id.book").alias("where")).distinct()
+    out = wanted.join(hits, "variant", "left").groupBy("book", "term", "target").agg(F.array_sort(F.collect_set("where")).alias("places"))
     bad = out.where(~F.array_contains("places", F.col("target")))
     return bad.select(F.lit("crossrefs").alias("check"), F.col("book").alias("place"), F.lit("NOT THERE").alias("class"), F.concat(F.col("term"), F.lit(": "), F.array_join("places", ", ")).alias("what"))
 

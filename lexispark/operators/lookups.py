@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
@@ -56,7 +56,8 @@ def dictionary(entries: DataFrame, word: str, n: int = 5, most_chars: int = 3000
     stems = tx.trimmed_stems(key)
     exact, prefix = entries.where(F.col("norm") == key), entries.where(F.col("norm").startswith(key))
     cut = entries.where(F.array_contains(stems, F.col("norm")))
-    cut = cut.withColumn("longest", F.max(F.length("norm")).over(Window.partitionBy(F.lit(1)))).where(F.length("norm") == F.col("longest")).drop("longest")
+    longest = cut.agg(F.max(F.length("norm")).alias("longest"))  # one row
+    cut = cut.join(F.broadcast(longest), F.length("norm") == F.col("longest")).drop("longest")
     found = relational.tiers([p.withColumn("one", F.lit(1)) for p in (exact, prefix, cut)], ["one"])
     return found.orderBy(F.length("headword"), "key").limit(n).withColumn("text", F.substring("text", 1, most_chars)).drop("one")
 
@@ -125,3 +126,25 @@ def translations(entries: DataFrame, word: str, lang: str = "en", most: int = 60
     """sense, words: the first `most` translations, grouped by sense in the order of first appearance."""
     rows = entries.where((F.col("word") == word) & (F.col("lang_code") == lang)).select(F.posexplode(F.slice("translations", 1, most)).alias("at", "t"))
     return rows.groupBy(F.coalesce(F.col("t.sense"), F.lit("")).alias("sense")).agg(F.min("at").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("t.word").alias("w")))), lambda x: x["w"]).alias("words")).orderBy("first").drop("first")
+
+
+#: Fields of a dictionary entry that name related words.
+RELATION_FIELDS = ("synonyms", "antonyms", "hypernyms", "hyponyms", "derived", "related", "coordinate_terms", "meronyms")
+
+
+def entry_relations(entries: DataFrame, word: str, most: int = 40) -> DataFrame:
+    """relation, words: the first `most` distinct words of every relation field that an entry of the word has."""
+    own = entries.where(F.col("word") == word)
+    fields = [f for f in RELATION_FIELDS if f in entries.columns]
+    each = F.array(*[F.struct(F.lit(f).alias("relation"), F.coalesce(f, F.array().cast("array<string>")).alias("words")) for f in fields])
+    rows = own.select("entry_no", F.explode(each).alias("r")).where(F.size("r.words") > 0)
+    grouped = rows.groupBy("r.relation").agg(F.array_sort(F.collect_list(F.struct("entry_no", F.col("r.words").alias("ws")))).alias("all"))
+    return grouped.select("relation", F.slice(F.array_distinct(F.flatten(F.transform("all", lambda a: a["ws"]))), 1, most).alias("words"))
+
+
+def pronunciations(entries: DataFrame, word: str) -> DataFrame:
+    """sounds: distinct IPA forms of a word's entries in order, else its enPR forms."""
+    rows = entries.where(F.col("word") == word).select("entry_no", F.posexplode("sounds").alias("at", "s"))
+    form = F.coalesce(F.col("s.ipa"), F.concat(F.lit("enPR: "), F.col("s.enpr")))
+    lists = rows.where(form.isNotNull()).agg(F.array_sort(F.collect_list(F.struct("entry_no", "at", form.alias("f")))).alias("fs"))
+    return lists.select(F.array_distinct(F.transform("fs", lambda x: x["f"])).alias("sounds"))

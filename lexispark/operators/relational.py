@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark import store
+
 
 def top_groups(df: DataFrame, key: str, n: int, missing: str = "(unspecified)") -> DataFrame:
     """key, n of the most frequent keys, ties by key; null keys are named."""
@@ -69,16 +69,27 @@ def synonyms(words: DataFrame, word: str = "word", group: str = "group") -> Data
 
 
 def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None) -> DataFrame:
-    """node, hops: breadth-first from the start nodes until no node is new, or most_hops; cycles end by themselves. Lineage is cut at each hop."""
-    seen = start.select(F.col("node"), F.lit(0).alias("hops")).distinct().localCheckpoint()
-    frontier = seen
-    for hop in itertools.count(1) if most_hops is None else range(1, most_hops + 1):
+    """node, hops: breadth-first from the start nodes until no node is new, or most_hops; cycles end by themselves.
+
+    Every frontier is a written table, so that plans stay short and lost executors cost one hop.
+    """
+    spark, base = start.sparkSession, store.folder(start.sparkSession)
+
+    def written(rows: DataFrame, hop: int) -> DataFrame:
+        rows.select("node", F.lit(hop).alias("hops")).write.parquet(f"{base}/{hop}")
+        return spark.read.schema(schema).parquet(f"{base}/{hop}")
+
+    first = start.select("node").distinct()
+    schema = first.select("node", F.lit(0).alias("hops")).schema
+    frontier, hops = written(first, 0), 1
+    while most_hops is None or hops <= most_hops:
+        seen = spark.read.schema(schema).parquet(*[f"{base}/{h}" for h in range(hops)])
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).localCheckpoint()
+        frontier = written(step.join(seen, "node", "left_anti"), hops)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        hops += 1
+    return spark.read.schema(schema).parquet(*[f"{base}/{h}" for h in range(hops)])
 
 
 #: Short items that are sent to every task at once: rows, and characters.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.operators import relational
 
 
 def newest_date(text: Column) -> Column:
@@ -35,8 +36,8 @@ def reconciled(declared: DataFrame, punch: DataFrame, chapter: str = "chapter")
 def read_status(works: DataFrame, claims: DataFrame, library: DataFrame, least: int = 10) -> DataFrame:
     """title, status (READ, UNREAD, NOT IN LIBRARY) of cited works against claims and library titles.
 
-    Equal normalised titles join by equality; containment either way, of titles of at least
-    `least` characters, joins by a shared first word run and is then tested.
+    Equal normalised titles join by equality; containment either way, also inside words, of
+    titles of at least `least` characters by `relational.containing`.
     """
     key = lambda d, c: d.select(F.col(c), tx.title_norm(F.col(c)).alias("k")).where("k <> ''")
     w = key(works.select("title").distinct(), "title")
@@ -44,14 +45,11 @@ def read_status(works: DataFrame, claims: DataFrame, library: DataFrame, least:
     def found(other: DataFrame) -> DataFrame:
         o = other.select(tx.title_norm(F.col("title")).alias("ok")).where("ok <> ''").distinct()
         equal = w.join(o, w["k"] == o["ok"], "left_semi").select("title")
-        words_w = w.where(F.length("k") >= least).select("title", "k", F.explode(F.split("k", " ")).alias("x"))
-        words_o = o.where(F.length("ok") >= least).select("ok", F.explode(F.split("ok", " ")).alias("x"))
-        rare = words_o.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        # a title is joined by its rarest word, which the containing title must have
-        pick_o = words_o.join(rare, "x").groupBy("ok").agg(F.min_by("x", F.struct("n", "x")).alias("x"))
-        pick_w = words_w.join(rare, "x", "left").groupBy("title", "k").agg(F.min_by("x", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "x")).alias("x"))
-        inside = words_w.join(pick_o, "x").where(F.col("k").contains(F.col("ok"))).select("title")
-        around = pick_w.join(words_o, "x").where(F.col("ok").contains(F.col("k"))).select("title")
+        long_w, long_o = w.where(F.length("k") >= least), o.where(F.length("ok") >= least)
+        of_w = long_w.select(F.col("title").alias("doc_id"), F.col("k").alias("text"), F.col("title").alias("item_id"), F.col("k").alias("item"))
+        of_o = long_o.select(F.col("ok").alias("doc_id"), F.col("ok").alias("text"), F.col("ok").alias("item_id"), F.col("ok").alias("item"))
+        inside = relational.containing(of_o.select("item_id", "item"), of_w.select("doc_id", "text")).select(F.col("doc_id").alias("title"))
+        around = relational.containing(of_w.select("item_id", "item"), of_o.select("doc_id", "text")).select(F.col("item_id").alias("title"))
         return equal.unionByName(inside).unionByName(around).distinct()
 
     read, held = found(claims).withColumn("read", F.lit(True)), found(library).withColumn("held", F.lit(True))

@@ -262,10 +262,13 @@ def _six(rows, key):
 , h AS (SELECT g, min(id) AS first_id, count(*) AS holders FROM s GROUP BY g)
 SELECT s.id AS doc_id, count(*) AS n_shingles, count(*) FILTER (holders > 1) AS n_shared, count(*) FILTER (first_id < s.id) AS n_seen_before FROM s JOIN h USING (g) GROUP BY s.id""")
 def dup_docs_shingle6(spark, sf):
-    rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode_outer("gs").alias("g")).where("g is not null").select("doc_id", F.xxhash64("g").alias("g"))
-    per = rows.groupBy("g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("holders"))
-    joined = rows.join(per, "g")
-    return joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.count_if(F.col("holders") > 1).alias("n_shared"), F.count_if(F.col("first_id") < F.col("doc_id")).alias("n_seen_before"))
+    sets = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.transform("gs", lambda g: F.xxhash64(g)).alias("gs")).where(F.size("gs") > 0)
+    rows = sets.select("doc_id", F.explode_outer("gs").alias("g"))
+    # a task sends each shingle's least holder and number once; only shingles with several holders come back
+    shared = rows.groupBy("g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("g", "first_id")
+    hits = rows.join(shared, "g").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shared"), F.count_if(F.col("first_id") < F.col("doc_id")).alias("n_seen_before"))
+    out = sets.select("doc_id", F.size("gs").cast("bigint").alias("n_shingles")).join(hits, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_shared", "n_seen_before")])
 
 
 @query(_SIX.format("doc_id", "documents") + r"""

@@ -9,13 +9,12 @@ same aggregation in a stream.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexispark import store
+
 #: What a press sets; a directive only where the card is open.
 SETS = {"approve": "approved", "edit": "submitted", "withdraw": "yours", "reopen": "yours", "applied": "applied", "leave": "superseded"}
 CLOSED = ("approved", "applied")
@@ -34,9 +33,16 @@ def chained(rows: DataFrame, chain: str, order: list[str], own: Column) -> DataF
 
 def verify(rows: DataFrame, chain: str, order: list[str], own: Column) -> DataFrame:
     """chain, n_events, n_bad_hash, n_bad_link: recomputed hashes and links of every chain."""
-    w = Window.partitionBy(chain).orderBy(*order)
-    seen = rows.withColumn("again", own).withColumn("before", F.lag("hash", 1, GENESIS).over(w))
-    return seen.groupBy(chain).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("again") != F.col("hash")).alias("n_bad_hash"), F.count_if(F.col("before") != F.col("prev")).alias("n_bad_link"))
+    at = F.struct(*order)
+    seen = rows.select(chain, "hash", "prev", own.alias("again"), at.alias("at"))
+    # a row links to the one whose hash it names, which must come earlier and be named once: an equi-join, so that one long chain is dealt over all tasks
+    linked = seen.groupBy(chain, "prev").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    before = seen.groupBy(chain, F.col("hash").alias("prev")).agg(F.min("at").alias("was")).withColumn("known", F.lit(True))
+    links = linked.join(before, [chain, "prev"], "left")
+    good = (F.col("prev") == GENESIS) | (F.col("known") & (F.col("was") < F.col("at")))
+    bad = links.groupBy(chain).agg(F.sum(F.when(F.coalesce(good, F.lit(False)), F.col("n") - 1).otherwise(F.col("n"))).alias("n_bad_link"))
+    sums = seen.groupBy(chain).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("again") != F.col("hash")).alias("n_bad_hash"))
+    return sums.join(bad, chain).select(chain, "n_events", "n_bad_hash", "n_bad_link")
 
 
 def retract(rows: DataFrame, hash_col: str = "hash", retracts: str = "retracts") -> DataFrame:
@@ -77,8 +83,7 @@ def fold_stream(spark: SparkSession, path: str, card: str, at, kind, max_files:
 
     The state is read back from the checkpoint, so nothing passes through the driver.
     """
-    base = checkpoint or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexispark-")
-    where = checkpoint or f"{base.rstrip('/')}/fold-{uuid.uuid4().hex}"
+    where = checkpoint or store.folder(spark)
     glob = f"{path[:-1]}[{path[-1]}]"  # a file stream takes a glob for a file as well as for a folder
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(glob)
     state = stream.groupBy(card).agg(*fold_aggregates(at(stream), kind(stream)))
