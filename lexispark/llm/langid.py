@@ -33,6 +33,8 @@ BITS = 16
 STEPS, RATE, RIDGE = 40, 0.15, 1e-4
 CHAIN = 36
 SEGMENT = 32
+#: Numbers in the transfer matrices that are held at once.
+CARRY_CELLS = 1 << 23
 
 _LETTERS = tv.byte_table([*range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Weights of the kinds of features in a word's sum; n-grams share theirs.
@@ -192,25 +194,27 @@ class Crf:
         """Language probabilities of every word by forward-backward over each row's whole chain.
 
         Rows are cut into segments that run side by side: each segment's transfer matrix
-        carries forward and backward messages over segment borders, exactly.
+        carries forward and backward messages over segment borders, exactly. The more
+        languages, the fewer and longer the segments, so that their matrices stay under CARRY_CELLS.
         """
         n, k = e.shape
         if not n:
             return e
+        segment = max(SEGMENT, -(-n * k * k // CARRY_CELLS))
         move = np.exp(self.moves)
         heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         lengths = np.diff(np.concatenate((heads, [n])))
-        count = -(-lengths // SEGMENT)
+        count = -(-lengths // segment)
         seg_row = np.repeat(np.arange(len(heads)), count)
         seg_no = np.arange(len(seg_row)) - np.repeat(np.cumsum(count) - count, count)
-        begin = heads[seg_row] + seg_no * SEGMENT
-        size = np.minimum(SEGMENT, heads[seg_row] + lengths[seg_row] - begin)
-        place = np.minimum(begin[:, None] + np.arange(SEGMENT), n - 1)
-        live = np.arange(SEGMENT) < size[:, None]
+        begin = heads[seg_row] + seg_no * segment
+        size = np.minimum(segment, heads[seg_row] + lengths[seg_row] - begin)
+        place = np.minimum(begin[:, None] + np.arange(segment), n - 1)
+        live = np.arange(segment) < size[:, None]
         f = np.exp(e - e.max(1, keepdims=True))
         s = len(begin)
         carry = np.broadcast_to(np.eye(k), (s, k, k)).copy()
-        for i in range(SEGMENT):
+        for i in range(segment):
             new = (carry.reshape(-1, k) @ move).reshape(s, k, k) * f[place[:, i]][:, None, :]
             new /= new.max((1, 2), keepdims=True)
             carry = np.where(live[:, i, None, None], new, carry)
@@ -230,14 +234,14 @@ class Crf:
             b_out[i] = m / m.sum(1, keepdims=True)
         alpha = np.zeros((n, k))
         a = a_in
-        for i in range(SEGMENT):
+        for i in range(segment):
             ok = live[:, i]
             new = (a @ move) * f[place[:, i]]
             new /= new.sum(1, keepdims=True)
             a = np.where(ok[:, None], new, a)
             alpha[place[ok, i]] = new[ok]
         b = b_out
-        for i in range(SEGMENT - 1, -1, -1):
+        for i in range(segment - 1, -1, -1):
             ok = live[:, i]
             alpha[place[ok, i]] *= b[ok]
             new = (f[place[:, i]] * b) @ move.T

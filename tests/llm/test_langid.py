@@ -37,6 +37,43 @@ def test_segments_do_not_change_a_long_chain(monkeypatch):
     assert np.allclose(short, m.marginals(e, row))
 
 
+def test_many_languages_do_not_need_more_memory(monkeypatch):
+    m, rnd = random_model(40)
+    row = np.repeat([0, 1, 3], [1, 700, 133])
+    e = rnd.normal(0, 2, (len(row), 40))
+    whole = m.marginals(e, row)
+    monkeypatch.setattr(g, "CARRY_CELLS", 40 * 40 * 5)
+    assert np.allclose(whole, m.marginals(e, row))
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = g.train(docs)
+    got = {r.doc_id: r for r in g.query(spark, SF).collect()}
+    move = np.exp(m.moves)
+    for r in docs.collect():
+        text = (r.text or "").encode().translate(bytes(range(256)).lower())
+        words = [w for w in text.split() if any(0x61 <= b <= 0x7A or b >= 0x80 for b in w)]
+        g_ = got[r.doc_id]
+        if not words or not any(c.isalpha() for c in r.text):
+            assert (g_.lang_pred, g_.score) == ("und", 0)
+            continue
+        buf = np.frombuffer(b" ".join(words), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        e = g.emissions(m.weights, *g.word_features(buf, ends - [len(w) for w in words], ends))
+        f = np.exp(e - e.max(1, keepdims=True))
+        ahead, back = np.zeros_like(f), np.ones_like(f)
+        for i in range(len(f)):
+            ahead[i] = (np.exp(m.start) if i == 0 else ahead[i - 1] @ move) * f[i]
+            ahead[i] /= ahead[i].sum()
+        for i in range(len(f) - 2, -1, -1):
+            back[i] = move @ (f[i + 1] * back[i + 1])
+            back[i] /= back[i].sum()
+        p = ahead * back
+        mean = (p / p.sum(1, keepdims=True)).mean(0)
+        assert abs(g_.score - mean.max()) < 1e-6 and mean[m.langs.index(g_.lang_pred)] > mean.max() - 1e-9
+
+
 def test_held_out_accuracy(spark):
     rows = g.query(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     n, right = rows.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
