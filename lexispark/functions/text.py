@@ -273,7 +273,7 @@ ELISION = "’'ʼ᾽᾿ʹ´`"
 #: Letters of beta code and the Greek letters that they stand for.
 BETA, GREEK = "abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"
 #: Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = "Mr Mrs Ms Dr St vs cf ed eds trans vol vols no nos ch chs pp e.g i.e etc"
+ABBREVIATIONS = "Mr Mrs Ms Dr St vs cf ed eds trans vol vols no nos ch chs p pp e.g i.e etc"
 
 
 def _nfc(text: pd.Series) -> pd.Series:
