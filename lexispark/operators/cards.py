@@ -126,3 +126,53 @@ def note_piles(notes: DataFrame, body: DataFrame, locators: dict[str, str], key:
     said = F.coalesce(F.col("around").contains(F.col("sentence")), F.lit(False))
     pile = F.when(anchored, "locator").when(F.col("sentence").rlike(WARNING), "warning").when(tx.is_title_cased(F.col("sentence")), "title").when(said, "body").otherwise("content")
     return rows.select(key, (F.col("at") + 1).alias("sentence_no"), pile.alias("pile"))
+
+
+def write_guard(before: DataFrame, after: DataFrame, writer: str, declared: list[str]) -> DataFrame:
+    """One row: n_lost, n_twice, n_changed, verdict of a write of blocks (block, text) over what was there.
+
+    An undeclared writer, lost blocks and blocks that stand twice are refused; a write that
+    changes nothing makes no event.
+    """
+    twice = after.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    now = after.groupBy("block").agg(F.min("text").alias("now"))
+    both = before.select("block", F.col("text").alias("was")).join(now, "block", "full_outer").join(twice, "block", "left")
+    rows = both.agg(
+        F.count_if(F.col("n").isNull()).alias("n_lost"),
+        F.count_if(F.col("n") > 1).alias("n_twice"),
+        F.count_if(F.col("n").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).alias("n_changed"),
+    )
+    verdict = F.when(F.lit(writer not in declared), "UNDECLARED").when(F.col("n_lost") > 0, "LOST").when(F.col("n_twice") > 0, "TWICE").when(F.col("n_changed") == 0, "UNCHANGED").otherwise("WRITE")
+    return rows.withColumn("verdict", verdict)
+
+
+#: Parts of a text that are not its author's prose: code, quotations, italics.
+NOT_PROSE = ("`[^`]*`", "[“\"][^”\"]*[”\"]", r"[*_][^*_]+[*_]")
+
+
+def word_hits(cards_: DataFrame, chapters: DataFrame, pattern: str, carve: str | None = None, own: DataFrame | None = None) -> DataFrame:
+    """card, hit: banned words of cards (card, block, text) outside code, quotations and italics, without those near a carve-out,
+    those that the author uses themselves (own: word), and those that the chapter's block has unchanged (chapters: block, text)."""
+    prose = F.col("text")
+    for p in NOT_PROSE:
+        prose = F.regexp_replace(prose, p, " ")
+    rows = cards_.select("card", "block", F.explode_outer(F.regexp_extract_all(prose, F.lit(f"(?i)(.{{0,20}}\\b(?:{pattern})\\b.{{0,20}})"), F.lit(1))).alias("around")).where("around is not null")
+    if carve:
+        rows = rows.where(~F.col("around").rlike(carve))
+    rows = rows.withColumn("hit", F.lower(F.regexp_extract("around", f"(?i)\\b({pattern})\\b", 1)))
+    if own is not None:
+        rows = rows.join(own.select(F.lower("word").alias("hit")).distinct(), "hit", "left_anti")
+    there = chapters.select("block", F.lower("text").alias("chapter"))
+    rows = rows.join(there, "block", "left").where(~F.coalesce(F.col("chapter").contains(F.col("hit")), F.lit(False)))
+    return rows.select("card", "hit")
+
+
+def healed(vectors: DataFrame, metadata: DataFrame, place: str = "place") -> DataFrame:
+    """metadata cut to what the vectors have: rows beyond the first gap of places that both have are an interrupted write and go."""
+    have = vectors.select(place).distinct().join(metadata.select(place).distinct(), place)
+    n = have.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(place), F.lit(-1)).alias("last"))
+    # without a gap the places are 0 .. n - 1; else they end where the first place is missing
+    gap = have.select((F.col(place) + 1).alias(place)).join(have, place, "left_anti").agg(F.min(place).alias("first"))
+    start = have.where(F.col(place) == 0).agg(F.count(F.lit(1)).alias("zero"))
+    bound = n.join(gap).join(start).select(F.when(F.col("zero") > 0, F.col("first")).otherwise(0).alias("bound"))  # one row each
+    return metadata.join(F.broadcast(bound), F.col(place) < F.col("bound")).drop("bound")

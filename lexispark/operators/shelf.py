@@ -150,3 +150,20 @@ def page_faults(pages: DataFrame, patterns: dict[str, str], id_col: str = "page_
     text = pages.select(id_col, tx.strip_html(F.col(html_col)).alias("plain"))
     each = F.array(*[F.struct(F.lit(k).alias("fault"), F.regexp_count("plain", F.lit(p)).alias("n")) for k, p in patterns.items()])
     return text.select(id_col, F.explode_outer(each).alias("f")).select(id_col, "f.fault", "f.n").where("n > 0")
+
+
+def shelf_signature(files: DataFrame) -> DataFrame:
+    """One row: n_folders, newest: what changes when a shelf of files (path, modified) does."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    return files.agg(F.count_distinct(folder).alias("n_folders"), F.max("modified").alias("newest"))
+
+
+def ledger(lines: DataFrame) -> DataFrame:
+    """book, section_no, section, row_no, cells of the pipe tables under numbered '## 1. Name' headings; header and ruler rows are not rows."""
+    w = Window.partitionBy("book").orderBy("line_no")
+    head = F.when(F.col("text").rlike(r"^## \d+\."), F.struct(F.regexp_extract("text", r"^## (\d+)\.", 1).cast("int").alias("no"), F.trim(F.regexp_replace("text", r"^## \d+\.", "")).alias("name")))
+    rows = lines.withColumn("under", F.last(head, ignorenulls=True).over(w)).where(F.trim("text").startswith("|") & F.col("under").isNotNull() & ~F.col("text").rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
+    section = Window.partitionBy("book", "under.no").orderBy("line_no")
+    cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    rows = rows.select("book", "under.no", "under.name", (F.row_number().over(section) - 1).alias("row_no"), cells.alias("cells"))
+    return rows.where("row_no > 0").select("book", F.col("no").alias("section_no"), F.col("name").alias("section"), "row_no", "cells")
