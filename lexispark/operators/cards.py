@@ -176,3 +176,20 @@ def healed(vectors: DataFrame, metadata: DataFrame, place: str = "place") -> Dat
     start = have.where(F.col(place) == 0).agg(F.count(F.lit(1)).alias("zero"))
     bound = n.join(gap).join(start).select(F.when(F.col("zero") > 0, F.col("first")).otherwise(0).alias("bound"))  # one row each
     return metadata.join(F.broadcast(bound), F.col(place) < F.col("bound")).drop("bound")
+
+
+def note_checks(notes: DataFrame, body: DataFrame, rulings: DataFrame, paraphrase: float = 0.8) -> DataFrame:
+    """card, note, class of what cards do with notes (card, note, text, action): CONFLICT with a ruling (note, ruling) for another
+    action, PARAPHRASE if so great a share of its longer words is the body's (note, text), else OK."""
+    rows = notes.join(rulings.groupBy("note").agg(F.collect_set("ruling").alias("ruled")), "note", "left").join(body.select("note", F.col("text").alias("around")), "note", "left")
+    against = F.coalesce(F.size(F.array_except("ruled", F.array("action"))) > 0, F.lit(False))
+    share = tx.word_share(F.col("text"), F.coalesce("around", F.lit("")))
+    return rows.select("card", "note", F.when(against, "CONFLICT").when(share >= paraphrase, "PARAPHRASE").otherwise("OK").alias("class"))
+
+
+def directives_open(events: DataFrame, closing: list[str]) -> DataFrame:
+    """card, directed_at, n_versions of cards (card, kind, at) whose last directive no closing event has answered, with the versions since."""
+    last = events.groupBy("card").agg(F.max(F.when(F.col("kind") == "directive", F.col("at"))).alias("directed_at"), F.max(F.when(F.col("kind").isin(closing), F.col("at"))).alias("closed_at"))
+    still = last.where("directed_at is not null and (closed_at is null or closed_at < directed_at)").select("card", "directed_at")
+    since = events.where("kind = 'version'").join(still, "card").where("at > directed_at").groupBy("card").agg(F.count(F.lit(1)).alias("n"))
+    return still.join(since, "card", "left").select("card", "directed_at", F.coalesce("n", F.lit(0)).alias("n_versions"))

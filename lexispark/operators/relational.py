@@ -129,3 +129,41 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, width:
     near = l.join(r, [key, "bucket"]).where((F.col("left_id") != F.col("right_id")) & (F.abs(F.col("left_at") - F.col("right_at")) <= width))
     best = near.groupBy("left_id").agg(F.min(F.struct(F.abs(F.col("left_at") - F.col("right_at")).alias("distance"), "right_id")).alias("b"), F.count(F.lit(1)).alias("n_near"))
     return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.distance").alias("distance"), "n_near")
+
+
+def chain_walk(links: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
+    """start, hops, last, cyclic: how far links (node, next: one per node) lead from every start, `most` steps at most.
+
+    All walks step together, one join a hop on a written table; a walk that comes back to its own path ends there.
+    """
+    spark = starts.sparkSession
+    base = store.folder(spark)
+    step = links.select(F.col("node").alias("last"), F.col("next").alias("then"))
+    walks = starts.select(F.col("node").alias("start"), F.col("node").alias("last"), F.array("node").alias("path"), F.lit(False).alias("cyclic"))
+    done = None
+    for hop in range(1, most + 1):
+        moved = walks.join(step, "last", "left")
+        back = F.array_contains("path", F.col("then"))
+        stay = moved.where(F.col("then").isNull() | F.coalesce(back, F.lit(False))).select("start", (F.size("path") - 1).alias("hops"), "last", F.coalesce(back, F.lit(False)).alias("cyclic"))
+        on = moved.where(F.col("then").isNotNull() & ~F.coalesce(back, F.lit(False))).select("start", F.col("then").alias("last"), F.concat("path", F.array("then")).alias("path"), F.lit(False).alias("cyclic"))
+        stay.write.parquet(f"{base}/done/{hop}")
+        on.write.parquet(f"{base}/on/{hop}")
+        done = spark.read.schema(stay.schema).parquet(*[f"{base}/done/{h}" for h in range(1, hop + 1)])
+        walks = spark.read.schema(on.schema).parquet(f"{base}/on/{hop}")
+        if walks.isEmpty():
+            return done
+    return done.unionByName(walks.select("start", (F.size("path") - 1).alias("hops"), "last", "cyclic"))
+
+
+def unchanged(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """files with skip: whether the manifest has the file with the same size and time."""
+    known = manifest.select(key, F.col("size").alias("was_size"), F.col("modified").alias("was_modified"))
+    rows = files.join(known, key, "left")
+    return rows.withColumn("skip", F.coalesce((F.col("size") == F.col("was_size")) & (F.col("modified") == F.col("was_modified")), F.lit(False))).drop("was_size", "was_modified")
+
+
+def titles_in_names(titles: DataFrame, files: DataFrame, norm) -> DataFrame:
+    """title, name: files of whose name a segment (between ' - ') begins with the title, both normalised; met by the first word."""
+    t = titles.select("title", norm(F.col("title")).alias("k")).where("k <> ''").withColumn("first", F.split("k", " ")[0])
+    f = files.select("name", F.explode(F.split("name", " - ")).alias("segment")).select("name", norm(F.col("segment")).alias("s")).withColumn("first", F.split("s", " ")[0])
+    return t.join(f, "first").where((F.col("s") == F.col("k")) | F.col("s").startswith(F.concat("k", F.lit(" ")))).select("title", "name").distinct()

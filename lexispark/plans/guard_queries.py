@@ -98,3 +98,62 @@ def chunk_sizing_by_limit(spark, sf):
     sizes = [(n, *tx.chunk_sizing(n * 60)) for n in range(0, 101)]  # sizes of parts are 1 to 50
     known = spark.createDataFrame(sizes, "p_size int, words int, overlap int")
     return table(spark, sf, "part").join(F.broadcast(known), "p_size").select("p_partkey", "words", "overlap")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id AS card, conv_id * 1000 + turn AS note, text, CASE WHEN turn % 2 = 0 THEN 'keep' ELSE 'cut' END AS action, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS around, turn FROM conversations),
+w AS (SELECT *, list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) > 3) AS mine, list_filter(string_split_regex(lower(around), '[^\p{L}]+'), lambda w: length(w) > 3) AS other FROM c)
+SELECT card, note, CASE WHEN note % 7 = 0 AND action <> 'keep' THEN 'CONFLICT' WHEN len(mine) > 0 AND len(list_filter(mine, lambda w: list_contains(other, w))) / len(mine) >= 0.2 THEN 'PARAPHRASE' ELSE 'OK' END AS class FROM w""")
+def card_note_checks(spark, sf):
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations")
+    note = (F.col("conv_id") * 1000 + F.col("turn")).alias("note")
+    around = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
+    notes = c.select(F.col("conv_id").alias("card"), note, "text", F.when(F.col("turn") % 2 == 0, "keep").otherwise("cut").alias("action"))
+    rulings = notes.where("note % 7 = 0").select("note", F.lit("keep").alias("ruling"))
+    return cards.note_checks(notes, c.select(note, around.alias("text")), rulings, 0.2)
+
+
+@query("""
+WITH e AS (SELECT user_id AS card, CASE event_type WHEN 'click' THEN 'directive' WHEN 'purchase' THEN 'applied' WHEN 'view' THEN 'version' ELSE 'note' END AS kind, event_id AS at_ FROM events),
+l AS (SELECT card, max(at_) FILTER (kind = 'directive') AS d, max(at_) FILTER (kind = 'applied') AS c FROM e GROUP BY card), s AS (SELECT * FROM l WHERE d IS NOT NULL AND (c IS NULL OR c < d))
+SELECT s.card, d AS directed_at, count(e.card) AS n_versions FROM s LEFT JOIN e ON s.card = e.card AND kind = 'version' AND at_ > d GROUP BY s.card, d""")
+def directives_open(spark, sf):
+    t = F.col("event_type")
+    kind = F.when(t == "click", "directive").when(t == "purchase", "applied").when(t == "view", "version").otherwise("note")
+    return cards.directives_open(table(spark, sf, "events").select(F.col("user_id").alias("card"), kind.alias("kind"), F.col("event_id").alias("at")), ["applied"])
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey * 7 + 3) % 400 END AS next FROM part WHERE p_partkey < 400),
+w AS (SELECT node AS start, node AS last, [node] AS path, 0 AS hops FROM l UNION ALL SELECT w.start, l.next, list_append(path, l.next), hops + 1 FROM w JOIN l ON w.last = l.node WHERE l.next IS NOT NULL AND NOT list_contains(path, l.next) AND hops < 30),
+m AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS r FROM w)
+SELECT start, hops::INTEGER AS hops, last, hops < 30 AND l.next IS NOT NULL AND list_contains(path, l.next) AS cyclic FROM m LEFT JOIN l ON m.last = l.node WHERE r = 1""")
+def queue_chain_walk(spark, sf):
+    from lexispark.operators import relational as rel
+
+    p = table(spark, sf, "part").where("p_partkey < 400")
+    links = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 11 != 0, (F.col("p_partkey") * 7 + 3) % 400).alias("next"))
+    return rel.chain_walk(links.where("next is not null"), links.select("node"))
+
+
+@query("""
+SELECT o_orderkey AS path, o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND o_custkey % 5 > 0 AS skip FROM orders""")
+def manifest_unchanged(spark, sf):
+    from lexispark.operators import relational as rel
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("size"), F.col("o_orderdate").alias("modified"))
+    known = o.where("path % 3 > 0").select("path", F.when(F.col("path") % 4 > 0, F.col("size")).otherwise(-1).alias("size"), F.when(F.col("size") % 5 > 0, F.col("modified")).alias("modified"))
+    return rel.unchanged(o, known).select("path", "skip")
+
+
+@query(r"""
+WITH t AS (SELECT DISTINCT p_name AS title FROM part WHERE p_size < 10), f AS (SELECT DISTINCT p_brand || ' - ' || p_name || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE 's' END AS name, p_name, p_size % 2 = 0 AS ok FROM part)
+SELECT DISTINCT title, name FROM t JOIN f ON p_name = title WHERE ok""")
+def titles_in_file_names(spark, sf):
+    from lexispark.operators import relational as rel
+
+    p = table(spark, sf, "part")
+    name = F.concat("p_brand", F.lit(" - "), "p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(", "), "p_type")).otherwise("s"))
+    return rel.titles_in_names(p.where("p_size < 10").select(F.col("p_name").alias("title")).distinct(), p.select(name.alias("name")).distinct(), tx.title_norm)
