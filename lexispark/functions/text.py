@@ -151,6 +151,17 @@ def shingles(items: Column, n: int) -> Column:
     return bound(items, cut)
 
 
+def shingle_hashes(items: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of n items."""
+
+    def cut(xs: Column) -> Column:
+        last = F.size(xs) - n + 1
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(xs, i + k) for k in range(n)]))
+        return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(items, cut)
+
+
 def preview(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

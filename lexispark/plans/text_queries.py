@@ -253,16 +253,18 @@ s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 5], ' ') AS g FROM (SELECT id
 
 
 def _six(rows, key):
-    """Six-word shingles. To be exploded with explode_outer: for explode, Spark derives a size filter and pushes the whole expression below."""
+    """Hashes of six-word shingles. To be exploded with explode_outer: for explode, Spark derives a size filter and pushes the whole expression below."""
     ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
-    return rows.select(key, ws.alias("ws")).select(key, tx.shingles(F.col("ws"), 6).alias("gs"))
+    return rows.select(key, tx.shingle_hashes(ws, 6).alias("gs"))
 
 
 @query(_SIX.format("doc_id", "documents") + """
 , h AS (SELECT g, min(id) AS first_id, count(*) AS holders FROM s GROUP BY g)
 SELECT s.id AS doc_id, count(*) AS n_shingles, count(*) FILTER (holders > 1) AS n_shared, count(*) FILTER (first_id < s.id) AS n_seen_before FROM s JOIN h USING (g) GROUP BY s.id""")
 def dup_docs_shingle6(spark, sf):
-    sets = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.transform("gs", lambda g: F.xxhash64(g)).alias("gs")).where(F.size("gs") > 0)
+    path = store.folder(spark)
+    _six(table(spark, sf, "documents"), "doc_id").write.parquet(path)  # read three times below
+    sets = spark.read.parquet(path).where(F.size("gs") > 0)
     rows = sets.select("doc_id", F.explode_outer("gs").alias("g"))
     # a task sends each shingle's least holder and number once; only shingles with several holders come back
     shared = rows.groupBy("g").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("g", "first_id")
