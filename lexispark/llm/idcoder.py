@@ -23,10 +23,11 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 12
-LANES = 1024
+LANES = 2048
 MOST_BITS = 20
 MOST_BLOCK = 1 << 13
 _FIRST, _GROWTH = 64, 4  # ids in the first round, and how fast the rounds' ends grow
+_PART = 512  # positions whose intervals are held at once
 _T2, _HASH = 10, 11  # bits of the order-2 table and of the order-1 contexts
 _HALVE = 128
 _LOW = np.uint64((1 << 32) - 1)
@@ -70,6 +71,11 @@ def _rounds(size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in zip(ends, ends[1:])] if size else []
 
 
+def _parts(size: int) -> list[tuple[bool, int, int]]:
+    """The rounds in parts of at most _PART positions, and whether each begins a round: what a round has learnt is made once, its ids are looked up by part."""
+    return [(a == begin, a, min(end, a + _PART)) for begin, end in _rounds(size) for a in range(begin, end, _PART)]
+
+
 class _Sorted:
     """A sorted list per lane; for every entry of it, the id, and the begin and size of its run of equal entries."""
 
@@ -233,23 +239,25 @@ def encode(ids: np.ndarray, block: int = BLOCK, bits: int | None = None) -> dict
     every = np.arange(n, dtype=np.int32)
     part = np.uint64((1 << 20) - 1)
     context = np.zeros(n << _HASH, np.int32)
-    for start, end in _rounds(int(sizes.max()) if n else 0):
+    seen = None
+    for fresh, start, end in _parts(int(sizes.max()) if n else 0):
+        if fresh and start:
+            seen = None  # before the next one is made
+            seen = _Frequencies(shown[:, :start], context)
         now = shown[:, start:end]
         before = np.zeros_like(now)
         before[:, 1:] = now[:, :-1]
         if start:
             before[:, 0] = shown[:, start - 1]
         buckets, outcomes, inners = (np.empty((end - start, n), kind) for kind in (np.int8, np.int8, np.uint64))
-        seen = _Frequencies(shown[:, :start], context) if start else None
         at_once = max(1, min((1 << 21) // len(kinds), (1 << 17) // (end - start)))
         for i in range(0, n, at_once):
             some = slice(i, min(n, i + at_once))
             buckets[:, some], outcomes[:, some], inners[:, some] = _fallbacks(seen, some, now[some], before[some], new, rank, len(kinds))
-        del seen
         columns = np.ascontiguousarray(now.T)
         for t in range(end - start):
             x = columns[t].astype(np.int64)
-            ends, total = model.predict(buckets[t], start == 0)
+            ends, total = model.predict(buckets[t], seen is None)
             hit = model.p2 >> 2 == x
             outcome = np.where(hit, 0, outcomes[t].astype(np.int64))
             inner = np.where(hit, _CERTAIN, inners[t])

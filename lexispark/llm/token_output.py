@@ -65,6 +65,7 @@ def _encode_partition(path: str, block: int, lanes: int):
 
         def row() -> pa.RecordBatch:
             made = idcoder.encode(np.concatenate(ids), block)
+            pa.default_memory_pool().release_unused()
             values = [part, segment, sum(map(len, ids)), np.concatenate(named).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(tokens).tobytes(), made["bits"]]
             values += [made[k].tobytes() for k in ("kinds", "exponents", "sizes", "crcs", "words", "payload")]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
