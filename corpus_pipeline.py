@@ -31,7 +31,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_index(docs, by_id=False)
+    return token_output.token_index(docs, by_id=False, lanes=1024)  # smaller segments: the stages before have filled the executors
 
 
 STAGES = [
