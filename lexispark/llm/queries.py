@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, langid, mixing, ngram_join, page_text, quality, secrets, substring_dedup, token_output
+from lexispark.llm import decontaminate, langid, mixing, ngram_join, page_text, quality, secrets, simhash, substring_dedup, token_output
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(spark, sf_dir)
 
 
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op4_vertical_jaccard, op5_chain_langid, op6_stream_dedup, op7_range_coder, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op4_vertical_jaccard, op5_chain_langid, op6_stream_dedup, op7_range_coder, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton, op11_simhash_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and the session is local (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _OWN.setdefault("base", tempfile.mkdtemp(prefix="lexispark-"))
     return f"{base.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
 

@@ -82,6 +82,19 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
+def squeezed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes with one space where a word is followed by any separator, and the words' new starts and ends."""
+    depth = np.zeros(len(buf) + 2, np.int8)
+    depth[starts] += 1
+    depth[ends] -= 1  # a word that starts where another ends stays inside
+    inside = np.cumsum(depth[:-1], dtype=np.int8).view(bool)[: len(buf)]
+    keep = inside.copy()
+    keep[ends[ends < len(buf)]] = True
+    out = np.where(inside, buf, np.uint8(0x20))[keep]
+    at = np.cumsum(keep) - keep
+    return out, at[starts], at[ends - 1] + 1
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     h = h ^ (h >> np.uint64(30))
