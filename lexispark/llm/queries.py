@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lexispark.llm import exact_dedup as dedup
-from lexispark.llm import decontaminate, langid, mixing, ngram_join, page_text, quality, secrets, simhash, substring_dedup, token_output
+from lexispark.llm import collocations, decontaminate, langid, merkle, mixing, ngram_join, page_text, quality, secrets, simhash, substring_dedup, token_output
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,17 @@ def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(spark, sf_dir)
 
 
+def op12_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.query(spark, sf_dir)
+
+
+def op13_postorder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op4_vertical_jaccard, op5_chain_langid, op6_stream_dedup, op7_range_coder, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton, op11_simhash_trie)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_suffix_trees, op3_tag_paths, op4_vertical_jaccard, op5_chain_langid, op6_stream_dedup, op7_range_coder, op8_pairwise_quality, op9_secret_cnn, op10_suffix_automaton, op11_simhash_trie, op12_prefix_free_phrases, op13_postorder_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mix": mixing.ORACLE, "op6_stream_dedup": OP6_SQL}
+    return {"op1_poisson_mix": mixing.ORACLE, "op6_stream_dedup": OP6_SQL, "op12_prefix_free_phrases": collocations.ORACLE, "op13_postorder_manifest": merkle.ORACLE}
