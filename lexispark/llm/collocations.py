@@ -41,7 +41,10 @@ OVERLAP, TRIGGER = MOST_WORDS - 1, 24
 #: Counters: so many phrases for each on average, and their number as powers of 2.
 FILL, LEAST_BITS, MOST_BITS, PIECE_BITS = 40, 16, 25, 14
 #: Distinct phrases that a task holds before it gives out their counts.
-HELD = 200_000
+HELD = 400_000
+#: Characters of the dictionary for a task that counts, or an even share of the cores if that is less: a frequent phrase
+#: leaves a task once, so small tasks would send it too often.
+TASK_CHARS = 64 << 20
 
 #: Bytes that end pieces, and bytes that part words inside a piece.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -163,13 +166,13 @@ def frequent(words: DataFrame, bits: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(zlib.decompress(packed), np.uint8)
-        held: dict[tuple, int] = {}
+        held: dict[tuple[str, int], dict[bytes, int]] = {}  # by lang and number of words
 
-        def give() -> pa.RecordBatch:
-            keys = list(held)
-            out = [pa.array([x for x, _, _ in keys], pa.string()), pa.array([p for _, p, _ in keys], pa.string()), pa.array([k for _, _, k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())]
+        def give() -> Iterator[pa.RecordBatch]:
+            for (lang, k), own in held.items():
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array([k] * n, pa.int32()), pa.array(list(own.values()), pa.int64())], ["lang", "phrase", "k", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays(out, ["lang", "phrase", "k", "n"])
 
         for s in _slices(batches):
             text, may = s.raw.tobytes(), None
@@ -180,23 +183,23 @@ def frequent(words: DataFrame, bits: int) -> DataFrame:
                 may = hit if may is None else hit & may[:-1] & may[1:]  # both parts one word shorter
                 i = np.flatnonzero(may & ok)
                 rows = s.row[i]
+                counts = [held.setdefault((x, k), {}) for x in s.names]
                 for x, lo, hi, n in zip(s.lang[rows].tolist(), s.starts[i].tolist(), s.ends[i + k - 1].tolist(), s.freq[rows].tolist(), strict=True):
-                    key = (s.names[x], text[lo:hi], k)
-                    held[key] = held.get(key, 0) + n
-                if len(held) > HELD:
-                    yield give()
-        if held:
-            yield give()
+                    own, phrase = counts[x], text[lo:hi]
+                    own[phrase] = own.get(phrase, 0) + n
+            if sum(map(len, held.values())) > HELD:
+                yield from give()
+        yield from give()
 
     rows = words.mapInArrow(count, "lang string, phrase string, k int, n bigint")
     return rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
 
 
 def _words_by_lang(words: DataFrame) -> DataFrame:
-    """(lang, n, held): all word occurrences, and words in the dictionary."""
+    """(lang, n, held, chars): all word occurrences; words and characters of the dictionary."""
     size = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "))) + 1
     owned = F.when(F.col("last"), size).otherwise(size - OVERLAP)
-    return words.groupBy("lang").agg(F.sum(owned * F.col("freq")).alias("n"), F.sum(size).alias("held"))
+    return words.groupBy("lang").agg(F.sum(owned * F.col("freq")).alias("n"), F.sum(size).alias("held"), F.sum(F.length("chunk")).alias("chars"))
 
 
 def _part(words, lo, n):
@@ -230,7 +233,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """The first `top` of each language by score, then frequency, then phrase."""
     words = materialize(dictionary(docs, lang_col, text_col))
     totals = materialize(_words_by_lang(words))
-    often = materialize(frequent(words, histogram_bits(totals.agg(F.sum("held")).first()[0] or 0)))
+    size = totals.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size["chars"] // TASK_CHARS))
+    often = materialize(frequent(words.coalesce(tasks), histogram_bits(size["held"])))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = scored(often, totals).withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
