@@ -78,27 +78,36 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.groupBy("term", id_col).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("p")).alias("positions"))
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> Index:
-    """Write the index of docs under path: postings by term, documents with their length and the columns to filter by.
+def write_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "") -> None:
+    """Write postings by term, and documents with their length, the hash of their content and the columns to filter by; in folders of that name.
 
     Terms are dealt by ranges of (term, id), so that a very frequent term lies in several files.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tx.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"), *keep)
-    rows.select("doc_id", F.size("ts").alias("len"), *keep).write.parquet(f"{path}/documents")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tx.tokens(text).alias("ts"), F.sha2(text.cast("binary"), 256).alias("content"), *keep)
+    rows.select("doc_id", F.size("ts").alias("len"), "content", *keep).write.parquet(f"{path}/documents/{name}")
     each = rows.select("doc_id", F.transform("ts", lambda t, i: F.struct(t.alias("term"), i.alias("p"))).alias("ts")).select("doc_id", F.explode_outer("ts").alias("t")).where("t is not null")
     found = each.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.p")).alias("positions"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.select("term", "doc_id", "tf", "positions").repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    return Index(spark, path)
+    found.select("term", "doc_id", "tf", "positions").repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings/{name}")
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> Index:
+    """Write the index of docs under path."""
+    write_postings(docs, path, id_col, text_col, keep)
+    return Index.open(docs.sparkSession, path)
 
 
 class Index:
-    """A written index."""
+    """A written index: postings (term, doc_id, tf, positions) and documents (doc_id, len, columns to filter by)."""
 
-    def __init__(self, spark, path: str) -> None:
-        self.postings = spark.read.parquet(f"{path}/postings")
-        self.documents = spark.read.parquet(f"{path}/documents")
+    def __init__(self, postings: DataFrame, documents: DataFrame) -> None:
+        self.postings, self.documents = postings, documents
+
+    @classmethod
+    def open(cls, spark, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
 
     def matches(self, clause: tuple[str, ...]) -> DataFrame:
         """doc_id, tf of the documents that match a clause."""
@@ -168,12 +177,6 @@ def phrase_pattern(phrase: str) -> str:
     return r"(?i)\b" + ws[0] + r"\b" if len(ws) == 1 else "(?i)" + r"\s+".join(ws)
 
 
-def stem(term: Column) -> Column:
-    """Light English stemming of the stemmed index: plurals, -ed, -ing, -ly."""
-    out = F.when(term.rlike(".{3}ies$"), F.regexp_replace(term, "ies$", "y")).when(term.rlike(".{2}(ss|us|is)$"), term).when(term.rlike(".{3}s$"), F.regexp_replace(term, "s$", "")).otherwise(term)
-    return F.regexp_replace(out, "^(.{3,}?)(?:ingly|edly|ing|ed|ly)$", "$1")
-
-
 def fuse(ranked: list[DataFrame], key: str, k0: int = 60) -> DataFrame:
     """key, score: sum of 1 / (k0 + rank) over rankings with columns key and rank."""
     both = ranked[0].select(key, "rank")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark import store
 
@@ -92,15 +97,82 @@ def reachable(edges: DataFrame, start: DataFrame, most_hops: int | None = None)
     return spark.read.schema(schema).parquet(*[f"{base}/{h}" for h in range(hops)])
 
 
-#: Short items that are sent to every task at once: rows, and characters.
-ITEM_BLOCK, ITEM_CHARS = 10_000, 4_000_000
+#: Short items that one automaton holds at most: rows, and characters.
+ITEM_BLOCK, ITEM_CHARS = 200_000, 4_000_000
+
+
+def _item_blocks(items: DataFrame, most_rows: int, most_chars: int):
+    """(item ids as Arrow, items) of blocks of bounded size; one block in the driver at a time."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
+    blocks = max(-(-size["n"] // most_rows), -(-size["chars"] // most_chars))
+    if not blocks:
+        return
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+    dealt = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition(blocks, "ib")
+    for row in dealt.groupBy("ib").agg(F.collect_list(F.struct("item_id", "item")).alias("rows")).toLocalIterator():
+        yield pa.array([r["item_id"] for r in row["rows"]], kind), [r["item"] for r in row["rows"]]
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(packed: bytes):
+    """The automaton of a block of terms, made once by a worker: each distinct term leads to the rows that have it."""
+    import ahocorasick
+
+    if packed not in _AUTOMATA:
+        _AUTOMATA.clear()
+        made = ahocorasick.Automaton()
+        rows: dict[str, list[int]] = {}
+        for i, term in enumerate(json.loads(zlib.decompress(packed))):
+            rows.setdefault(term, []).append(i)
+        for term, own in rows.items():
+            if term:
+                made.add_word(term, own)
+        made.make_automaton()
+        _AUTOMATA[packed] = made, rows.get("", [])
+    return _AUTOMATA[packed]
+
+
+def terms_in(items: DataFrame, docs: DataFrame, most_rows: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """item_id, doc_id of the docs (doc_id, text) that contain an item (item_id, item), each pair once.
+
+    The items of a block are one Aho-Corasick automaton, through which every text is read
+    once, whatever the number of items. An empty item is in every text, a null one in none.
+    """
+    items, docs = items.select("item_id", "item").where("item IS NOT NULL"), docs.select("doc_id", "text").where("text IS NOT NULL")
+    schema = T.StructType([items.schema["item_id"], docs.schema["doc_id"]])
+
+    def search(ids: pa.Array, packed: bytes):
+        def each(batches):
+            made, everywhere = _automaton(packed)
+            for batch in batches:
+                found, at = [], []
+                for n, text in enumerate(batch.column(1).to_pylist()):
+                    hits = set(everywhere)
+                    if len(made):
+                        for _, rows in made.iter(text):
+                            hits.update(rows)
+                    found += hits
+                    at += [n] * len(hits)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found, pa.int64())), batch.column(0).take(pa.array(at, pa.int64()))], ["item_id", "doc_id"])
+
+        return each
+
+    out = None
+    for ids, terms in _item_blocks(items, most_rows or ITEM_BLOCK, most_chars or ITEM_CHARS):
+        part = docs.mapInArrow(search(ids, zlib.compress(json.dumps(terms).encode())), schema)
+        out = part if out is None else out.unionByName(part)
+    return items.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id of the docs (doc_id, text) that contain an item (item_id, item).
 
     Items of five words or more meet documents by their second to fourth word, which are whole words of any text
-    around them. Shorter items have no such words: they meet all documents, in broadcast blocks of bounded size.
+    around them. Shorter items have no such words: `terms_in` finds them.
     """
     words = lambda c: F.split(c, r"[ \n]")
     split = items.withColumn("ws", words(F.col("item")))
@@ -109,13 +181,7 @@ def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
     runs = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.explode_outer(F.array_distinct(run)).alias("key"))
     pairs = runs.join(keyed, "key").select("doc_id", "item_id").distinct()
     hits = pairs.join(items, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    short = split.where(F.size("ws") < 5).select("item_id", "item")
-    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
-    blocks = max(-(-size["n"] // ITEM_BLOCK), -(-size["chars"] // ITEM_CHARS))
-    for b in range(blocks):
-        part = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hits = hits.unionByName(docs.join(F.broadcast(part), F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
-    return hits
+    return hits.unionByName(terms_in(split.where(F.size("ws") < 5), docs))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, width: float, id_col: str) -> DataFrame:
@@ -163,7 +229,16 @@ def unchanged(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataF
 
 
 def titles_in_names(titles: DataFrame, files: DataFrame, norm) -> DataFrame:
-    """title, name: files of whose name a segment (between ' - ') begins with the title, both normalised; met by the first word."""
+    """title, name: files whose name has the title, both normalised, from the start of a segment (between ' - ').
+
+    A title of one word must be a whole segment; a longer one may go on inside its segment
+    and past its end, as long as it ends with a whole word. They meet by the segment's first word.
+    """
     t = titles.select("title", norm(F.col("title")).alias("k")).where("k <> ''").withColumn("first", F.split("k", " ")[0])
-    f = files.select("name", F.explode(F.split("name", " - ")).alias("segment")).select("name", norm(F.col("segment")).alias("s")).withColumn("first", F.split("s", " ")[0])
-    return t.join(f, "first").where((F.col("s") == F.col("k")) | F.col("s").startswith(F.concat("k", F.lit(" ")))).select("title", "name").distinct()
+    parts = F.transform(F.split("name", " - "), lambda p: norm(p))
+    f = files.select("name", F.posexplode(parts).alias("at", "segment"), parts.alias("parts")).where("segment <> ''")
+    rest = F.array_join(F.filter(F.slice("parts", F.col("at") + 1, F.size("parts")), lambda p: p != ""), " ")
+    f = f.select("name", "segment", rest.alias("rest")).withColumn("first", F.split("segment", " ")[0])
+    whole = F.col("segment") == F.col("k")
+    begun = F.col("k").contains(" ") & ((F.col("rest") == F.col("k")) | F.col("rest").startswith(F.concat("k", F.lit(" "))))
+    return t.join(f, "first").where(whole | begun).select("title", "name").distinct()

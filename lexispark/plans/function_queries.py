@@ -154,10 +154,10 @@ def fn_semitic_marks(spark, sf):
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, '== ' || lang || ' ==' || chr(10) || '[[' || source || '|S]] {{x|{{y}}}} ''''''b'''''' <ref>r</ref>' || left(regexp_replace(text, '[^\p{L} ]', '', 'g'), 100) AS t FROM documents)
-SELECT doc_id, trim(regexp_replace(coalesce(regexp_extract(t, '^== (.*?) ==', 1), '') || chr(10) || 'S b ' || ' ' || left(regexp_replace(text, '[^\p{L} ]', '', 'g'), 100), '[ \t]+', ' ', 'g')) AS plain FROM w JOIN documents USING (doc_id)""")
+WITH w AS (SELECT doc_id, '== ' || lang || ' ==' || chr(10) || '[[' || source || '|S]] {{x|{{y}}}} ''''''b'''''' <ref>r</ref>' || regexp_replace(text, '[^\p{L} ]', '', 'g') AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(coalesce(regexp_extract(t, '^== (.*?) ==', 1), '') || chr(10) || 'S b ' || ' ' || regexp_replace(text, '[^\p{L} ]', '', 'g'), '[ \t]+', ' ', 'g')) AS plain FROM w JOIN documents USING (doc_id)""")
 def fn_wikitext(spark, sf):
-    letters = F.substring(F.regexp_replace("text", r"[^\p{L} ]", ""), 1, 100)
+    letters = F.regexp_replace("text", r"[^\p{L} ]", "")
     page = F.concat(F.lit("== "), "lang", F.lit(" ==\n[["), "source", F.lit("|S]] {{x|{{y}}}} '''b''' <ref>r</ref>"), letters)
     return _docs(spark, sf).select("doc_id", tx.wikitext(page).alias("plain"))
 
@@ -232,11 +232,10 @@ def fn_strip_html_variants(spark, sf):
 
 @query("""
 SELECT doc_id, list_distinct_in_order AS firsts FROM (
-  SELECT doc_id, list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_position(ws, ws[i]) = i), lambda i: ws[i])[1:20] AS list_distinct_in_order
-  FROM (SELECT doc_id, string_split(left(text, 400), ' ') AS ws FROM documents))""")
+  SELECT doc_id, list_transform(list_filter(range(1, len(ws) + 1), lambda i: list_position(ws, ws[i]) = i), lambda i: ws[i]) AS list_distinct_in_order
+  FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))""")
 def fn_ordered_distinct(spark, sf):
-    ws = F.split(F.substring("text", 1, 400), " ")
-    return _docs(spark, sf).select("doc_id", F.slice(F.array_distinct(ws), 1, 20).alias("firsts"))
+    return _docs(spark, sf).select("doc_id", F.array_distinct(F.split("text", " ")).alias("firsts"))
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 25")

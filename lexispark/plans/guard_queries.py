@@ -95,9 +95,8 @@ def ocr_ledger_append(spark, sf):
 SELECT p_partkey, CASE WHEN p_size * 60 >= 2048 THEN 400 WHEN p_size * 60 >= 512 THEN floor(p_size * 60 / 1.45)::INTEGER ELSE 200 END AS words,
   CASE WHEN p_size * 60 >= 2048 THEN 80 WHEN p_size * 60 >= 512 THEN floor(floor(p_size * 60 / 1.45) * 0.2)::INTEGER ELSE 40 END AS overlap FROM part""")
 def chunk_sizing_by_limit(spark, sf):
-    sizes = [(n, *tx.chunk_sizing(n * 60)) for n in range(0, 101)]  # sizes of parts are 1 to 50
-    known = spark.createDataFrame(sizes, "p_size int, words int, overlap int")
-    return table(spark, sf, "part").join(F.broadcast(known), "p_size").select("p_partkey", "words", "overlap")
+    words, overlap = tx.chunk_sizing(F.col("p_size") * 60)
+    return table(spark, sf, "part").select("p_partkey", words.alias("words"), overlap.alias("overlap"))
 
 
 @query(r"""
@@ -126,15 +125,16 @@ def directives_open(spark, sf):
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey * 7 + 3) % 400 END AS next FROM part WHERE p_partkey < 400),
+WITH RECURSIVE l AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey * 7 + 3) % (SELECT count(*) FROM part) END AS next FROM part),
 w AS (SELECT node AS start, node AS last, [node] AS path, 0 AS hops FROM l UNION ALL SELECT w.start, l.next, list_append(path, l.next), hops + 1 FROM w JOIN l ON w.last = l.node WHERE l.next IS NOT NULL AND NOT list_contains(path, l.next) AND hops < 30),
 m AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS r FROM w)
 SELECT start, hops::INTEGER AS hops, last, hops < 30 AND l.next IS NOT NULL AND list_contains(path, l.next) AS cyclic FROM m LEFT JOIN l ON m.last = l.node WHERE r = 1""")
 def queue_chain_walk(spark, sf):
     from lexispark.operators import relational as rel
 
-    p = table(spark, sf, "part").where("p_partkey < 400")
-    links = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 11 != 0, (F.col("p_partkey") * 7 + 3) % 400).alias("next"))
+    p = table(spark, sf, "part")
+    p = p.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    links = p.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 11 != 0, (F.col("p_partkey") * 7 + 3) % F.col("n")).alias("next"))
     return rel.chain_walk(links.where("next is not null"), links.select("node"))
 
 
@@ -149,11 +149,11 @@ def manifest_unchanged(spark, sf):
 
 
 @query(r"""
-WITH t AS (SELECT DISTINCT p_name AS title FROM part WHERE p_size < 10), f AS (SELECT DISTINCT p_brand || ' - ' || p_name || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE 's' END AS name, p_name, p_size % 2 = 0 AS ok FROM part)
+WITH t AS (SELECT DISTINCT p_name AS title FROM part), f AS (SELECT DISTINCT p_brand || ' - ' || p_name || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE 's' END AS name, p_name, p_size % 2 = 0 AS ok FROM part)
 SELECT DISTINCT title, name FROM t JOIN f ON p_name = title WHERE ok""")
 def titles_in_file_names(spark, sf):
     from lexispark.operators import relational as rel
 
     p = table(spark, sf, "part")
     name = F.concat("p_brand", F.lit(" - "), "p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(", "), "p_type")).otherwise("s"))
-    return rel.titles_in_names(p.where("p_size < 10").select(F.col("p_name").alias("title")).distinct(), p.select(name.alias("name")).distinct(), tx.title_norm)
+    return rel.titles_in_names(p.select(F.col("p_name").alias("title")).distinct(), p.select(name.alias("name")).distinct(), tx.title_norm)

@@ -76,10 +76,10 @@ def lexicon_variant_entries(spark, sf):
 
 
 @query(r"""
-WITH p AS (SELECT doc_id, string_split(replace(left(text, 600), ', ', '[^n] '), '[^n]') AS ps FROM documents)
+WITH p AS (SELECT doc_id, string_split(replace(text, ', ', '[^n] '), '[^n]') AS ps FROM documents)
 SELECT doc_id, i::INTEGER AS anchor_no, trim(ps[i], ' ') AS span FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM p)""")
 def footnote_anchor_spans(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.replace(F.substring("text", 1, 600), F.lit(", "), F.lit("[^n] ")).alias("text"))
+    rows = _docs(spark, sf).select("doc_id", F.replace("text", F.lit(", "), F.lit("[^n] ")).alias("text"))
     return passages.anchor_spans(rows, findings.ANCHOR).select("doc_id", "anchor_no", "span")
 
 
@@ -237,9 +237,9 @@ def language_hint(spark, sf):
     return shelf.language_hint(_parts(spark, sf).select(F.col("p_name").alias("word"), F.col("p_type").alias("lang")), "small ring", "NONE")
 
 
-@query("SELECT doc_id, array_to_string(string_split(left(text, 300), ' ')[1:5], '|') AS words FROM documents")
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], '|') AS words FROM documents")
 def pruned_lists(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.split(F.substring("text", 1, 300), " ").alias("words"), "lang")
+    rows = _docs(spark, sf).select("doc_id", F.split("text", " ").alias("words"), "lang")
     return shelf.pruned(rows, {"words": 5}, ["lang"]).select("doc_id", F.array_join("words", "|").alias("words"))
 
 
@@ -439,14 +439,14 @@ def reviewer_quorum(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT l_suppkey AS path, l_orderkey * 10000 + l_partkey AS ts, CASE l_returnflag WHEN 'A' THEN 'fail' WHEN 'R' THEN 'ok' ELSE 'start' END AS status FROM lineitem WHERE l_linenumber = 3 AND l_orderkey % 400 < 12),
+WITH l AS (SELECT l_suppkey AS path, l_orderkey * 10000 + l_partkey AS ts, CASE l_returnflag WHEN 'A' THEN 'fail' WHEN 'R' THEN 'ok' ELSE 'start' END AS status FROM lineitem WHERE l_linenumber = 3),
 o AS (SELECT path, max_by(status, ts) AS last, count(*) FILTER (status = 'fail') AS failures FROM l GROUP BY path)
 SELECT s_suppkey AS path FROM supplier WHERE s_suppkey NOT IN (SELECT path FROM o WHERE last IN ('ok', 'skip', 'reject') OR failures >= 2)""")
 def ocr_queue(spark, sf):
     status = F.when(F.col("l_returnflag") == "A", "fail").when(F.col("l_returnflag") == "R", "ok").otherwise("start")
     i = _items(spark, sf)
     row = lambda d, mode: d.select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") * 10000 + F.col("l_partkey")).alias("ts"), status.alias("status"), F.lit(mode).alias("mode"))
-    ledger = row(i.where("l_linenumber = 3 and l_orderkey % 400 < 12"), "ocr").unionByName(row(i.where("l_linenumber = 4"), "shrink"))
+    ledger = row(i.where("l_linenumber = 3"), "ocr").unionByName(row(i.where("l_linenumber = 4"), "shrink"))
     return workflow.ocr_queue(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path")), ledger, "ocr")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark import store
 from lexispark.functions import text as tx
-from lexispark.operators import chunks, fulltext
+from lexispark.operators import chunks, fulltext, impacts, segments, stems, trigrams
 from lexispark.plans.registry import query, table
 
 TOKENS = r"list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
@@ -102,11 +102,10 @@ def fts_terms_df(spark, sf):
 
 @query(f"""
 WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), e AS (SELECT doc_id, ts[i] AS term, i - 1 AS p FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM t))
-SELECT term, doc_id, count(*)::INTEGER AS tf, min(p)::INTEGER AS first_position FROM e WHERE length(term) >= 9 GROUP BY term, doc_id""")
+SELECT term, doc_id, count(*)::INTEGER AS tf, min(p)::INTEGER AS first_position FROM e GROUP BY term, doc_id""")
 def fts_postings_long_terms(spark, sf):
-    at = F.posexplode_outer(tx.tokens(F.col("text"))).alias("p", "term")
-    rows = table(spark, sf, "documents").select("doc_id", at).where(F.length("term") >= 9)
-    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("p").alias("first_position"))
+    """The first place of every term: terms of all lengths, from the positions of the postings."""
+    return fulltext.postings(table(spark, sf, "documents")).select("term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first_position"))
 
 
 @query(f"""
@@ -119,7 +118,7 @@ def fts_postings(spark, sf):
 
 def _index(spark, sf) -> fulltext.Index:
     """The index of the documents, built by the first search."""
-    return store.once(spark, "documents", sf, lambda path: fulltext.build_index(table(spark, sf, "documents"), path, keep=("lang", "source")))
+    return store.once(spark, "documents", f"{sf}/documents.parquet", lambda path: fulltext.build_index(table(spark, sf, "documents"), path, keep=("lang", "source")))
 
 
 def _equals(word: str):
@@ -188,6 +187,89 @@ def fts_topk(spark, sf):
     return hits.orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(_bm25([_TERM.format("and"), _TERM.format("that")]))
+def fts_segmented_updates(spark, sf):
+    """The ranking of `fts_bm25_and` from an index that has seen every kind of update: an old state, a sync, batches of a stream, removals, a merge."""
+    return _updated(spark, sf).search(fulltext.parse("and that")).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _updated(spark, sf) -> segments.SegmentedIndex:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kind = F.pmod("doc_id", F.lit(4))
+    old = docs.where(kind != 0).select("doc_id", F.when(kind == 1, F.concat("text", F.lit(" and that"))).otherwise(F.col("text")).alias("text"))
+    gone = docs.where(kind == 2).select((F.col("doc_id") + 10**9).alias("doc_id"), "text")
+
+    def make(path):
+        index = segments.SegmentedIndex(spark, path)
+        index.update(old)
+        index.update(gone)
+        index.sync(docs)
+        index.remove(docs.where(kind == 3).select("doc_id"))
+        index.update(docs.where(kind == 3))
+        index.merge(index.head()[1][:2])
+        return index
+
+    return store.once(spark, "segmented", f"{sf}/documents.parquet", make)
+
+
+@query("""
+SELECT CASE WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'same' END AS status, count(*) AS n FROM documents GROUP BY 1
+UNION ALL SELECT 'removed', n FROM (SELECT count(*) AS n FROM documents WHERE doc_id % 4 = 2) WHERE n > 0""")
+def fts_sync_report(spark, sf):
+    """A dry run: what bringing an old index up to date would do. Nothing is written to the index."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kind = F.pmod("doc_id", F.lit(4))
+
+    def make(path):
+        index = segments.SegmentedIndex(spark, path)
+        index.update(docs.where(kind != 0).select("doc_id", F.when(kind == 1, F.concat("text", F.lit(" and that"))).otherwise(F.col("text")).alias("text")))
+        index.update(docs.where(kind == 2).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
+        return index
+
+    old = store.once(spark, "outdated", f"{sf}/documents.parquet", make)
+    return old.diff(docs).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trigrams(spark, sf) -> trigrams.TrigramIndex:
+    return store.once(spark, "trigrams", f"{sf}/documents.parquet", lambda path: trigrams.build(table(spark, sf, "documents"), path))
+
+
+@query("""
+WITH f AS (SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents)
+SELECT doc_id, (strpos(folded, 'api_key') > 0) AS found FROM f WHERE contains(folded, 'api_key')""")
+def fts_trigram_substring(spark, sf):
+    hits = _trigrams(spark, sf).containing(table(spark, sf, "documents"), "API_Key")
+    return hits.select("doc_id", F.lit(True).alias("found"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?:https?://|www\.)[a-z]+\.(?:com|org|net|example)|[0-9]+ [A-Z][a-z]+ Street'))::INTEGER AS n FROM documents
+WHERE regexp_matches(text, '(?:https?://|www\.)[a-z]+\.(?:com|org|net|example)|[0-9]+ [A-Z][a-z]+ Street')""")
+def fts_trigram_regex(spark, sf):
+    pattern = r"(?:https?://|www\.)[a-z]+\.(?:com|org|net|example)|[0-9]+ [A-Z][a-z]+ Street"
+    hits = _trigrams(spark, sf).matching(table(spark, sf, "documents"), pattern)
+    return hits.select("doc_id", F.regexp_count("text", F.lit(pattern)).alias("n"))
+
+
+def _impacts(spark, sf) -> impacts.ImpactIndex:
+    return store.once(spark, "impacts", f"{sf}/documents.parquet", lambda path: impacts.build(_index(spark, sf), path))
+
+
+@query(_bm25([_TERM.format("der"), _TERM.format("und")]) + " ORDER BY 2 DESC, 1 LIMIT 10")
+def fts_topk_bounded(spark, sf):
+    """The first ten of a ranking, from the ranges of documents that can hold them."""
+    return _impacts(spark, sf).top(["der", "und"], 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _stems(spark, sf) -> fulltext.Index:
+    return store.once(spark, "stems", f"{sf}/documents.parquet", lambda path: stems.build_stemmed(_index(spark, sf), path))
+
+
+@query(_bm25(["len(list_filter(ts, lambda t: regexp_full_match(t, 'thing(e|s|es|ed|ing|ings)?')))", "len(list_filter(ts, lambda t: t IN ('the', 'thes')))"]))
+def fts_stemmed_and(spark, sf):
+    """A search by stems; the words of the test tables with these stems are those that the SQL names."""
+    return _stems(spark, sf).search(stems.stemmed(fulltext.parse("things the"))).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH f AS (SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents)
 SELECT doc_id, strpos(folded, 'token')::INTEGER AS at, substr(folded, greatest(1, strpos(folded, 'token') - 80), strpos(folded, 'token') - greatest(1, strpos(folded, 'token') - 80) + 85) AS snippet

@@ -57,6 +57,38 @@ def vec_earlier_duplicate(spark, sf):
     return v.earlier_duplicate(table(spark, sf, "embeddings"), 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
+_PLANTED = """
+WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+a AS (SELECT vec_id, v FROM e UNION ALL SELECT vec_id + 1000000, [CASE WHEN i = 1 + vec_id % 64 THEN v[i] * 1.01 ELSE v[i] END FOR i IN range(1, 65)] FROM e UNION ALL SELECT vec_id + 2000000, v FROM e WHERE vec_id % 3 = 0)"""
+
+
+@query(_PLANTED + """
+, p AS (SELECT b.vec_id, a.vec_id AS other, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM a JOIN a AS b ON a.vec_id < b.vec_id)
+SELECT vec_id, min(other) AS duplicate_of, round(min_by(s, other), 5) AS similarity FROM p WHERE s >= 0.95 GROUP BY vec_id""")
+def vec_near_duplicates(spark, sf):
+    """Near and exact copies of every vector, made from the table, found by pivots and rings."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    bent = F.transform("embedding", lambda x, i: F.when(i == F.col("vec_id") % 64, (x * 1.01).cast("float")).otherwise(x))
+    planted = e.unionByName(e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), bent.alias("embedding"))).unionByName(e.where("vec_id % 3 = 0").select((F.col("vec_id") + 2_000_000).alias("vec_id"), "embedding"))
+    return v.earlier_duplicate(planted, 0.95, pivots=16).withColumn("similarity", F.round("similarity", 5))
+
+
+@query()
+def vec_ivfpq(spark, sf):
+    """Residual codes in lists; as random vectors have few neighbours, a good recall probes most lists here. Tests have clustered ones."""
+    e, q = table(spark, sf, "embeddings"), _queries(spark, sf)
+    index = store.once(spark, "ivfpq", f"{sf}/embeddings.parquet", lambda _: v.ResidualIndex.build(e, 16, m=16))
+    return index.search(e, q, KMEANS_PROBES, 10, CANDIDATES)
+
+
+@query()
+def vec_graph(spark, sf):
+    """Best-first search of a graph of nearest neighbours."""
+    e, q = table(spark, sf, "embeddings"), _queries(spark, sf)
+    graph = store.once(spark, "graph", f"{sf}/embeddings.parquet", lambda _: v.neighbour_graph(e, 16))
+    return v.search_graph(graph, e, q, 10, GRAPH_EF)
+
+
 def _fixed_centroids(spark, sf):
     rows = table(spark, sf, "embeddings").where("vec_id < 16").select("vec_id", "embedding").orderBy("vec_id").collect()  # the index's parameter: 16 lists
     return pd.DataFrame({"list_id": [int(r.vec_id) for r in rows], "centroid": [np.array(r.embedding, np.float64) for r in rows]})
@@ -96,6 +128,8 @@ def vec_ivf_topk_nprobe4(spark, sf):
 KMEANS_PROBES = 14
 #: Vectors per query that the product codes choose and exact similarities rank.
 CANDIDATES = 100
+#: Vectors that a search of the graph keeps.
+GRAPH_EF = 128
 
 
 @query(_BASE + _LISTS + _PROBE_MORE + " SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 6) AS similarity FROM k WHERE rank <= 10")

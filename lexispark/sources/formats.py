@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexispark import store
 from lexispark.functions import text as tx
 
 
@@ -135,7 +136,7 @@ def edition_order(words: DataFrame, edition: str) -> DataFrame:
 
 
 def _parsed(docs: DataFrame, schema: str, parse: Callable[[str, bytes], list[tuple]]) -> DataFrame:
-    """Rows that parse(path, content) makes of every file; a file that cannot be parsed makes none."""
+    """Rows that parse(path, content) makes of every file; a file that cannot be parsed makes none here, and one in `unparsed`."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,6 +151,22 @@ def _parsed(docs: DataFrame, schema: str, parse: Callable[[str, bytes], list[tup
     return docs.select("path", "content").mapInPandas(run, schema)
 
 
+def unparsed(docs: DataFrame) -> DataFrame:
+    """path, error of the XML files (path, content) that cannot be parsed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    ET.fromstring(bytes(content))
+                except ET.ParseError as e:
+                    bad.append((path, str(e)))
+            yield pd.DataFrame(bad, columns=["path", "error"])
+
+    return docs.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
@@ -329,8 +346,9 @@ def verse_languages(df: DataFrame, fields: dict[str, str], fallbacks: dict[str,
 
 def card_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a card store: one file, or files by day, never both; a broken line anywhere is refused."""
-    names = [r.name for r in spark.read.text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).distinct().limit(10_000).collect()]
-    if any(n.startswith("cards.") for n in names) and len(names) > 1:
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    held = spark.read.format("binaryFile").load(path).select(name.alias("name")).agg(F.max(F.col("name").startswith("cards.")).alias("single"), F.min(F.col("name").startswith("cards.")).alias("all"), F.count(F.lit(1)).alias("n")).first()
+    if held["single"] and held["n"] > 1:
         raise ValueError("a single card file and day files")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -342,11 +360,20 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def titled_paths(df: DataFrame, column: str = "json") -> DataFrame:
-    """title, path pairs of JSON of any shape: objects that have both, at any depth."""
-    value = r'"((?:[^"\\]|\\.)*)"'
-    both = rf'"title"\s*:\s*{value}[^{{}}]*?"path"\s*:\s*{value}'
-    titles, paths = (F.regexp_extract_all(column, F.lit(both), F.lit(i)) for i in (1, 2))
-    return df.select(F.explode_outer(F.arrays_zip(titles.alias("title"), paths.alias("path"))).alias("p")).where("p is not null").select("p.title", "p.path")
+    """title, path pairs of JSON of any shape: objects that have both as strings, in any order, at any depth. Broken JSON has none.
+
+    Objects and lists are opened level by level, as variants, until none holds another.
+    """
+    level = store.written(df.select(F.try_parse_json(column).alias("v")).where("v IS NOT NULL"))
+    pairs = None
+    while pairs is None or not level.isEmpty():
+        own = level.select(F.try_variant_get("v", "$.title", "string").alias("title"), F.try_variant_get("v", "$.path", "string").alias("path"), *[F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")).alias(f"{k}_is") for k in ("title", "path")])
+        own = own.where("title_is = 'STRING' AND path_is = 'STRING'").select("title", "path")
+        pairs = own if pairs is None else pairs.unionByName(own)
+        level.createOrReplaceTempView("opened_level")
+        below = df.sparkSession.sql("SELECT e.value AS v FROM opened_level, LATERAL variant_explode(v) AS e")
+        level = store.written(below.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+    return pairs
 
 
 def text_cache(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _MADE: dict[tuple, object] = {}
@@ -23,9 +24,24 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
 
 
+def written(df):
+    """df as a table under `folder`, read back: it cuts lineage, and is computed once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state(spark: SparkSession, path: str) -> str:
+    """What changes when a file under path does: a hash over names, sizes and times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x")).first()
+    return f"{row['n']}:{row['x']}"
+
+
 def once(spark: SparkSession, name: str, source: str, make):
-    """What make(folder) wrote for this application, name and source; made once."""
-    key = (spark.sparkContext.applicationId, name, source)
+    """What make(folder) wrote for this application, name and source in its present state; made once."""
+    key = (spark.sparkContext.applicationId, name, source, state(spark, source))
     if key not in _MADE:
         _MADE[key] = make(folder(spark))
     return _MADE[key]

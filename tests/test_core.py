@@ -22,7 +22,8 @@ def test_text_functions(spark):
     assert tuple(r.v) == ("1 John", 3, 16, 18) and r.d == "2b" and r.c == "P000123"
     assert [x.r for x in spark.createDataFrame([("Genesis 1:1",), ("Genesis 11:1",), ("Genesis 1",)], "r string").where(tx.reference_in(F.col("r"), "Genesis 1")).collect()] == ["Genesis 1:1", "Genesis 1"]
     assert one.select(tx.wikitext(F.lit("'''A''' {{x|{{y}}}} [[b|c]] [[d]] <ref>z</ref>\n== H =="))).first()[0].split() == ["A", "c", "d", "H"]
-    assert [tx.chunk_sizing(n) for n in (2048, 512, 100)] == [(400, 80), (353, 70), (200, 40)]
+    sizes = spark.createDataFrame([(2048,), (512,), (100,), (None,)], "n int").select(*tx.chunk_sizing(F.col("n"))).collect()
+    assert [tuple(r) for r in sizes] == [(400, 80), (353, 70), (200, 40), (200, 40)]
 
 
 def test_search_styles(spark):
