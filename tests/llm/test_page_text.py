@@ -1,6 +1,8 @@
 import re
 from html import unescape
 
+import pytest
+
 from lexispark.llm import page_text as p
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +66,38 @@ def test_wrappers_with_boilerplate_names_keep_the_article():
         assert p.main_text(page)[0] == want
 
 
-def test_ratios_decide_inside_a_named_part():
-    page = "<body><main>" + f"<p>{BODY}</p>" * 4 + "<ul>" + "<li>x</li>" * 9 + "</ul></main></body>"
-    assert p.main_text(page)[0] == " ".join([BODY.strip()] * 4)
+def test_lists_and_headings_of_the_article_stay():
+    parts = f"<h1>Title</h1><p>{BODY}</p><h2>Part</h2>" + f"<p>{BODY}</p>" * 4 + "<ul><li>x</li><li>y</li></ul><h3>End</h3><ol><li>z</li></ol>"
+    want = " ".join(["Title", BODY.strip(), "Part", *[BODY.strip()] * 4, "x y End z"])
+    foot = "<div class='comments'>" + f"<p>{BODY}</p>" * 9 + "</div><div><ul>" + "<li><a href=x>More</a></li>" * 5 + "</ul></div><footer>Terms</footer></body>"
+    for tag in ("main", "div", "article", "section"):
+        assert p.main_text(f"<body>{MENU}<{tag}>{parts}</{tag}>{foot}")[0] == want
+    links = "<div><h4>Related</h4><ul>" + "<li><a href=x>A page of ours</a></li>" * 5 + "</ul></div>"
+    assert p.main_text(f"<body>{MENU}<div>{parts}{links}</div>{foot}")[0] == want
+    open_body = f"<body>{MENU}<h1>Title</h1><p>{BODY}</p><h2>Part</h2><ul><li>x</li></ul><p>{BODY}</p><div><span>Terms</span></div></body>"
+    assert p.main_text(open_body)[0] == f"Title {BODY.strip()} Part x {BODY.strip()}"
+
+
+@pytest.mark.parametrize("thread", ["<p>{0}</p>", "<article><p>{0}</p></article>", "<div class='comment-body'>{0}</div>", "<li>{0}</li>"])
+def test_comments_longer_than_the_article_go(thread):
+    said = "<div class='comments'>" + thread.format(BODY) * 8 + "</div>"
+    short = "A short piece of news, as they come. It has two sentences."
+    for page in (f"<body>{MENU}<article><h1>News</h1><p>{short}</p></article>{said}</body>", f"<body>{MENU}<article><h1>News</h1><p>{short}</p>{said}</article></body>", f"<body>{MENU}<div><h1>News</h1><p>{short}</p></div>{said}</body>"):
+        assert p.main_text(page)[0] == f"News {short}"
+
+
+def test_pages_of_boilerplate_alone_are_empty():
+    assert p.main_text(f"<body>{MENU}<footer>{BODY}</footer><div class=comments><p>{BODY}</p></div></body>") == ("", [])
+
+
+def test_deep_and_long_pages_are_read_in_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.time()
+        text, paths = p.main_text("<div>text, more. " * n)
+        took.append(time.time() - began)
+        assert text == " ".join(["text, more."] * n) and max(map(len, paths)) < 100
+    assert took[1] < 24 * took[0] + 0.5
+    assert len(p.main_text("<p>" + "word, " * 300_000)[0]) > 1_700_000
