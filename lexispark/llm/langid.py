@@ -7,8 +7,10 @@ gives every word of a text its language probabilities; a text's are their mean o
 words with letters. Training sequences join stretches of documents of different
 languages, so that switches inside a text occur in them.
 
-Only a bounded sample is fitted: about SAMPLE_DOCS documents of each language, a stretch
-of STRETCH words of each, drawn by hashes of the id. Every word of every text is labelled.
+All languages are learned. Only a bounded sample is fitted: about SAMPLE_DOCS documents of
+each language and SAMPLE_ALL of all, a stretch of STRETCH words of each, drawn by hashes of
+the id, one row of each id. Fitting takes the chains in batches of bounded size; with many
+languages features share weights. Every word of every text is labelled.
 
 Defined results: null texts and texts without a letter are `und` with score 0; repeated
 rows are labelled alike; null labels are not learned; with nothing to learn every text
@@ -26,10 +28,12 @@ from lexispark.llm import textvec as tv
 from lexispark.llm.arrowmap import annotate, over_texts
 
 HELD_OUT_OF, HELD_OUT_IS = 4, 2
-SAMPLE_DOCS, STRETCH = 300, 120
-#: Languages learned, the most frequent ones; the labels' table sent to tasks has no more rows.
-MOST_LANGS = 500
-BITS = 16
+#: Documents of a language that are fitted, and of all languages together (but one of each at least); words of each.
+SAMPLE_DOCS, SAMPLE_ALL, STRETCH = 300, 12_000, 120
+#: Features are told apart by so many bits, or by fewer where the weights of all languages would pass WEIGHT_CELLS numbers.
+BITS, WEIGHT_CELLS = 16, 1 << 23
+#: Numbers (chains x words x languages) that a step of fitting holds at once; it sums over all chains, so the result is the same.
+FIT_CELLS = 1 << 22
 STEPS, RATE, RIDGE = 40, 0.15, 1e-4
 CHAIN = 36
 SEGMENT = 32
@@ -41,7 +45,11 @@ _LETTERS = tv.byte_table([*range(0x61, 0x7B), *range(0x80, 0x100)])
 _NGRAM, _AFFIX, _WORD = 2.0, 0.7, 1.0
 
 
-def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def feature_bits(langs: int) -> int:
+    return min(BITS, max(1, (WEIGHT_CELLS // max(1, langs)).bit_length() - 1))
+
+
+def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers, their weights, and the first feature of each word and the end (buf is lower case)."""
     n = len(starts)
     size = ends - starts
@@ -53,7 +61,7 @@ def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     inner = (place > 0) & (place <= size[who])
     b[inner] = buf[starts[who[inner]] + place[inner] - 1]
     b[head[1:] - 1] = 3
-    shift = np.uint64(64 - BITS)
+    shift = np.uint64(64 - bits)
 
     def numbered(x: np.ndarray, salt: int) -> np.ndarray:
         return (tv.mix(x + np.uint64(salt << 40)) >> shift).astype(np.int64)
@@ -97,7 +105,8 @@ class Crf:
     def __init__(self, langs: list[str]) -> None:
         n = max(1, len(langs))
         self.langs = langs
-        self.weights = np.zeros((1 << BITS, n))
+        self.bits = feature_bits(n)
+        self.weights = np.zeros((1 << self.bits, n))
         self.moves = np.zeros((n, n))
         self.start = np.zeros(n)
 
@@ -128,36 +137,47 @@ class Crf:
         if not chains:
             return self
         n, t = len(chains), CHAIN
-        x, y = np.zeros((n, t), np.int64), np.zeros((n, t), np.int64)
+        x, y = np.zeros((n, t), np.int32), np.zeros((n, t), np.int32)
         live = np.zeros((n, t), bool)
         for i, (c, m) in enumerate(zip(chains, marks, strict=True)):
             x[i, : len(c)], y[i, : len(m)], live[i, : len(c)] = c, m, True
         ws = list(vocabulary)
         ends = np.cumsum([len(w) for w in ws])
-        ids, share, first = word_features(np.frombuffer(b"".join(ws), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64))
+        text, starts, ends = np.frombuffer(b"".join(ws), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64)
         width = len(self.langs)
-        who = np.repeat(np.arange(len(ws)), np.diff(first))
+        size = max(1, FIT_CELLS // (t * width))
+        batches = [slice(lo, lo + size) for lo in range(0, n, size)]
+
+        def prepared(part: slice):
+            """A batch's words, their features, and its chains in terms of them."""
+            own, back = np.unique(x[part][live[part]], return_inverse=True)
+            at = np.zeros((len(x[part]), t), np.int64)
+            at[live[part]] = back
+            return (*word_features(text, starts[own], ends[own], self.bits), at, y[part], live[part])
+
+        kept = [prepared(batches[0])] if len(batches) == 1 else None  # one batch: its features are made once
         params = {"weights": self.weights, "moves": self.moves, "start": self.start}
         m1 = {k: np.zeros_like(v) for k, v in params.items()}
         m2 = {k: np.zeros_like(v) for k, v in params.items()}
         total = live.sum()
-        gold = np.zeros((len(ws), width))
-        np.add.at(gold, (x[live], y[live]), 1)
         for step in range(1, STEPS + 1):
-            e = emissions(self.weights, ids, share, first)
-            marginal, pairs, heads = self._expect(e[x], live)
-            ge = gold.copy()
-            flat = x[live]
-            for k in range(width):
-                ge[:, k] -= np.bincount(flat, marginal[live][:, k], len(ws))
-            g = {
-                "weights": np.stack([np.bincount(ids, ge[who, k] * share, 1 << BITS) for k in range(width)], 1) / total - RIDGE * self.weights,
-                "moves": (self._gold_pairs(y, live, width) - pairs) / total - RIDGE * self.moves,
-                "start": (np.bincount(y[:, 0], minlength=width) - heads) / total - RIDGE * self.start,
-            }
+            g = {k: -RIDGE * total * v for k, v in params.items()}
+            for ids, share, first, at, mark, ok in kept or map(prepared, batches):
+                e = emissions(self.weights, ids, share, first)
+                marginal, pairs, heads = self._expect(e[at], ok)
+                ge = np.zeros_like(e)
+                np.add.at(ge, (at[ok], mark[ok]), 1)
+                for k in range(width):
+                    ge[:, k] -= np.bincount(at[ok], marginal[:, :, k][ok], len(e))
+                who = np.repeat(np.arange(len(e)), np.diff(first))
+                for k in range(width):
+                    g["weights"][:, k] += np.bincount(ids, ge[who, k] * share, 1 << self.bits)
+                g["moves"] += self._gold_pairs(mark, ok, width) - pairs
+                g["start"] += np.bincount(mark[:, 0], minlength=width) - heads
             for k, p in params.items():
-                m1[k] = 0.9 * m1[k] + 0.1 * g[k]
-                m2[k] = 0.99 * m2[k] + 0.01 * g[k] ** 2
+                d = g[k] / total
+                m1[k] = 0.9 * m1[k] + 0.1 * d
+                m2[k] = 0.99 * m2[k] + 0.01 * d**2
                 p += RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
@@ -256,7 +276,7 @@ class Crf:
         ok = lettered(buf, starts, ends)
         starts, ends, row = starts[ok], ends[ok], row[ok]
         _, one, back = np.unique(tv.hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
-        e = emissions(self.weights, *word_features(buf, starts[one], ends[one]))
+        e = emissions(self.weights, *word_features(buf, starts[one], ends[one], self.bits))
         return row, starts, ends, self.marginals(e[back], row)
 
 
@@ -267,14 +287,15 @@ def held_out(doc_id):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # the labels of the model
     names = sorted(r.lang for r in langs)
     if not names:
         return Crf([])
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, SAMPLE_DOCS / r.n)) for r in langs], "lang string, share double")
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(langs)))
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in langs], "lang string, share double")
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    # MOST_LANGS rows at most
-    picked = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select(F.concat_ws("\t", "id", "lang").alias("tag"), "text")
+    picked = rows.join(share, "lang").where(u < F.col("share")).groupBy("id", "lang").agg(F.min("text").alias("text"))  # one row of each id
+    picked = picked.select(F.concat_ws("\t", "id", "lang").alias("tag"), "text")
 
     def emit(tags, texts):
         raw, off = tv.text_bytes(texts)

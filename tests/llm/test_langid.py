@@ -46,6 +46,40 @@ def test_many_languages_do_not_need_more_memory(monkeypatch):
     assert np.allclose(whole, m.marginals(e, row))
 
 
+def made_up(langs, docs, words):
+    rnd = np.random.default_rng(3)
+    return [(k, [f"{k:x}w{rnd.integers(30):x}".encode() for _ in range(words)]) for k in range(langs) for _ in range(docs)]
+
+
+def test_batches_do_not_change_the_model(monkeypatch):
+    data = made_up(3, 20, 50)
+    whole = g.Crf(list("abc")).fit(data)
+    monkeypatch.setattr(g, "FIT_CELLS", 3 * g.CHAIN * 7)
+    parts = g.Crf(list("abc")).fit(data)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.moves, parts.moves)
+
+
+def test_200_languages_are_all_learned_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(g, "STEPS", 6)
+    data = made_up(200, 4, 40)
+    tracemalloc.start()
+    m = g.Crf([f"l{k}" for k in range(200)]).fit(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 << 20
+    _, _, _, p = m.words(pa.array([b" ".join(ws).decode() for _, ws in data[::4]]))
+    assert (p.argmax(1).reshape(200, 40) == np.arange(200)[:, None]).mean() > 0.9
+
+
+def test_more_than_500_languages_and_repeated_ids(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}a {chr(0x4E00 + i)}b " * 5, f"lang{i:03d}") for i in range(520)] + [(1, "x y", "lang001")] * 300
+    d = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string, lang string")
+    g_langs = g.train(d.where("doc_id < 4000"), "doc_id").langs
+    assert len(g_langs) == sum(1 for i in range(520) if __import__("zlib").crc32(str(i).encode()) % 4 != 2)
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     m = g.train(docs)
