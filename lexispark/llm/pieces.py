@@ -1,6 +1,7 @@
 """Ids of whole texts by a byte-level BPE of the tokenizers library, each distinct piece encoded once.
 
-Texts are cut where no pre-token can span. A pre-token is a run of letters, of digits or of
+Strings of the vocabulary's added tokens in a text are those tokens, as the library has it:
+a text is cut around them first. The rest is cut where no pre-token can span. A pre-token is a run of letters, of digits or of
 other signs, with at most one space before it, an English contraction, or white space; so
 there is an edge before white space that follows a visible character, after single white
 space other than a space, and between characters of different classes, but for an
@@ -13,6 +14,7 @@ beyond it, the pieces met more often stay. Pieces are told apart by 128 bits.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -193,9 +195,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def fits(path: str) -> bool:
@@ -203,7 +203,9 @@ def fits(path: str) -> bool:
     with open(path, encoding="utf-8") as f:
         kind = json.load(f)
     before, model = kind.get("pre_tokenizer") or {}, kind["model"]
+    added = kind.get("added_tokens") or []
     return (
+        not any(t.get(x) for t in added for x in ("lstrip", "rstrip", "single_word")) and
         kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
     )
@@ -215,6 +217,9 @@ class PieceEncoder:
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         self.tokenizer = load_tokenizer(path)
         self.by_piece = fits(path)
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = re.compile(b"|".join(map(re.escape, longest_first))) if self.added else None
         self.kept_bytes = kept_bytes
         self._hold(*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int32, np.uint32, np.int32)))
 
@@ -231,8 +236,48 @@ class PieceEncoder:
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.array(x, np.int32) for x in [[], *made]]), np.array([len(x) for x in made], np.int64)
         buf, off = tv.text_bytes(texts)
+        found = self._added(buf, off)
+        if not found:
+            return self._encode(buf, off)
+        # the texts between added tokens, and the tokens, are encoded side by side; then the tokens' ids take the place of their letters'
+        start, stop, token = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        edges = np.sort(np.concatenate((off, start, stop)))
+        ids, sizes = self._encode(buf, edges)
+        own = np.searchsorted(edges, start, side="right") - 1
+        head = np.cumsum(sizes) - sizes
+        after = sizes.copy()
+        after[own] = 1
+        place = np.cumsum(after) - after
+        out = np.empty(int(after.sum()), np.int32)
+        rest = np.ones(len(sizes), bool)
+        rest[own] = False
+        keep = np.flatnonzero(rest & (sizes > 0))
+        at = np.repeat(place[keep] - (np.cumsum(sizes[keep]) - sizes[keep]), sizes[keep]) + np.arange(int(sizes[keep].sum()))
+        out[at] = _spans(ids, head[keep], sizes[keep])
+        out[place[own]] = token
+        total = np.concatenate(([0], np.cumsum(after)))
+        return out, np.diff(total[np.searchsorted(edges, off)])
+
+    def _added(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """Start, end and id of the added tokens in the texts, leftmost and longest first; none spans two texts."""
+        if self.added_pattern is None:
+            return []
+        data, at, out = buf.tobytes(), 0, []
+        while m := self.added_pattern.search(data, at):
+            at = m.end()
+            border = int(off[np.searchsorted(off, m.start(), side="right")])
+            if at > border:  # it would run into the next text: look again for a shorter one that ends before
+                m = self.added_pattern.search(data, m.start(), border)
+                at = m.end() if m else border
+                if not m:
+                    continue
+            out.append((m.start(), m.end(), self.added[m[0]]))
+        return out
+
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, of texts without added tokens."""
         if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
         begin, end, plain = cut(buf, off)
         key, check = identity(buf, begin, end)
         number = self.table.find(key, check)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from lexispark.llm import idcoder as c
 from lexispark.llm import pieces
 from lexispark.llm import token_output as to
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,7 +51,7 @@ def test_shorter_than_zlib_and_order_0(spark):
 
 
 def plain(rows, by_id=True):
-    t = pieces.load_tokenizer(to.vocabulary_path())
+    t = Tokenizer.from_file(to.vocabulary_path())  # as the library has it
     out, start = [], 0
     code = lambda text: 42 if text is None else (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], code(r[1]))) if by_id else rows:
@@ -120,3 +121,15 @@ def test_order_of_rows_can_be_kept(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = [tuple(r) for r in to.token_index(d, by_id=False).collect()]
     assert sorted(got, key=lambda r: r[1]) == plain(rows, by_id=False)
+
+
+def test_added_tokens_in_texts_are_tokens():
+    library, own = Tokenizer.from_file(to.vocabulary_path()), pieces.PieceEncoder(to.vocabulary_path())
+    marks = [t.decode() for t in own.added]
+    assert marks
+    m = marks[0]
+    texts = [f"x {m} y", m, "", m + m, f" {m} ", f"a{m}", m[:-1], m[-1] + "b", f"it's{m}'s  {m}\n\n", "é" * 50 + m, "plain text", m[1:], ""] + [f"{a}{m[:3]} {m}" for a in ("", "q ", "7")]
+    ids, sizes = own.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert [len(w) for w in want[1:4]] == [1, 0, 2]
