@@ -6,10 +6,11 @@ that rate: a uniform number from MD5(seed, id) is looked up in the distribution'
 cumulative table. Each copy is a row of its own, and rows leave in the order of a hash
 of (seed, id, copy), dealt over the partitions by that hash.
 
-Defined results: null sources form a source of their own, named ''; a source without a
-weight gets `default_weight`; repeated rows draw the same count; null ids draw as the id
+Defined results: null sources form a source of their own; a source without a
+weight (also the null one) gets `default_weight`; repeated rows draw the same count; null ids draw as the id
 '' does; null and empty texts are rows like any other; weights that are all 0 or an empty
-table give no rows. Extra columns travel along, and may have any name but those in `ADDED`.
+table give no rows. Extra columns of any name travel along in `mixed_rows`; `mix_sources`, which has the
+columns of docs side by side with those in `ADDED`, refuses docs that have one of these.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def poisson_table(rate: Column, least: Column) -> Column:
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, total_rate: float, source_col: str) -> DataFrame:
     """Per source: n_rows, rate, least, cdf; one row per source."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n_rows"))
     weight = F.lit(float(default_weight))
     if weights:
         given = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))])
@@ -88,23 +89,39 @@ def mix_sources(
 
     total_rate is the expected number of rows as a multiple of the input's.
     """
+    if clash := sorted({c.lower() for c in docs.columns} & set(ADDED)):
+        raise ValueError(f"docs has columns that mixing adds: {', '.join(clash)}; use mixed_rows or rename them")
+    return mixed_rows(docs, weights, default_weight, total_rate, seed, id_col, source_col).select("row.*", *ADDED)
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: dict[str, float],
+    default_weight: float = 1.0,
+    total_rate: float = 1.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+) -> DataFrame:
+    """As `mix_sources`, with the columns of docs in one column `row`."""
     rates = materialize(source_rates(docs, weights, default_weight, total_rate, source_col)).select("mix_source", F.col("least").alias("mix_least"), "cdf")
     # the row travels as one column, so that its names meet none of ours
-    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"))
-    size = rates.agg(F.sum(F.length("mix_source") + 8 * F.size("cdf") + 64)).first()[0] or 0
+    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("mix_source"))
+    size = rates.agg(F.sum(F.length(F.coalesce("mix_source", F.lit(""))) + 8 * F.size("cdf") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        joined = tagged.join(F.broadcast(rates), "mix_source")
+        joined = tagged.join(F.broadcast(rates.withColumnRenamed("mix_source", "of")), F.col("mix_source").eqNullSafe(F.col("of")))
     else:  # deal each source's documents over SALTS keys; the table of rates is repeated for each
         salted = tagged.withColumn("mix_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         copies = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, ["mix_source", "mix_salt"])
+        copies = copies.withColumnsRenamed({"mix_source": "of", "mix_salt": "of_salt"})
+        joined = salted.join(copies, F.col("mix_source").eqNullSafe(F.col("of")) & (F.col("mix_salt") == F.col("of_salt")))
     drawn = joined.withColumn("u", uniform(seed, F.col("id")))
     drawn = drawn.select("row", "id", (F.col("mix_least") + F.size(F.filter("cdf", lambda c: F.col("u") >= c))).alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "id", F.col("copy_no").cast("string")))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = copies.withColumn("shuffle_key", key).repartition(width, "shuffle_key").sortWithinPartitions("shuffle_key")
-    return dealt.select("row.*", *ADDED)
+    return dealt.select("row", *ADDED)
 
 
 #: Production mix of the corpus query: the oversized source comes down, two come up.
@@ -120,7 +137,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH RECURSIVE counts AS (
-  SELECT coalesce(source, '') AS mix_source, count(*) AS n_rows FROM documents GROUP BY 1),
+  SELECT source AS mix_source, count(*) AS n_rows FROM documents GROUP BY 1),
 weights AS (
   SELECT *, CASE mix_source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 1.5 WHEN 'src3' THEN 0.5 ELSE 1.0 END AS weight
   FROM counts),
@@ -130,11 +147,11 @@ rates AS (
 cdf AS (
   SELECT mix_source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
-  SELECT mix_source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < 120),
+  SELECT mix_source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < rate + 10 * sqrt(rate) + 64),
 tables AS (SELECT mix_source, list(c ORDER BY k) AS cdf FROM cdf GROUP BY 1),
 drawn AS (
   SELECT d.*, len(list_filter(t.cdf, lambda c: ('0x' || substr(md5('{MIX_SEED}:' || d.doc_id), 1, {_HEX}))::BIGINT::DOUBLE / {float(1 << (4 * _HEX))} >= c)) AS n_copies
-  FROM documents d JOIN tables t ON coalesce(d.source, '') = t.mix_source),
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.mix_source),
 copies AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM drawn WHERE n_copies > 0)
 SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no, n_copies::INTEGER AS n_copies,
   md5('{MIX_SEED}:order:' || doc_id || ':' || copy_no) AS shuffle_key

@@ -1,6 +1,7 @@
 import collections
 import math
 
+import pytest
 from lexispark.llm import mixing as m
 
 
@@ -12,11 +13,11 @@ def docs(spark, n=4000):
 def brute(rows, weights, default, total, seed):
     import hashlib
 
-    counts = collections.Counter(r.source or "" for r in rows)
+    counts = collections.Counter(r.source for r in rows)
     w = {s: weights.get(s, default) for s in counts}
     out = collections.Counter()
     for r in rows:
-        s = r.source or ""
+        s = r.source
         if not w[s]:
             continue
         rate = w[s] / sum(w.values()) * total * len(rows) / counts[s]
@@ -80,3 +81,19 @@ def test_clashing_names_and_null_ids(spark):
     out = got.collect()
     assert {(r.cdf, r.mix_source, r.u, r.id, r.row) for r in out} == {(1.0, "x", 2, 3, "r")}
     assert collections.Counter(r.doc_id for r in out if r.doc_id is not None) == {k: v for k, v in brute([r for r in d.collect() if r.doc_id is not None], {"a": 1.0}, 1.0, 2.0, 3).items()}
+
+
+def test_names_that_mixing_adds(spark):
+    d = spark.range(30).selectExpr("id AS doc_id", "'a' AS source", "id AS copy_no", "'k' AS Shuffle_key")
+    with pytest.raises(ValueError, match="copy_no, shuffle_key"):
+        m.mix_sources(d, {})
+    rows = m.mixed_rows(d, {}, 1.0, 3.0)
+    assert rows.columns == ["row", *m.ADDED]
+    out = rows.collect()
+    assert out and all(r.row.copy_no == r.row.doc_id for r in out)
+
+
+def test_null_and_empty_sources_are_two(spark):
+    d = spark.range(400).selectExpr("id AS doc_id", "IF(id % 4 = 0, '', NULL) AS source")
+    share = collections.Counter(r.source for r in m.mix_sources(d, {"": 3.0}, 1.0, 2.0).collect())
+    assert share[""] > 2 * share[None] > 0
