@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -255,42 +256,49 @@ def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id
     """Columns row (struct of all columns of docs) and result (FIELDS): hit words of each document and the items they come from.
 
     One pass over docs for each block of benchmark words; one block is the usual case. With
-    more, each pass is written before the next block is fetched, so that driver and
+    more, docs are written once, each row with its place; a pass reads places and texts and
+    writes only the hits, and the hits of all passes meet their rows by place. Driver and
     workers hold one block and its automaton at a time.
     """
-    spark = docs.sparkSession
-    out = shared = None
-    for block in item_blocks(bench, item_id, item_text):
-        if shared is not None:
-            out = materialize(out)
-            shared.destroy()
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words, or one longer item
-        name = uuid.uuid4().hex
-
-        def compute(texts: pa.Array, _, shared=shared, name=name):
-            n, spans, items = hits_of(texts, [_automaton(name, shared, window)])
-            hit = [sum(e - s for s, e in sp) for sp in spans]
-            return n, hit, [sorted(i) for i in items], [[{"start": int(s), "end": int(e)} for s, e in sp] for sp in spans]
-
-        if out is None:
-            out = annotate(docs, text_col, FIELDS, compute)
-        else:
-            before = out
-            out = annotate(before.select("row.*", F.col("result").alias("__earlier")), text_col, FIELDS, compute)
-            out = _joined(out, docs.columns)
-    if out is None:
+    blocks = item_blocks(bench, item_id, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _pass(docs, text_col, first, window)[0]
+    placed = materialize(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")))
+    texts = placed.select("at", F.col("row").getField(text_col).alias("text"))
+    hits = None
+    for block in chain((first, second), blocks):
+        found, shared = _pass(texts, "text", block, window)
+        some = materialize(found.where("result.n_hit > 0").select("row.at", "result.item_ids", "result.spans"))
+        shared.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    merged = hits.groupBy("at").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), _united(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
+    counted = _pass(placed, "text", None, window, inner=text_col)[0].select("row.row", "row.at", "result.n_words")
+    out = counted.join(merged, "at", "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + (s["end"] - s["start"]))
+    return out.select(
+        "row",
+        F.struct("n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans")).alias("result"),
+    )
 
-        def count(texts: pa.Array, _):
-            n, spans, items = hits_of(texts, [])
-            return n, [0] * len(n), [[]] * len(n), [[]] * len(n)
 
-        return annotate(docs, text_col, FIELDS, count)
-    return out
+def _pass(docs: DataFrame, text_col: str, block: list | None, window: int, inner: str | None = None):
+    """docs with the hits of one block (None: of no item), and the block as sent to the workers. The text may be a field of docs.row."""
+    shared, name = None, uuid.uuid4().hex
+    if inner is not None:
+        docs = docs.select("row", "at", F.col("row").getField(inner).alias(text_col))
+    if block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words, or one longer item
+
+    def compute(texts: pa.Array, _):
+        n, spans, items = hits_of(texts, [] if shared is None else [_automaton(name, shared, window)])
+        return n, [sum(e - s for s, e in sp) for sp in spans], [sorted(i) for i in items], [[{"start": int(s), "end": int(e)} for s, e in sp] for sp in spans]
+
+    return annotate(docs, text_col, FIELDS, compute), shared
 
 
-def _joined(out: DataFrame, columns: list[str]) -> DataFrame:
-    """Union of the hits of one more block with the earlier blocks'."""
-    both = F.array_sort(F.concat(F.col("row.__earlier.spans"), F.col("result.spans")))
+def _united(spans):
+    """Sorted spans, with those that touch as one."""
     start = F.array().cast("array<struct<start:int,end:int>>")
 
     def add(acc, s):
@@ -298,15 +306,7 @@ def _joined(out: DataFrame, columns: list[str]) -> DataFrame:
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] <= last["end"], grown).otherwise(F.concat(acc, F.array(s)))
 
-    spans = F.aggregate(both, start, add)
-    kept = F.struct(*[F.col("row").getField(c).alias(c) for c in columns])
-    result = F.struct(
-        F.col("result.n_words").alias("n_words"),
-        F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"])).alias("n_hit"),
-        F.array_sort(F.array_union("row.__earlier.item_ids", "result.item_ids")).alias("item_ids"),
-        spans.alias("spans"),
-    )
-    return out.select(kept.alias("row"), result.alias("result"))
+    return F.aggregate(spans, start, add)
 
 
 def is_contaminated(n_hit, n_words, cover: int = COVER):
@@ -371,3 +371,19 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, st
         n = len(hit)
         out[doc] = (len(ws), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and n * COVER >= len(ws))
     return out
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM k)),
+sizes AS (SELECT DISTINCT n FROM wanted),
+spots AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, n, item_id FROM spots JOIN wanted USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

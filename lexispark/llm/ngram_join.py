@@ -494,3 +494,21 @@ def brute_force(rows: list[tuple[int, str | None]], n: int = N) -> dict[int, tup
                 a, b = sorted((root(d), root(other)))
                 parent[b] = a
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+sets AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+heads AS (SELECT k, min(doc_id) AS head, any_value(n) AS n FROM sets GROUP BY k),
+own AS (SELECT s.doc_id, g, n FROM s JOIN heads ON doc_id = head),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM own AS a JOIN own AS b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT head AS node, head AS seen FROM heads UNION SELECT reach.node, links.y FROM reach JOIN links ON links.x = reach.seen),
+tops AS (SELECT node, min(seen) AS top FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(tops.top, d.doc_id) AS component_id
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN heads ON heads.k = sets.k LEFT JOIN tops ON tops.node = heads.head
+"""

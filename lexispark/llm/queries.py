@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mix": mixing.ORACLE, "op6_stream_dedup": OP6_SQL, "op12_prefix_free_phrases": collocations.ORACLE, "op13_postorder_manifest": merkle.ORACLE}
+    return {"op1_poisson_mix": mixing.ORACLE, "op6_stream_dedup": OP6_SQL, "op12_prefix_free_phrases": collocations.ORACLE, "op13_postorder_manifest": merkle.ORACLE, "op2_suffix_trees": substring_dedup.ORACLE, "op4_vertical_jaccard": ngram_join.ORACLE, "op10_suffix_automaton": decontaminate.ORACLE}

@@ -394,3 +394,16 @@ def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dic
         kept = b" ".join(w for i, w in enumerate(ws) if i not in gone)
         out[d] = (len(ws), len(gone), hashlib.sha256(kept).hexdigest())
     return out
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS turn FROM win) WHERE turn > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT w.doc_id, count(g.doc_id) AS n_removed, string_agg(x, ' ' ORDER BY w.p) FILTER (g.doc_id IS NULL) AS t
+  FROM words AS w LEFT JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) AS g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(kept.n_removed, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -1,6 +1,7 @@
 import corpus_pipeline as cp
 import pyarrow as pa
 from lexispark.llm import decontaminate, mixing, ngram_join, quality
+from pyspark.sql import functions as F
 from test_mixing import brute as copies
 from test_token_output import plain as tokens
 
@@ -33,3 +34,14 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         assert out.columns == docs.columns, name
         assert out.count() == 0
     assert cp.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_extra_columns_of_any_name_travel_along(spark):
+    names = ["copy_no", "n_copies", "shuffle_key", "row", "result", "doc", "h", "component", "__earlier", "hits", "score", "mix_source"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == names, name
+        assert {tuple(r[5:]) for r in docs.collect()} == {tuple(range(len(names)))}, name
+    assert cp.STAGES[-1][1](spark, docs, SF).count() > 0
