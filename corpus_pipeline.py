@@ -27,7 +27,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, mixing.MIX, 1.0, mixing.MIX_TOTAL, mixing.MIX_SEED).select(docs.columns)
+    return mixing.mixed_rows(docs, mixing.MIX, 1.0, mixing.MIX_TOTAL, mixing.MIX_SEED).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
