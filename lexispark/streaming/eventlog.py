@@ -9,7 +9,11 @@ same aggregation in a stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +29,45 @@ def entry_hash(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256), F.lit(16))
 
 
-def chained(rows: DataFrame, chain: str, order: list[str], own: Column) -> DataFrame:
-    """rows with hash (of the row alone) and prev (hash before it in its chain)."""
-    w = Window.partitionBy(chain).orderBy(*order)
-    return rows.withColumn("hash", own).withColumn("prev", F.lag("hash", 1, GENESIS).over(w))
+def body(ts: Column, *payload: str) -> Column:
+    """What an entry's hash covers besides the hash before it: its time to the microsecond, and its payload as JSON with sorted keys."""
+    fields = F.struct(*[F.col(c).alias(c) for c in sorted(payload)])
+    return F.concat_ws("|", F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.to_json(fields, {"ignoreNullFields": "false"}))
+
 
+def chained(rows: DataFrame, chain: str, order: list[str], what: Column) -> DataFrame:
+    """rows with prev (the hash before it in its chain) and hash, which covers prev and `what`.
 
-def verify(rows: DataFrame, chain: str, order: list[str], own: Column) -> DataFrame:
-    """chain, n_events, n_bad_hash, n_bad_link: recomputed hashes and links of every chain."""
+    A hash needs the one before, so a chain is walked in order: rows are dealt and sorted by
+    chain, and a task holds no more of it than the last hash.
+    """
+    place = len(rows.columns)
+    full = rows.select("*", what.alias("_what"), F.col(chain).alias("_chain")).repartition(chain).sortWithinPartitions(chain, *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, prev = False, None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for own, what in zip(batch.column(place + 1).to_pylist(), batch.column(place).to_pylist(), strict=True):
+                if not begun or own != last:
+                    begun, last, prev = True, own, GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}|{what}".encode()).hexdigest()[:16]
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(before, pa.string()), pa.array(after, pa.string())], schema.names)
+
+    return full.mapInArrow(walk, schema)
+
+
+def verify(rows: DataFrame, chain: str, order: list[str], what: Column) -> DataFrame:
+    """chain, n_events, n_bad_hash, n_bad_link: each row's hash again from its own prev, all rows at once, and the links of every chain.
+
+    A changed payload or time, and a prev that was set anew, show as bad hashes; a lost,
+    doubled or inserted row as bad links.
+    """
     at = F.struct(*order)
-    seen = rows.select(chain, "hash", "prev", own.alias("again"), at.alias("at"))
+    seen = rows.select(chain, "hash", "prev", entry_hash(F.col("prev"), what).alias("again"), at.alias("at"))
     # a row links to the one whose hash it names, which must come earlier and be named once: an equi-join, so that one long chain is dealt over all tasks
     linked = seen.groupBy(chain, "prev").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     before = seen.groupBy(chain, F.col("hash").alias("prev")).agg(F.min("at").alias("was")).withColumn("known", F.lit(True))

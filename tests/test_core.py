@@ -73,11 +73,37 @@ def test_stream_equals_batch_in_many_triggers(spark, tmp_path):
 
 
 def test_one_edit_breaks_a_chain(spark):
-    own = log.entry_hash(F.col("n"), F.col("body"))
-    rows = log.chained(spark.createDataFrame([(1, i, f"b{i}") for i in range(6)], "c long, n long, body string"), "c", ["n"], own)
-    assert tuple(log.verify(rows, "c", ["n"], own).first()) == (1, 6, 0, 0)
-    assert tuple(log.verify(rows.withColumn("body", F.when(F.col("n") == 3, "z").otherwise(F.col("body"))), "c", ["n"], own).first()) == (1, 6, 1, 0)
-    assert tuple(log.verify(rows.where("n <> 3"), "c", ["n"], own).first()) == (1, 5, 0, 1)
+    what = F.concat_ws("|", "n", "body")
+    rows = log.chained(spark.createDataFrame([(1, i, f"b{i}") for i in range(6)], "c long, n long, body string"), "c", ["n"], what)
+    assert tuple(log.verify(rows, "c", ["n"], what).first()) == (1, 6, 0, 0)
+    assert tuple(log.verify(rows.withColumn("body", F.when(F.col("n") == 3, "z").otherwise(F.col("body"))), "c", ["n"], what).first()) == (1, 6, 1, 0)
+    assert tuple(log.verify(rows.where("n <> 3"), "c", ["n"], what).first()) == (1, 5, 0, 1)
+
+
+def test_chain_covers_prev_time_and_payload(spark):
+    import hashlib
+
+    df = spark.sql("SELECT id % 3 AS card, id, TIMESTAMP_NTZ'2024-01-01 00:00:00.000001' + make_dt_interval(0, 0, 0, id) AS ts, IF(id % 5 = 0, NULL, 'q\"é') AS note FROM range(60)").repartition(4)
+    what = log.body(F.col("ts"), "note", "id")
+    rows = log.chained(df, "card", ["ts"], what)
+    assert rows.columns == [*df.columns, "prev", "hash"]
+    made = sorted(rows.collect(), key=lambda r: (r.card, r.ts))
+    prev = None
+    for r, json in zip(made, [x.j for x in rows.orderBy("card", "ts").select(what.alias("j")).collect()]):
+        prev = log.GENESIS if r.ts.second == r.card and r.ts.minute == 0 else prev
+        assert r.prev == prev and r.hash == hashlib.sha256(f"{prev}|{json}".encode()).hexdigest()[:16]
+        prev = r.hash
+    bad = lambda d: [tuple(r)[2:] for r in log.verify(d, "card", ["ts"], what).orderBy("card").collect()]
+    assert bad(rows) == [(0, 0)] * 3
+    fixed = spark.createDataFrame(made, rows.schema)
+    later = F.when(F.col("id") == 30, F.col("ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
+    assert bad(fixed.withColumn("ts", later))[0][0] == 1  # re-timed
+    other = made[5].hash
+    relinked = fixed.withColumn("prev", F.when(F.col("id") == 31, F.lit(other)).otherwise(F.col("prev")))
+    assert bad(relinked)[1][0] == 1 and bad(relinked)[1][1] >= 1
+    swapped = fixed.withColumn("ts", F.when(F.col("id") == 32, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:35.000001'")).when(F.col("id") == 35, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:32.000001'")).otherwise(F.col("ts")))
+    assert bad(swapped)[2][0] == 2  # reordered
+    assert bad(fixed.where("id <> 33"))[0] == (0, 1) and bad(fixed.union(fixed.where("id = 33")))[0][1] >= 1
 
 
 def test_footnote_findings(spark):
