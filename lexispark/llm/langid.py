@@ -32,6 +32,8 @@ HELD_OUT_OF, HELD_OUT_IS = 4, 2
 SAMPLE_DOCS, SAMPLE_ALL, STRETCH = 300, 12_000, 120
 #: Features are told apart by so many bits, or by fewer where the weights of all languages would pass WEIGHT_CELLS numbers.
 BITS, WEIGHT_CELLS = 16, 1 << 23
+#: Languages whose sampling rates (a name and a number each) are broadcast; more are joined by a shuffle.
+SENT_LANGS = 100_000
 #: Numbers (chains x words x languages) that a step of fitting holds at once; it sums over all chains, so the result is the same.
 FIT_CELLS = 1 << 22
 STEPS, RATE, RIDGE = 40, 0.15, 1e-4
@@ -294,7 +296,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(langs)))
     share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in langs], "lang string, share double")
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(share, "lang").where(u < F.col("share")).groupBy("id", "lang").agg(F.min("text").alias("text"))  # one row of each id
+    # a row for each label of the model, which the driver and the tasks hold anyway
+    picked = rows.join(F.broadcast(share) if len(langs) <= SENT_LANGS else share, "lang").where(u < F.col("share")).groupBy("id", "lang").agg(F.min("text").alias("text"))  # one row of each id
     picked = picked.select(F.concat_ws("\t", "id", "lang").alias("tag"), "text")
 
     def emit(tags, texts):
