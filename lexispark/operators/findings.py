@@ -91,6 +91,71 @@ def anchor_mismatches(lines: DataFrame) -> DataFrame:
     return both.select(F.lit("footnotes").alias("check"), F.col("book").alias("place"), kind.alias("class"), F.col("slug").alias("what")).where(F.col("class").isNotNull())
 
 
+#: What notes should not say, as words of a small grammar each: talk of the writing itself, support that the
+#: note claims for the text, how far a source is to be believed, and what a work argues.
+_OPINIONS = "authoritative balanced careful comprehensive contested controversial credible definitive dependable dubious excellent flawed indispensable magisterial outdated partisan reliable speculative standard trustworthy unreliable useful"
+_WORKS = "account analysis article biography book chapter edition essay history monograph paper source study survey translation treatment work"
+_ARGUES = "argues claims concludes contends demonstrates describes explains explores holds maintains shows suggests surveys traces"
+NOTE_TALK = {
+    "SELF-TALK": r"(?i)\b(?:todo|fixme|tbd|note to self|check (?:this|that|whether)|to be (?:checked|verified|confirmed)|I (?:think|believe|should|need to)|we (?:should|need to))\b",
+    "WARRANT": r"(?i)\b(?:this|which) (?:supports|confirms|proves|bears out|corroborates) (?:the|our|this|that)\b|\b(?:is|are) (?:good |strong )?evidence (?:for|that)\b",
+    "VERDICT": rf"(?i)\b(?:{'|'.join(_OPINIONS.split())}) (?:{'|'.join(_WORKS.split())})\b|\b(?:{'|'.join(_WORKS.split())}) (?:is|remains) (?:an? |the |still )?(?:{'|'.join(_OPINIONS.split())})\b",
+    "THESIS": rf"(?i)\b(?:{'|'.join(_WORKS.split())}) (?:{'|'.join(_ARGUES.split())})\b|\b(?:his|her|their) (?:{'|'.join(_WORKS.split())}) (?:of|on) \w+",
+}
+#: Classes whose notes may say so in a sentence that names a place in the work.
+PLACED = ("THESIS",)
+
+
+def note_talk(lines: DataFrame, patterns: dict[str, str] | None = None, around: int = 40) -> DataFrame:
+    """The first match of each class of NOTE_TALK in each note, with the characters around it; one note may be of several classes."""
+    notes = classified(lines).where("is_note").select("book", "line_no", "text")
+    kinds = []
+    for name, pattern in (patterns or NOTE_TALK).items():
+        hit = F.get(tx.located(F.col("text"), pattern), F.lit(0))
+        ok = hit.isNotNull()
+        if name in PLACED:
+            ok = ok & locator(F.col("text")).isin("NO ANCHOR", "SEARCH-ONLY")
+        kinds.append(F.when(ok, F.struct(F.lit(name).alias("name"), hit.alias("f"))))
+    rows = notes.select("*", F.explode_outer(F.array_compact(F.array(*kinds))).alias("k")).where("k IS NOT NULL")
+    begin = F.greatest(F.lit(1), F.col("k.f.at") - around)
+    return _findings(rows, "footnotes", F.col("k.name"), F.substring(F.col("text"), begin, F.col("k.f.at") + F.length("k.f.hit") + around - begin))
+
+
+def notes_to_notes(lines: DataFrame) -> DataFrame:
+    """Anchors of other notes inside a note."""
+    notes = classified(lines).where("is_note").select("book", "line_no", F.regexp_replace("text", NOTE, "").alias("rest"))
+    rows = notes.select("book", "line_no", F.explode_outer(F.regexp_extract_all("rest", F.lit(r"\[\^([^\]]+)\]"), F.lit(1))).alias("to")).where("to IS NOT NULL")
+    return _findings(rows, "footnotes", F.lit("XREF"), F.concat(F.lit("[^"), F.col("to"), F.lit("]")))
+
+
+#: An author, a title in italics, and what opens the publisher's brackets.
+CITATION = r"([A-Z][\p{L}.' -]*), \*([^*]{6,70})\*\s*\("
+TITLE_KEY = 28
+
+
+def repeated_citations(lines: DataFrame) -> DataFrame:
+    """Works that a book cites in full more than once: by the author's last name and the beginning of the title."""
+    notes = classified(lines).where("is_note").select("book", "line_no", F.regexp_extract("text", NOTE, 1).alias("slug"), F.regexp_extract_all("text", F.lit(CITATION), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(CITATION), F.lit(2)).alias("t"))
+    rows = notes.select("book", "line_no", "slug", F.posexplode(F.arrays_zip("a", "t")).alias("at", "c"))
+    key = [F.element_at(F.split(F.trim("c.a"), " "), -1).alias("author"), F.substring("c.t", 1, TITLE_KEY).alias("title")]
+    held = rows.select("book", "line_no", "at", "slug", *key).groupBy("book", "author", "title").agg(F.array_sort(F.collect_list(F.struct("line_no", "at", "slug"))).alias("where")).where(F.size("where") > 1)
+    what = F.concat(F.col("author"), F.lit(", "), F.col("title"), F.lit(": "), F.array_join(F.transform("where", lambda w: w["slug"]), ", "))
+    return held.select(F.lit("footnotes").alias("check"), F.col("book").alias("place"), F.concat(F.lit("FULL-CITE x"), F.size("where").cast("string")).alias("class"), what.alias("what"))
+
+
+def restated(lines: DataFrame, least_words: int = 80, share: float = 0.18, n: int = 6) -> DataFrame:
+    """Long notes that say again what the body says before their anchor: the share of that span's n-word shingles that the note has."""
+    from lexispark.operators import passages
+
+    rows = classified(lines)
+    body = rows.where("is_body AND has_anchor").select("book", "line_no", "text", F.regexp_extract_all("text", F.lit(ANCHOR), F.lit(1)).alias("slugs"))
+    spans = passages.anchor_spans(body, ANCHOR).withColumn("slug", F.get("slugs", F.col("anchor_no") - 1))
+    notes = rows.where(F.col("text").rlike(NOTE + ":")).where(F.size(tx.words(F.col("text"))) >= least_words)
+    notes = notes.groupBy("book", F.regexp_extract("text", NOTE, 1).alias("slug")).agg(F.min_by("text", "line_no").alias("note"))
+    both = spans.join(notes, ["book", "slug"]).withColumn("share", tx.overlap_share(F.col("span"), F.col("note"), n)).where(F.col("share") > share)
+    return _findings(both, "footnotes", F.lit("DUPLICATE"), F.concat(F.lit("[^"), F.col("slug"), F.lit("] "), F.round(F.col("share") * 100).cast("int").cast("string"), F.lit(" %")))
+
+
 def locator(note: Column) -> Column:
     """The first family of locators in a note without its quotations; SEARCH-ONLY with a quotation of eight words, else NO ANCHOR."""
     bare = F.regexp_replace(note, QUOTE, " ")

@@ -12,21 +12,15 @@ live rows, so an updated index ranks as a fresh one does.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark import store
+from lexispark.commits import CommitLog
 from lexispark.operators import fulltext
 
 #: Segments and tombstones are named by the number of the update that wrote them and a mark of their own.
-_COMMIT = "version int, mark string, segments array<string>, tombstones array<string>, batch bigint, note string"
-
-
-class ConcurrentUpdate(RuntimeError):
-    """Another writer updated the index first; read it again and repeat."""
+_COMMIT = "segments array<string>, tombstones array<string>, batch bigint, note string"
 
 
 def _number(name: str) -> int:
@@ -38,39 +32,13 @@ class SegmentedIndex:
 
     def __init__(self, spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-
-    # commits
-
-    def commits(self) -> DataFrame:
-        """All commits; of two that were written under one number at once, the one with the lesser mark counts."""
-        try:
-            rows = self.spark.read.schema(_COMMIT).json(f"{self.path}/commits/*")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], _COMMIT)
-        names = [c for c in rows.columns if c not in ("version", "mark")]
-        return rows.groupBy("version").agg(F.min(F.struct("mark", *names)).alias("c")).select("version", "c.*")
+        self.log = CommitLog(spark, f"{self.path}/commits", _COMMIT)
 
     def head(self) -> tuple[int, list[str], list[str]]:
         """Version, segments and tombstones of the last commit."""
-        last = self.commits().orderBy(F.desc("version")).first()
+        last = self.log.last()
         return (last.version, list(last.segments), list(last.tombstones)) if last else (0, [], [])
 
-    def _commit(self, base: int, segments: list[str], tombstones: list[str], note: str, batch: int | None = None) -> int:
-        """Write the commit after `base`. If another writer has written it, this update does not count."""
-        version, mark = base + 1, uuid.uuid4().hex
-        row = self.spark.createDataFrame([(version, mark, segments, tombstones, batch, note)], _COMMIT)
-        try:
-            row.coalesce(1).write.mode("error").json(f"{self.path}/commits/{version:09d}")
-        except AnalysisException as e:
-            if "PATH_ALREADY_EXISTS" not in str(e):
-                raise
-            raise ConcurrentUpdate(f"commit {version} is there already") from e
-        if self.commits().where(F.col("version") == version).first().mark != mark:
-            raise ConcurrentUpdate(f"another writer made commit {version}")
-        return version
-
     # what is live
 
     def _read(self, kind: str, names: list[str]) -> DataFrame | None:
@@ -123,18 +91,18 @@ class SegmentedIndex:
     def _apply(self, fresh: DataFrame | None, gone: DataFrame | None, id_col: str, text_col: str, note: str, batch: int | None = None) -> int:
         """Write what an update adds, and tombstones of what it hides in all segments so far; then the commit."""
         base, segments, tombstones = self.head()
-        name = f"{base + 1:09d}-{uuid.uuid4().hex}"
+        name = f"{base + 1:09d}-{store.mark()}"
         if gone is not None and segments:
             gone.select("doc_id").distinct().write.parquet(f"{self.path}/tombstones/{name}")
             tombstones = [*tombstones, name]
         if fresh is not None:
             fulltext.write_postings(fresh, self.path, id_col, text_col, self.keep, name=name)
             segments = [*segments, name]
-        return self._commit(base, segments, tombstones, note, batch)
+        return self.log.add(base, segments, tombstones, batch, note)
 
     def update(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None) -> int:
         """Add documents, or replace those that are there; a batch number that was committed before is skipped."""
-        if batch is not None and not self.commits().where(F.col("batch") == batch).isEmpty():
+        if batch is not None and not self.log.all().where(F.col("batch") == batch).isEmpty():
             return self.head()[0]
         return self._apply(docs, docs.select(F.col(id_col).cast("bigint").alias("doc_id")), id_col, text_col, "update", batch)
 
@@ -155,14 +123,14 @@ class SegmentedIndex:
         chosen = [s for s in segments if names is None or s in names]
         if not chosen:
             return base
-        name = f"{base + 1:09d}-{uuid.uuid4().hex}"
+        name = f"{base + 1:09d}-{store.mark()}"
         documents = self._live(segments, tombstones).where(F.col("segment").isin([_number(s) for s in chosen]))
         postings = self._read("postings", chosen).join(documents.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
         documents.drop("segment").write.parquet(f"{self.path}/documents/{name}")
         width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         postings.drop("segment").repartitionByRange(width, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/postings/{name}")
         rest = [s for s in segments if s not in chosen]
-        return self._commit(base, [*rest, name], tombstones if rest else [], "merge")
+        return self.log.add(base, [*rest, name], tombstones if rest else [], None, "merge")
 
     def follow(self, stream: DataFrame, checkpoint: str, id_col: str = "doc_id", text_col: str = "text"):
         """Take every batch of a stream of documents as an update; the query, which can be stopped and resumed from its checkpoint."""

@@ -55,7 +55,20 @@ def fn_sentences(spark, sf):
     return rows.select("conv_id", "turn", (F.col("at") + 1).alias("sentence_no"), "sentence")
 
 
-_FACTS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}', 1))) AS what FROM documents" for k, p in tx.FACTS.items())
+def _facts_sql():
+    """Each kind is looked for in what the kinds before it left."""
+    quoted = tx._QUOTED.replace("'", "''")
+    steps, rest = [], f"regexp_replace(text, '{quoted}', ' | ', 'g')"
+    title = "len(regexp_extract_all(q, '([A-Za-z]{4,})', 1)) >= 3 AND len(list_filter(regexp_extract_all(q, '([A-Za-z]{4,})', 1), lambda w: w[1] = upper(w[1]))) * 10 >= len(regexp_extract_all(q, '([A-Za-z]{4,})', 1)) * 6"
+    steps.append(f"SELECT doc_id, CASE WHEN {title} THEN 'title' ELSE 'quotation' END AS kind, q AS what FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{quoted}', 1))) AS q FROM documents) WHERE len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) >= 3")
+    for kind, pattern in tx.FACTS.items():
+        p = pattern.replace("'", "''")
+        steps.append(f"SELECT doc_id, '{kind}', unnest(list_distinct(regexp_extract_all({rest}, '{p}', 1))) FROM documents")
+        rest = f"regexp_replace({rest}, '{p}', ' | ', 'g')"
+    return " UNION ALL ".join(steps)
+
+
+_FACTS = _facts_sql()
 
 
 @query(_FACTS)

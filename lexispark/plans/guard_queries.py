@@ -72,13 +72,6 @@ def fact_check_ledger(spark, sf):
     return shelf.ledger(lines).withColumn("cells", F.array_join("cells", ","))
 
 
-@query("""
-SELECT 'titles' AS surface, true AS ran, p_partkey AS id FROM part WHERE contains(lower(p_name), 'red') UNION ALL SELECT 'brands', true, p_partkey FROM part WHERE p_brand = 'Brand#7' UNION ALL SELECT 'offline', false, NULL""")
-def search_surfaces(spark, sf):
-    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "id")
-    return fulltext.surfaces({"titles": p.where(F.lower("p_name").contains("red")), "brands": p.where("p_brand = 'Brand#7'"), "offline": None}, "id")
-
-
 @query("SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 2")
 def ocr_ledger_append(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"))

@@ -188,21 +188,3 @@ def lookup_pronunciations(spark, sf):
     enpr = F.struct(none.alias("ipa"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).alias("enpr"))
     e = _parts(spark, sf).select(F.col("p_name").alias("word"), F.col("p_partkey").alias("entry_no"), F.array(ipa, enpr).alias("sounds"))
     return lookups.pronunciations(e, "small ring").withColumn("sounds", F.array_join("sounds", ","))
-
-
-@query("""
-WITH v AS (SELECT 'Genesis ' || p_size || ':' || p_partkey AS ref, p_size, p_partkey, p_name FROM part),
-q AS (SELECT o_orderkey AS line_no, p.p_name AS quote, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'Genesis ' || p.p_size || ':' || (p.p_partkey + 1) ELSE 'Genesis ' || p.p_size || ':' || p.p_partkey END AS ref, p.p_size FROM orders JOIN part p ON o_custkey = p_partkey)
-SELECT 'b' AS book, line_no, '«' || quote || '»' AS quote, q.ref, CASE WHEN q.ref IS NULL THEN 'NO-REF' WHEN v.p_name IS NULL THEN 'NO VERSE' WHEN contains(lower(v.p_name), lower(quote)) THEN 'MATCH'
-  WHEN EXISTS (SELECT 1 FROM v o WHERE o.p_size = q.p_size AND contains(lower(o.p_name), lower(quote))) THEN 'CITATION-PRECISION' ELSE 'MISMATCH' END AS status FROM q LEFT JOIN v ON q.ref = v.ref""")
-def quote_audit(spark, sf):
-    from lexispark.operators import passages
-
-    p = _parts(spark, sf)
-    ref = lambda n: F.concat(F.lit("Genesis "), F.col("p_size").cast("string"), F.lit(":"), n.cast("string"))
-    k = F.col("o_orderkey")
-    cited = F.when(k % 7 == 0, "no place").when(k % 5 == 0, ref(F.col("p_partkey") + 1)).otherwise(ref(F.col("p_partkey")))
-    text = F.concat(F.lit("Far off, Exodus 1:1 is not near. It is long since anyone has read it, they say. «"), "p_name", F.lit("» ("), cited, F.lit(")"))
-    text = F.when(k % 7 == 0, F.concat(F.lit("«"), "p_name", F.lit("»"))).otherwise(text)
-    lines = table(spark, sf, "orders").join(p, F.col("o_custkey") == F.col("p_partkey")).select(F.lit("b").alias("book"), k.alias("line_no"), text.alias("text"))
-    return passages.quote_audit(lines, p.select(ref(F.col("p_partkey")).alias("ref"), F.col("p_name").alias("body")), "«[^»]+»")

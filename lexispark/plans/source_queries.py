@@ -108,6 +108,17 @@ def src_papyri(spark, sf):
     return f.papyri(f.files(spark, path, ["txt"], content=True)).select("id", "tm", "text")
 
 
+@query("SELECT p_brand AS brand FROM part GROUP BY p_brand HAVING min(p_partkey) % 2 = 1")
+def src_unparsed(spark, sf):
+    """XML files that cannot be parsed are rows of their own, not silently absent."""
+    files = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("k"), F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("ns"))
+    page = F.concat(F.lit("<TEI><div>"), "ns", F.when(F.col("k") % 2 == 0, "</div></TEI>").otherwise("</TEI>"))
+    path = store.folder(spark)
+    files.select(page.alias("value"), F.col("p_brand").alias("brand")).repartition("brand").write.partitionBy("brand").text(path)
+    bad = f.unparsed(f.files(spark, path, ["txt"], content=True))
+    return bad.select(F.url_decode(F.regexp_extract("path", "brand=([^/]+)/", 1)).alias("brand"))
+
+
 @query("SELECT p_partkey::VARCHAR AS id, p_name || '''s (a,b)' AS name, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice::VARCHAR END AS price FROM part")
 def src_mysql_dump(spark, sf):
     name = F.concat(F.lit("'"), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "''s (a,b)'").otherwise("\\'s (a,b)'"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexispark import store
 from lexispark.operators import relational as rel
 from lexispark.plans.registry import query, table
 from lexispark.streaming import eventlog as log
@@ -289,6 +290,24 @@ def stream_event_fold(spark, sf):
     return log.fold_stream(spark, f"{sf}/events.parquet", "user_id", lambda d: F.struct(d["ts"], d["event_id"]), lambda d: _press(d["event_type"]))
 
 
+@query("""
+WITH r AS (SELECT user_id::VARCHAR AS card, event_type = 'purchase' AS approves, ts, date_trunc('milliseconds', ts) AS ms FROM events WHERE event_type IN ('purchase', 'error')),
+n AS (SELECT *, lead(ms) OVER w AS next, lag(approves) OVER w AS after_approval, lag(ms) OVER w AS before FROM r WINDOW w AS (PARTITION BY card ORDER BY ts, approves DESC)),
+e AS (SELECT max(ts) AS latest FROM events)
+SELECT card, 'approving' AS status, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at FROM n WHERE approves UNION ALL
+SELECT card, 'taken back', strftime(ts, '%Y-%m-%d %H:%M:%S.%g') FROM n WHERE NOT approves AND after_approval AND ms < before + INTERVAL 86400 SECOND UNION ALL
+SELECT card, 'approved', strftime(ms + INTERVAL 86400 SECOND, '%Y-%m-%d %H:%M:%S.%g') FROM n, e WHERE approves AND coalesce(next >= ms + INTERVAL 86400 SECOND, ms + INTERVAL 86400 SECOND < latest)""")
+def stream_approvals(spark, sf):
+    """Approvals that wait a day, in a stream over all events: state and a timer for each card."""
+    from lexispark.streaming import timers
+
+    path = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    kind = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "withdraw").otherwise("note")
+    rows = timers.settled_table(stream.select(F.col("user_id").alias("card"), kind.alias("kind"), "ts"), 86_400, store.folder(spark))
+    return rows.select("card", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+
+
 @query(f"""
 WITH h AS (SELECT *, {_OWN.format('props')} AS hash FROM events),
 r AS (SELECT *, CASE WHEN event_type = 'error' THEN lag(hash) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS retracts FROM h)

@@ -284,19 +284,49 @@ def fts_match_total(spark, sf):
     return hits.agg(F.count(F.lit(1)).alias("n_match"), F.count_distinct("source").alias("n_sources"))
 
 
+_NEAR = """
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q0 AS (SELECT v AS q FROM e WHERE vec_id = 0),
+near AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_dot_product(q, v) / sqrt(list_dot_product(q, q) * list_dot_product(v, v)), 9) DESC, vec_id) AS rank FROM e, q0)"""
+
+
 @query(f"""
-WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents),
-c AS (SELECT doc_id, len(list_filter(ts, lambda t: t = 'the')) AS a, len(list_filter(ts, lambda t: t = 'and')) AS b FROM t),
-r AS (SELECT doc_id, row_number() OVER (ORDER BY a DESC, doc_id) AS ra, row_number() OVER (ORDER BY b DESC, doc_id) AS rb FROM c)
-SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT doc_id, ra AS rank FROM r WHERE ra <= 100 UNION ALL SELECT doc_id, rb FROM r WHERE rb <= 100) GROUP BY doc_id""")
+WITH s AS ({_bm25([_TERM.format("and"), _TERM.format("that")])}),
+{_NEAR.strip()},
+words AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT doc_id, rank FROM words WHERE rank <= 100 UNION ALL SELECT doc_id, rank FROM near WHERE rank <= 100) GROUP BY doc_id""")
 def hybrid_rrf(spark, sf):
-    ts = tx.tokens(F.col("text"))
-    counted = table(spark, sf, "documents").select("doc_id", ts.alias("ts")).select("doc_id", *[F.size(F.filter("ts", _equals(w))).alias(w) for w in ("the", "and")])
-    parts = []
-    for w in ("the", "and"):
-        top = counted.orderBy(F.desc(w), "doc_id").limit(100)
-        parts.append(top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(w), "doc_id"))))
-    return fulltext.fuse(parts, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """Ranks by words (BM25) and by vectors, fused; a document's vector is the one of its id."""
+    from lexispark.operators import vectors
+
+    words = _index(spark, sf).search(fulltext.parse("and that")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(100)
+    words = words.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # a hundred rows
+    e = table(spark, sf, "embeddings")
+    asked = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = vectors.search(e, asked, 100).select(F.col("vec_id").alias("doc_id"), "rank")
+    return fulltext.fuse([words, near], "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+WITH s AS ({_bm25([_TERM.format("and"), _TERM.format("that")])}),
+{_NEAR.strip()}
+SELECT 'names' AS surface, true AS ran, doc_id FROM documents WHERE contains(lower(source), '1') UNION ALL
+SELECT 'text', true, doc_id FROM s UNION ALL
+SELECT 'cache', true, doc_id FROM documents WHERE contains(strip_accents(lower(text)), 'and that') UNION ALL
+SELECT 'vectors', true, doc_id FROM near WHERE rank <= 10 UNION ALL SELECT 'offline', false, NULL""")
+def search_surfaces(spark, sf):
+    """One question to names, ranked text, cached text and vectors; a surface that did not run says so."""
+    from lexispark.operators import vectors
+
+    docs, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    asked = e.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    parts = {
+        "names": docs.where(F.lower("source").contains("1")),
+        "text": _index(spark, sf).search(fulltext.parse("and that")),
+        "cache": _trigrams(spark, sf).containing(docs, "and that"),
+        "vectors": vectors.search(e, asked, 10).select(F.col("vec_id").alias("doc_id")),
+        "offline": None,
+    }
+    return fulltext.surfaces(parts, "doc_id")
 
 
 _STOP_SQL = ", ".join("('{}', {}, [{}])".format(k, i, ", ".join(f"'{w}'" for w in sorted(set(v.split())))) for i, (k, v) in enumerate(tx.STOPWORDS.items()))
@@ -334,6 +364,10 @@ WITH w AS (SELECT {0} AS id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w
 s AS (SELECT DISTINCT id, array_to_string(ws[i:i + 5], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 6))"""
 
 
+#: Shingles (three numbers each) that are broadcast; more are joined by a shuffle.
+SENT_SHINGLES = 1_000_000
+
+
 def _six(rows, key):
     """Hashes of six-word shingles. To be exploded with explode_outer: for explode, Spark derives a size filter and pushes the whole expression below."""
     ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
@@ -363,5 +397,8 @@ FROM b JOIN s USING (g) JOIN (SELECT item_id, count(*) AS n FROM b GROUP BY item
 def benchmark_containment(spark, sf):
     items = _six(table(spark, sf, "benchmark"), "item_id").select("item_id", F.size("gs").alias("n"), F.explode_outer("gs").alias("g")).where("g is not null")
     rows = _six(table(spark, sf, "documents"), "doc_id").select("doc_id", F.explode_outer("gs").alias("g")).where("g is not null")
+    items = store.written(items)
+    # a benchmark's shingles are sent to the documents where they are few enough for that
+    items = F.broadcast(items) if items.count() <= SENT_SHINGLES else items
     hits = rows.join(items, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")).where("shared * 2 >= n")
     return hits.select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))

@@ -37,10 +37,17 @@ def signature(files_: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, text of every line, numbered from 1 within its file."""
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    rows = whole.select("path", F.posexplode_outer(F.split("value", "\n")).alias("at", "text"))
-    return rows.select("path", (F.col("at") + 1).alias("line_no"), F.regexp_replace("text", "\r$", "").alias("text"))
+    """path, line_no, text of every line, numbered from 1 within its file.
+
+    Files are read in splits; the lines of a split are counted, and its numbers begin after
+    those of the splits before it, so that a file of any size is many tasks.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    rows = store.written(read)
+    counts = rows.groupBy(F.col("path").alias("_path"), F.col("start").alias("_start")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_path").orderBy("_start")) - F.col("n")  # a row for each split
+    placed = rows.join(counts.withColumn("before", before), (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")))
+    return placed.select("path", (F.col("id") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, required: str | None = None) -> DataFrame:

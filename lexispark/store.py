@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_FOLDERS: dict[str, list[str]] = {}
 _MADE: dict[tuple, object] = {}
 
 
@@ -21,7 +22,21 @@ def folder(spark: SparkSession) -> str:
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="lexispark-"))
         base = _LOCAL[0]
-    return f"{base.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lexispark-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the folders that this application has made so far; how many were there. For when its results have been written elsewhere."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    for path in _FOLDERS.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(conf).delete(at, True))
+    for key in [k for k in _MADE if k[0] == spark.sparkContext.applicationId]:
+        del _MADE[key]
+    return gone
 
 
 def written(df):
@@ -39,6 +54,11 @@ def state(spark: SparkSession, path: str) -> str:
     return f"{row['n']}:{row['x']}"
 
 
+def mark() -> str:
+    """A name that no other writer has."""
+    return uuid.uuid4().hex
+
+
 def once(spark: SparkSession, name: str, source: str, make):
     """What make(folder) wrote for this application, name and source in its present state; made once."""
     key = (spark.sparkContext.applicationId, name, source, state(spark, source))

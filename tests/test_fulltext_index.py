@@ -5,6 +5,7 @@ import re
 
 import pytest
 from lexispark import store
+from lexispark.commits import ConcurrentUpdate
 from lexispark.operators import fulltext, impacts, segments, stems, trigrams
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_two_writers_and_repeated_batches(spark):
     head = a.head()
     b.head = lambda: head  # b has read the index before a's next update
     a.update(spark.createDataFrame([(2, "x")], SCHEMA))
-    with pytest.raises(segments.ConcurrentUpdate):
+    with pytest.raises(ConcurrentUpdate):
         b.update(spark.createDataFrame([(3, "x")], SCHEMA))
     assert a.update(spark.createDataFrame([(9, "x")], SCHEMA), batch=0) == 2
     assert sorted(r.doc_id for r in a.documents().collect()) == [1, 2]
