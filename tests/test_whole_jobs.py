@@ -3,7 +3,7 @@ import collections
 import duckdb
 from lexispark.operators import fulltext
 from lexispark.operators import relational as rel
-from lexispark.plans import store_queries, text_queries
+from lexispark.plans import lookup_queries, store_queries, text_queries
 from lexispark.plans.registry import SQL
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,15 @@ def test_postings_hold_every_term_and_position(spark):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = db.execute(SQL["fts_postings"]).fetchall()
     assert sorted(tuple(r) for r in text_queries.fts_postings(spark, SF).collect()) == sorted(want)
+
+
+def test_every_document_is_a_cross_reference(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    words = {r.doc_id: r.text.split("\n")[0].split(" ") for r in docs if r.text is not None}
+    terms = {d: " ".join(w[2:5]).strip().lower() for d, w in words.items() if len(w) > 8}
+    texts = {r.doc_id: r.text.lower() for r in docs if r.text is not None}
+    got = {r.place: r.what for r in lookup_queries.cross_references(spark, SF).collect()}
+    # a term that its target has no trace of is reported, from whatever document it comes
+    lost = {str(d) for d, t in terms.items() if t and d % 200 and t[:-3] not in texts.get(d + 1, "")}
+    assert len(lost) > 50 and lost <= set(got)
+    assert all(str(d) in got[str(d)].rsplit(": ", 1)[1].split(", ") for d in terms if str(d) in got)
