@@ -3,7 +3,7 @@ import collections
 import duckdb
 from lexispark.operators import fulltext
 from lexispark.operators import relational as rel
-from lexispark.plans import lookup_queries, store_queries, text_queries
+from lexispark.plans import lookup_queries, shelf_queries, store_queries, text_queries
 from lexispark.plans.registry import SQL
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,20 @@ def test_every_document_is_a_cross_reference(spark):
     lost = {str(d) for d, t in terms.items() if t and d % 200 and t[:-3] not in texts.get(d + 1, "")}
     assert len(lost) > 50 and lost <= set(got)
     assert all(str(d) in got[str(d)].rsplit(": ", 1)[1].split(", ") for d in terms if str(d) in got)
+
+
+def test_every_order_is_a_reference(spark):
+    orders, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("orders", "lineitem"))
+    places, chapters = collections.defaultdict(list), collections.defaultdict(list)
+    for r in items:
+        at, seq = (r.l_orderkey % 50, r.l_suppkey % 12), r.l_orderkey * 10 + r.l_linenumber
+        places[*at, r.l_linenumber].append(seq)
+        chapters[at].append(seq)
+    per_work = collections.Counter(work for work, _ in chapters)
+    want = []
+    for r in orders:
+        at = (r.o_orderkey % 55, r.o_custkey % 14)
+        exact, whole = places.get((*at, r.o_orderkey % 9)), chapters.get(at)
+        want += [(r.o_orderkey, 0 if exact else 1, s, -1) for s in exact or whole or []] or [(r.o_orderkey, 2, -1, per_work[at[0]])]
+    got = [(r.ref_id, r.tier, -1 if r.seq is None else r.seq, -1 if r.chapters is None else r.chapters) for r in shelf_queries.passage_fallbacks(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and {r[0] for r in got} == {r.o_orderkey for r in orders}
