@@ -7,8 +7,11 @@ logistic loss on feature differences. The threshold is a quantile of the scores
 validation part, on which nothing is fitted: a given one, or that at which the marks of
 the validation part are best told apart. Scores are scaled so that it lies at `CUT`.
 
-Only a bounded sample of labelled rows (`SAMPLE_ROWS`, in the order of a hash of the
-id) is fitted; every document is scored.
+Every labelled row is fitted or validates, and every pair counts: a row's pull is that of
+all rows of the other mark, by a histogram of their scores (a score's mass is shared by
+its two nearest of `BINS` points). The rows' features are written once; a step of L-BFGS
+is a pass for the histogram and one for the gradient. Sums are of whole numbers, so that
+a model does not depend on partitions. Validation scores are told apart to 1 / `FINE`.
 
 Defined results: null and empty texts have all features 0 and no words, and get the
 score of the good documents' mean; repeated rows score alike; labels without a document, and null labels, are
@@ -19,6 +22,8 @@ by `score` inside its row column, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +31,13 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
 from lexispark.llm.arrowmap import annotate, over_texts
+from lexispark.llm.scratch import materialize
 
 CUT = 0.3
-SAMPLE_ROWS = 6000
-PAIRS = 30_000
-STEPS, RATE, RIDGE = 300, 0.5, 1e-3
+STEPS, RIDGE, MEMORY = 40, 1e-3, 10
+#: Points of the histogram of scores, and how many lie in a unit; those of the validation part.
+BINS, PER_UNIT, FINE = 8192, 64, 512
+UNIT = 1 << 24
 HELD_OUT_OF = 5
 VALIDATE_OF = 5
 SHRINK_WORDS = 5.0
@@ -89,32 +96,178 @@ def centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return (x - centre) * (words / (words + SHRINK_WORDS))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, quantile: float | None = None, seed: int = 7) -> dict:
-    """Weights, centre, scale, threshold, its quantile and slope from features of good and bad documents."""
-    both = np.concatenate([good, bad]) if len(good) or len(bad) else np.zeros((1, WIDTH), np.float32)
-    centre, spread = (good if len(good) else both).mean(0), both.std(0) + 0.05
-    if not len(good) or not len(bad):
+def fit(good: np.ndarray, bad: np.ndarray, quantile: float | None = None) -> dict:
+    """`learn` from arrays of features of good and bad documents; every VALIDATE_OF-th row of either is for the threshold."""
+    x = np.concatenate([good, bad]).reshape(-1, WIDTH)
+    label = np.repeat([1, 0], [len(good), len(bad)])
+    aside = np.concatenate([np.arange(len(p)) % VALIDATE_OF == 0 for p in (good, bad)])
+    model = learn(lambda sums: _added([sums(x, label, aside)]), quantile)
+    if len(good) and len(bad):
+        check = [p[::VALIDATE_OF] if len(p) >= 2 * VALIDATE_OF else p for p in (good, bad)]
+        scores = np.concatenate([centred(p, model["centre"]) @ model["weights"] for p in check])
+        q = best_quantile(scores, np.repeat([1, 0], [len(p) for p in check])) if quantile is None else quantile
+        model |= {"cut": float(np.quantile(scores, q)), "quantile": q}
+    return model
+
+
+def learn(total: Callable, quantile: float | None = None) -> dict:
+    """Weights, centre, scale, threshold, its quantile and slope.
+
+    total(sums) adds sums(features, labels, whether aside for the threshold) -> (keys, whole
+    numbers) by key over all labelled rows, into a dict.
+    """
+
+    def moments(x, label, aside):
+        x = x.astype(np.float64)
+        parts = [(label == m) & (aside == a) for m in (0, 1) for a in (0, 1)]
+        rows = [np.concatenate(([k.sum()], np.rint(x[k] * UNIT).sum(0), np.rint(x[k] ** 2 * UNIT).sum(0))) for k in parts]
+        return np.arange(4 * (2 * WIDTH + 1)), np.concatenate(rows).astype(np.int64)
+
+    got = _dense(total(moments), 4 * (2 * WIDTH + 1)).reshape(2, 2, 2 * WIDTH + 1)
+    n = got[:, :, 0]
+    many = n.sum(1)
+    sums = got[:, :, 1:].sum(1) / UNIT
+    both = sums.sum(0) / max(1, many.sum())
+    mean, square = both[:WIDTH], both[WIDTH:]
+    centre, spread = (sums[1, :WIDTH] / many[1] if many[1] else mean), np.sqrt(np.maximum(square - mean**2, 0)) + 0.05
+    if not many.all():
         return {"centre": centre, "weights": np.zeros(WIDTH), "cut": 0.0, "quantile": quantile or 0.0, "slope": 1.0}
-    rnd = np.random.default_rng(seed)
-    g, b = centred(good, centre) / spread, centred(bad, centre) / spread
-    # every VALIDATE_OF-th row of either mark is for the threshold alone, where there are enough
-    aside = [np.arange(len(x)) % VALIDATE_OF == 0 if len(x) >= 2 * VALIDATE_OF else np.ones(len(x), bool) for x in (g, b)]
-    check = [x[a] for x, a in zip((g, b), aside, strict=True)]
-    g, b = (x if a.all() else x[~a] for x, a in zip((g, b), aside, strict=True))
-    i, j = rnd.integers(0, len(g), PAIRS), rnd.integers(0, len(b), PAIRS)
-    w = np.zeros(WIDTH)
-    speed = np.zeros(WIDTH)
-    for _ in range(STEPS):  # sum over pairs of log(1 + exp(-(w.g_i - w.b_j))), gathered by document
-        gs, bs = g @ w, b @ w
-        pull = 1 / (1 + np.exp(np.clip(gs[i] - bs[j], -30, 30)))
-        grad = (g.T @ np.bincount(i, pull, len(g)) - b.T @ np.bincount(j, pull, len(b))) / PAIRS - RIDGE * w
-        speed = 0.9 * speed + grad
-        w += RATE / 10 * speed
-    scores = np.concatenate([x @ w for x in check])
-    if quantile is None:
-        quantile = best_quantile(scores, np.repeat([1, 0], [len(x) for x in check]))
-    slope = 4.0 / max(1e-6, np.median(g @ w) - np.median(b @ w))
-    return {"centre": centre, "weights": w / spread, "cut": float(np.quantile(scores, quantile)), "quantile": quantile, "slope": float(slope)}
+    # a mark of too few rows has them both fitted and for the threshold
+    parted = (many >= 2 * VALIDATE_OF) & n.all(1)
+    fitted = np.where(parted, n[:, 0], many)
+
+    def scores(w, x, label, aside, validate=False):
+        own = np.where(parted[label], aside == validate, True)
+        x, label = centred(x[own], centre) / spread, label[own]
+        return x, label, (x * w).sum(1)  # row by row, whatever rows stand beside it
+
+    def places(s):
+        return np.clip((s + BINS / PER_UNIT / 2) * PER_UNIT, 0, BINS - 1.001)
+
+    def histogram(w):
+        def sums(x, label, aside):
+            _, label, s = scores(w, x, label, aside)
+            at = places(s)
+            low = at.astype(np.int64)
+            upper = np.rint((at - low) * UNIT).astype(np.int64)
+            key = label * BINS + low
+            return np.concatenate((key, key + 1)), np.concatenate((UNIT - upper, upper))
+
+        return _dense(total(sums), 2 * BINS).reshape(2, BINS) / (fitted[:, None] * UNIT)
+
+    apart = np.arange(1 - BINS, BINS) / PER_UNIT
+    share = 1 / (1 + np.exp(-apart))
+
+    def over(h, k):
+        """At every point the sum of k(point - point of h) over h."""
+        return np.fft.irfft(np.fft.rfft(h, 4 * BINS) * np.fft.rfft(k, 4 * BINS), 4 * BINS)[BINS - 1 : 2 * BINS - 1]
+
+    def loss(w):
+        """Mean over pairs of log(1 + exp(bad's score - good's)), and both histograms."""
+        h = histogram(w)
+        return float(h[0] @ over(h[1], np.logaddexp(0, apart))) + RIDGE / 2 * float(w @ w), h
+
+    def gradient(w, h):
+        # the mean pull on a bad row by all good ones, and on a good row by all bad ones, by score
+        pulls = over(h[1], share), -over(h[0], share[::-1])
+
+        def sums(x, label, aside):
+            x, label, s = scores(w, x, label, aside)
+            at = places(s)
+            low = at.astype(np.int64)
+            out = []
+            for m in (0, 1):
+                k = label == m
+                pull = pulls[m][low[k]] * (1 - (at - low)[k]) + pulls[m][low[k] + 1] * (at - low)[k]
+                out.append(np.rint(x[k] * pull[:, None] * UNIT).sum(0))
+            return np.arange(2 * WIDTH), np.concatenate(out).astype(np.int64)
+
+        g = _dense(total(sums), 2 * WIDTH).reshape(2, WIDTH) / UNIT
+        return (g / fitted[:, None]).sum(0) + RIDGE * w
+
+    w = descend(loss, gradient, np.zeros(WIDTH))
+    span = BINS // PER_UNIT * FINE
+
+    def fine(x, label, aside):
+        keys = []
+        for validate in (False, True):
+            _, m, s = scores(w, x, label, aside, validate)
+            keys.append((2 * validate + m) * span + np.clip(np.rint((s + BINS / PER_UNIT / 2) * FINE), 0, span - 1).astype(np.int64))
+        return np.concatenate(keys), np.ones(sum(map(len, keys)), np.int64)
+
+    got = _dense(total(fine), 4 * span).reshape(2, 2, span)
+    point = np.arange(span) / FINE - BINS / PER_UNIT / 2
+    middle = [point[np.searchsorted(np.cumsum(h), h.sum() / 2)] for h in got[0]]
+    cut, quantile = _best_cut(point, *got[1]) if quantile is None else (_quantile(point, got[1].sum(0), quantile), quantile)
+    return {"centre": centre, "weights": w / spread, "cut": float(cut), "quantile": float(quantile), "slope": float(4.0 / max(1e-6, middle[1] - middle[0]))}
+
+
+def descend(loss: Callable, gradient: Callable, w: np.ndarray) -> np.ndarray:
+    """L-BFGS with steps halved until they lower the loss enough. loss(w) -> (value, what gradient(w, it) needs)."""
+    value, seen = loss(w)
+    g = gradient(w, seen)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        d, back = -g, []
+        for s, y in reversed(past):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        else:
+            d = d / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step, slope = 1.0, float(g @ d)
+        while step > 1e-3:
+            new, seen = loss(w + step * d)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        fresh = gradient(w + step * d, seen)
+        if (step * d) @ (fresh - g) > 1e-12:
+            past = [*past[1 - MEMORY :], (step * d, fresh - g)]
+        gain, w, g, value = value - new, w + step * d, fresh, new
+        if gain < 1e-4 * value:
+            break
+    return w
+
+
+def _added(parts) -> dict:
+    out: dict = {}
+    for keys, values in parts:
+        at, inverse = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(at), np.int64)
+        np.add.at(sums, inverse, values)
+        for k, v in zip(at.tolist(), sums.tolist(), strict=True):
+            out[k] = out.get(k, 0) + v
+    return out
+
+
+def _dense(sums: dict, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    out[list(sums)] = list(sums.values())
+    return out
+
+
+def _quantile(point: np.ndarray, n: np.ndarray, quantile: float) -> float:
+    """np.quantile of points that occur n times."""
+    upto, at = np.cumsum(n), quantile * (n.sum() - 1)
+    low, high = (point[np.searchsorted(upto, k, side="right")] for k in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def _best_cut(point: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """The cut that `best_quantile` has for points that occur bad and good times, and its quantile."""
+    some = np.flatnonzero(good + bad)
+    point, bad, good = point[some], bad[some], good[some]
+    wrong = np.concatenate(([0], np.cumsum(good))) / max(1, good.sum()) + 1 - np.concatenate(([0], np.cumsum(bad))) / max(1, bad.sum())
+    best = np.flatnonzero(wrong == wrong.min())
+    k = best[len(best) // 2]
+    cut = (point[max(0, k - 1)] + point[min(k, len(point) - 1)]) / 2
+    return cut, (good + bad)[:k].sum() / (good + bad).sum()
 
 
 def best_quantile(scores: np.ndarray, marks: np.ndarray) -> float:
@@ -138,26 +291,34 @@ def held_out(doc_id, of: int = HELD_OUT_OF):
     return F.crc32(doc_id.cast("string").cast("binary")) % of == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, quantile: float | None = None) -> dict:
-    """A model from labelled rows outside the held-out part."""
-    pick = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-        .where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-        .groupBy("id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    )
-    # sample_rows rows of two numbers: small enough to send to every task
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
-    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one row of each id
-    rows = rows.select(F.concat_ws(" ", "id", "label").alias("tag"), "text")
-
-    def emit(tags, texts):
-        x = features(texts)
-        return {"tag": tags, "x": [r.tobytes() for r in x]}
-
-    got = sorted((r.tag, bytes(r.x)) for r in over_texts(rows, "tag", "text", "tag string, x binary", emit).collect())
-    parts = {m: np.array([np.frombuffer(x, np.float32) for t, x in got if t.split(" ")[1] == m], np.float32).reshape(-1, WIDTH) for m in "10"}
-    return fit(parts["1"].astype(np.float64), parts["0"].astype(np.float64), quantile)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", quantile: float | None = None) -> dict:
+    """A model from all labelled rows outside the held-out part."""
+    learned = F.col("id").isNotNull() & ~held_out(F.col("id"))
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & learned)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learned)
+
+    def emit(ids, texts):
+        return {"id": ids, "x": [r.tobytes() for r in features(texts)]}
+
+    made = over_texts(rows, "id", "text", f"id {rows.schema['id'].dataType.simpleString()}, x binary", emit)
+    # features meet labels, not texts; one row of each id
+    both = made.withColumn("label", F.lit(None).cast("int")).unionByName(marked.select("id", F.col("label").cast("int").alias("label"), F.lit(None).cast("binary").alias("x")))
+    one = both.groupBy("id").agg(F.max("label").alias("label"), F.min("x").alias("x")).where("label is not null and x is not null")
+    aside = F.pmod(F.xxhash64("id"), F.lit(VALIDATE_OF)) == 0
+    table = materialize(one.select("x", "label", aside.alias("aside")))
+
+    def total(sums):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x = tv.text_bytes(batch.column(0))[0].view(np.float32).reshape(-1, WIDTH)
+                    got = _added([sums(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False))])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], ["key", "value"])
+
+        got = table.mapInArrow(run, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value")).collect()
+        return {r.key: r.value for r in got}
+
+    return learn(total, quantile)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -78,3 +78,36 @@ def test_hostile_columns_and_ties(spark):
     model = q.train(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     out = q.score(d, model).select("row.doc_id", "row.score", "result.score").collect()
     assert len(out) == 3 and out[0][2] == out[1][2]
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    n = 9000
+    text = F.concat(F.lit("w "), F.repeat(F.when(F.col("doc_id") % 3 == 0, "Zq! ").otherwise("ab "), (F.col("doc_id") % 11 + 1).cast("int")), F.col("doc_id").cast("string"))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    m = q.train(docs.repartition(7), labels)
+    good = [r.text for r in docs.collect() if r.doc_id % 3 and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert np.abs(m["centre"] - q.features(pa.array(good)).astype(np.float64).mean(0)).max() < 1e-6
+    again = q.train(docs.coalesce(1), labels)  # whatever the partitions
+    assert all(np.array_equal(m[k], again[k]) for k in m)
+
+
+def test_all_pairs_pull():
+    rnd = np.random.default_rng(5)
+    good, bad = rnd.normal(0.3, 1, (60, q.WIDTH)), rnd.normal(0, 1, (30, q.WIDTH))
+    good[:, -5] = bad[:, -5] = 3
+    m = q.fit(good, bad)
+    spread = np.concatenate([good, bad]).std(0) + 0.05
+    g, b = (np.delete(q.centred(x, m["centre"]) / spread, np.s_[:: q.VALIDATE_OF], 0) for x in (good, bad))
+    slope = lambda w: ((b[None] - g[:, None]) / (1 + np.exp(g @ w)[:, None, None] / np.exp(b @ w)[None, :, None])).mean((0, 1)) + q.RIDGE * w
+    assert np.linalg.norm(slope(m["weights"] * spread)) < 0.02 * np.linalg.norm(slope(np.zeros(q.WIDTH)))
+
+
+def test_cuts_from_counts():
+    rnd = np.random.default_rng(2)
+    point, bad, good = np.arange(40) / 4, rnd.integers(0, 4, 40), rnd.integers(0, 4, 40) * (np.arange(40) > 9)
+    scores, marks = np.concatenate([np.repeat(point, bad), np.repeat(point, good)]), np.repeat([0, 1], [bad.sum(), good.sum()])
+    assert np.isclose(q._quantile(point, bad + good, 0.37), np.quantile(scores, 0.37))
+    lost = lambda cut: (scores[marks == 1] < cut).mean() + (scores[marks == 0] >= cut).mean()
+    cut, share = q._best_cut(point, bad, good)
+    assert np.isclose(lost(cut), min(lost(c) for c in [*point, 11])) and np.isclose(share, (scores < cut).mean())
