@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from lexispark.llm import secrets as s
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -104,3 +105,35 @@ def test_long_candidates_are_scored_whole_in_slices(monkeypatch):
 def test_looked_up_logits_equal_the_network():
     net, x = s.CharCnn(), np.random.default_rng(2).integers(0, 129, (300, s.WIDTH)).astype(np.uint8)
     assert np.allclose(net.logits(x), net._forward(x)[-1], atol=1e-4)
+
+
+def test_every_window_of_every_document_is_learned_from(spark):
+    n = 4500
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"ordinary{c}"), F.col("doc_id").cast("string")) for c in "abcdefgh"])
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", words).union(spark.createDataFrame([(None, "password=abcdefgh12 " + "longword" * 80)], "doc_id long, text string"))
+    y, part, _ = s.marked(pa.array([r.text for r in docs.collect()]))
+    assert len(y) == 8 * n + 17 and y.sum() == 1
+    model = s.train(docs, each=60)
+    assert model.learned == (part > 1).sum()
+    assert sum(len(r.spans) for r in s.scan(docs.limit(200), model).select("result.spans").collect()) < 20  # ordinary words are learned as such
+
+
+def test_thresholds_by_weight():
+    found = np.random.default_rng(4).random(400)
+    one, many = s.CharCnn(), s.CharCnn()
+    one._limit(np.repeat(found, 3))
+    many._limit(found, np.full(400, 3.0))
+    assert one.threshold == many.threshold and (found >= one.threshold).mean() >= s.RECALL
+    y, logit = (found > 0.4).astype(float), found * 4 - 2
+    one._calibrate(np.repeat(logit, 2), np.repeat(y, 2))
+    many._calibrate(logit, y, np.full(400, 2.0))
+    assert np.allclose(one.calibration, many.calibration)
+
+
+def test_windows_that_end_early_are_looked_up_alike():
+    x, _ = s.surrounded(150, True, 6)
+    x[0], x[1, 5:], x[2, 70:] = 0, 0, 0
+    net = s.CharCnn(4)
+    net.p["b"] += 0.3
+    assert np.allclose(net.logits(x), net._forward(x)[-1], atol=1e-4)
+    assert np.array_equal(net.logits(x)[7:9], net.logits(x[7:9]))
