@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,26 @@ from pyspark.sql import types as T
 from lexispark.llm import textvec as tv
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def freeing(run: Callable) -> Callable:
+    """run, after each partition of which freed memory goes back: a worker is kept for later tasks, beside others and the JVM."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return freed
+
+
 def annotate(df: DataFrame, text_col: str, fields: str, compute: Callable) -> DataFrame:
     """Columns row (struct of all columns of df, whatever their names) and result.
 
@@ -36,7 +57,7 @@ def annotate(df: DataFrame, text_col: str, fields: str, compute: Callable) -> Da
                 arrays = [pa.array(a, k) if not isinstance(a, pa.Array) else a.cast(k) for a, k in zip(compute(text, ok), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.StructArray.from_arrays(arrays, names)], ["row", "result"])
 
-    return df.select(F.struct("*").alias("row")).mapInArrow(run, schema)
+    return df.select(F.struct("*").alias("row")).mapInArrow(freeing(run), schema)
 
 
 def over_texts(df: DataFrame, id_col: str, text_col: str, schema: str, emit: Callable) -> DataFrame:
@@ -53,4 +74,4 @@ def over_texts(df: DataFrame, id_col: str, text_col: str, schema: str, emit: Cal
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(freeing(run), out)

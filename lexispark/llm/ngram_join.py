@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
-from lexispark.llm.arrowmap import over_texts
+from lexispark.llm.arrowmap import freeing, over_texts
 from lexispark.llm.components import components
 from lexispark.llm.scratch import materialize, shuffle_width
 
@@ -51,6 +51,7 @@ FRAGMENTS, OFFSET_BITS = 8, 40
 #: (of a count with the bins' mean) above the mean, and one more for each doubling of that excess, LEVELS at most.
 BIN_BITS, MOST_BIN_BITS, BIN_FILL, PIECE_BITS, FREQUENT, LEVELS = 20, 24, 9, 14, 3, 12
 FOLD_BITS, SMALL_FOLD_BITS = 2048, 512
+_FOLDED = 512  # rows that are folded at once
 #: Sets over LONG shingles have a longer prefix, so that similar ones share more of it: one shingle more for each STEP.
 LONG, STEP = 512, 16
 #: Groups of up to this many are compared side by side.
@@ -126,7 +127,7 @@ def bin_levels(texts: DataFrame, bits: int = BIN_BITS) -> np.ndarray:
                 level = np.minimum(LEVELS, 1 + np.log2(over[many]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(many + (k << PIECE_BITS)), pa.array(level)], ["bin", "level"])
 
-    counts = texts.mapInArrow(count, "piece bigint, counts binary")
+    counts = texts.mapInArrow(freeing(count), "piece bigint, counts binary")
     many = counts.repartition(1 << (bits - PIECE_BITS), "piece").mapInArrow(add, "bin bigint, level bigint")
     out = np.zeros(1 << bits, np.uint8)
     for r in many.collect():  # bins, not shingles: a fixed number at most
@@ -238,8 +239,13 @@ def _segment_rows(levels: np.ndarray):
 
 def _folds(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """FOLD_BITS bits per row: each shingle flips one, so two rows differ in no more bits than their sets in shingles."""
-    flips = np.bincount(row * FOLD_BITS + (tv.mix(h) % np.uint64(FOLD_BITS)).astype(np.int64), minlength=n * FOLD_BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(n, FOLD_BITS), axis=1)
+    out = np.zeros((n, FOLD_BITS // 8), np.uint8)
+    for lo in range(0, n, _FOLDED):
+        hi = min(n, lo + _FOLDED)
+        a, b = np.searchsorted(row, (lo, hi))
+        flips = np.bincount((row[a:b] - lo) * FOLD_BITS + (tv.mix(h[a:b]) % np.uint64(FOLD_BITS)).astype(np.int64), minlength=(hi - lo) * FOLD_BITS)
+        out[lo:hi] = np.packbits((flips & 1).astype(np.uint8).reshape(hi - lo, FOLD_BITS), axis=1)
+    return out
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -267,7 +273,7 @@ def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     right = nodes.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("fold").alias("fold_b"))
     enough = F.col("n") >= _least_shared(F.least("size_a", "size_b"))
     sized = pairs.join(left.drop("fold_a"), "a").join(right.drop("fold_b"), "b").where(enough).select("a", "b")
-    return sized.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "fold_a", "fold_b").mapInArrow(_prune, "a bigint, b bigint")
+    return sized.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "fold_a", "fold_b").mapInArrow(freeing(_prune), "a bigint, b bigint")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +303,7 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     right = segments.select(F.col("doc").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("segment_b"))
     # a is the side with one pair or few; b may be the leader of many
     joined = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    parts = joined.select("a", "b", "size_a", "size_b", "segment_a", "segment_b").mapInArrow(_partial, "a bigint, b bigint, size_a bigint, size_b bigint, overlap bigint")
+    parts = joined.select("a", "b", "size_a", "size_b", "segment_a", "segment_b").mapInArrow(freeing(_partial), "a bigint, b bigint, size_a bigint, size_b bigint, overlap bigint")
     return parts.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
 
 
@@ -395,7 +401,7 @@ def _open_pairs(named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     rows = rows.select("h", "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc", "component")
     full = rows.join(nodes.select("doc", "size", F.col("small_fold").alias("fold")), "doc").select(*_GROUP, "blk", "doc", "component", "size", "fold")
     dealt = full.repartition(width, *_GROUP).sortWithinPartitions(*_GROUP)
-    shared = dealt.mapInArrow(_bucket_pairs, "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    shared = dealt.mapInArrow(freeing(_bucket_pairs), "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return prune(shared, nodes)
 
 

@@ -357,9 +357,10 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def worker_encoder(path: str) -> PieceEncoder:
+def worker_encoder(path: str, kept_bytes: int = KEPT_BYTES) -> PieceEncoder:
     """The encoder that this worker process keeps from task to task."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = PieceEncoder(path)
+    _ENCODERS[path].kept_bytes = kept_bytes
     return _ENCODERS[path]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import textvec as tv
-from lexispark.llm.arrowmap import annotate, over_texts
+from lexispark.llm.arrowmap import annotate, freeing, over_texts
 from lexispark.llm.scratch import materialize
 
 CUT = 0.3
@@ -38,6 +38,7 @@ STEPS, RIDGE, MEMORY = 40, 1e-3, 10
 #: Points of the histogram of scores, and how many lie in a unit; those of the validation part.
 BINS, PER_UNIT, FINE = 8192, 64, 512
 UNIT = 1 << 24
+AT_ONCE = 2048  # rows whose numbers are held at once
 HELD_OUT_OF = 5
 VALIDATE_OF = 5
 SHRINK_WORDS = 5.0
@@ -246,6 +247,13 @@ def _added(parts) -> dict:
     return out
 
 
+def _parts(batch: pa.RecordBatch):
+    """Features, labels and places of at most AT_ONCE rows."""
+    for i in range(0, batch.num_rows, AT_ONCE):
+        part = batch.slice(i, AT_ONCE)
+        yield tv.text_bytes(part.column(0))[0].view(np.float32).reshape(-1, WIDTH), part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+
+
 def _dense(sums: dict, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
     out[list(sums)] = list(sums.values())
@@ -311,11 +319,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    x = tv.text_bytes(batch.column(0))[0].view(np.float32).reshape(-1, WIDTH)
-                    got = _added([sums(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False))])
+                    got = _added(sums(*part) for part in _parts(batch))
                     yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], ["key", "value"])
 
-        got = table.mapInArrow(run, "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value")).collect()
+        got = table.mapInArrow(freeing(run), "key bigint, value bigint").groupBy("key").agg(F.sum("value").alias("value")).collect()
         return {r.key: r.value for r in got}
 
     return learn(total, quantile)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import idcoder, pieces
 from lexispark.llm import textvec as tv
+from lexispark.llm.arrowmap import freeing
 from lexispark.llm.scratch import scratch_dir, shuffle_width
 
 END_ID = 0
@@ -51,14 +52,14 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encode_partition(path: str, block: int, lanes: int):
+def _encode_partition(path: str, block: int, lanes: int, kept_bytes: int):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(SEGMENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.worker_encoder(path)
+        encoder = pieces.worker_encoder(path, kept_bytes)
         part = TaskContext.get().partitionId()
         segment, room = 0, block * lanes
         ids, tokens, docs, named = [], [], [], []
@@ -99,14 +100,14 @@ def _encode_partition(path: str, block: int, lanes: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = idcoder.BLOCK, lanes: int = idcoder.LANES, by_id: bool = True) -> None:
+def write_tokens(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block: int = idcoder.BLOCK, lanes: int = idcoder.LANES, by_id: bool = True, kept_bytes: int = pieces.KEPT_BYTES) -> None:
     """Write the files, in ascending order of id, or (by_id=False) in the order of docs' partitions and rows."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     if by_id:
         # an id on very many rows is dealt on by text, and by where a row comes from
         order = ["id", F.xxhash64("text"), "origin"]
         rows = rows.withColumn("origin", F.spark_partition_id()).repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
-    rows.select("id", "text").mapInArrow(_encode_partition(vocabulary, block, lanes), SEGMENT).write.parquet(out)
+    rows.select("id", "text").mapInArrow(freeing(_encode_partition(vocabulary, block, lanes, kept_bytes)), SEGMENT).write.parquet(out)
 
 
 def _segment_of(batch: pa.RecordBatch, i: int) -> dict:
@@ -137,7 +138,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    docs = segments.mapInArrow(run, "part int, segment int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    docs = segments.mapInArrow(freeing(run), "part int, segment int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
     sizes = segments.select("part", "segment", "n_tokens")
     # one row per partition that was written, not per document or segment
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
