@@ -117,6 +117,11 @@ class _Frequencies:
         self.context = context
 
 
+def _order2(last: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Place in a lane's order-2 table of the last two ids."""
+    return (last * _ODD ^ back * np.int64(0x85EBCA6B)) >> 20 & ((1 << _T2) - 1)
+
+
 class _Model:
     """Order-2 predictions, and counts of outcomes in 16-bit fields of one number."""
 
@@ -133,9 +138,9 @@ class _Model:
         self.past = np.zeros(lanes, np.int64)
         self.n = 0
 
-    def predict(self, buckets: np.ndarray, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums of the outcomes' counts in 16-bit fields, and their total; buckets are four times those of order 1."""
-        self.i2 = self.base2 + ((self.last * _ODD ^ self.back * np.int64(0x85EBCA6B)) >> 20 & ((1 << _T2) - 1))
+    def predict(self, buckets: np.ndarray, fresh: bool, i2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the outcomes' counts in 16-bit fields, and their total; buckets are four times those of order 1, i2 the order-2 places if they are known."""
+        self.i2 = self.base2 + _order2(self.last, self.back) if i2 is None else i2
         self.p2 = self.t2.take(self.i2, mode="clip")
         known = (self.p2 & 3) + buckets
         self.ia = self.base_a + known
@@ -152,7 +157,11 @@ class _Model:
         self.a[self.ia] = self.ca + more
         self.b[self.ib] = self.cb + more
         # a right prediction is confident from then on; a wrong one loses that, or is replaced
-        self.t2[self.i2] = np.where(outcome == 0, self.p2 | 2, np.where(self.p2 & 2 > 0, self.p2 ^ 2, ids.astype(np.int32) << 2 | 1))
+        hit = np.equal(outcome, 0)
+        new = (ids << 2 | 1) + (hit << 1)
+        keep = np.greater(self.p2 & 2, hit << 1).nonzero()[0]
+        new[keep] = self.p2.take(keep, mode="clip") ^ 2
+        self.t2[self.i2] = new
         self.past = (self.past << 2 & 12) + outcome
         self.back = self.last
         self.last = ids
@@ -166,7 +175,7 @@ class _Model:
 
 def _shift(low: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lanes whose interval is under 2^32, and the upper half of their low: the interval is cut to one value of it and widened."""
-    out = np.flatnonzero(reach <= _LOW)
+    out = (reach <= _LOW).nonzero()[0]
     lo, re = low.take(out, mode="clip"), reach.take(out, mode="clip")
     word = lo >> _S32
     re = np.where(word == (lo + re - _ONE) >> _S32, re, (~lo & _LOW) + _ONE)
@@ -254,10 +263,14 @@ def encode(ids: np.ndarray, block: int = BLOCK, bits: int | None = None) -> dict
         for i in range(0, n, at_once):
             some = slice(i, min(n, i + at_once))
             buckets[:, some], outcomes[:, some], inners[:, some] = _fallbacks(seen, some, now[some], before[some], new, rank, len(kinds))
-        columns = np.ascontiguousarray(now.T)
+        columns = np.ascontiguousarray(now.T, dtype=np.int64)
+        # all ids are known here, and so where order 2 looks
+        behind = np.concatenate((model.back[None], model.last[None], columns))
+        places = _order2(behind[1:-1], behind[:-2]) + model.base2
+        del behind
         for t in range(end - start):
-            x = columns[t].astype(np.int64)
-            ends, total = model.predict(buckets[t], seen is None)
+            x = columns[t]
+            ends, total = model.predict(buckets[t], seen is None, places[t])
             hit = model.p2 >> 2 == x
             outcome = np.where(hit, 0, outcomes[t].astype(np.int64))
             inner = np.where(hit, _CERTAIN, inners[t])
@@ -341,10 +354,10 @@ def decode(segment: dict) -> np.ndarray:
                 x = np.where(outcome > 0, run >> 28, x)
                 lower = np.where(first, (run >> 14 & _SIZE) - into, run >> 14 & _SIZE)
                 width = run & _SIZE
-                sure = np.flatnonzero(outcome == 0)
+                sure = (outcome == 0).nonzero()[0]
                 lower[sure] = 0
                 width[sure] = 1
-            new = np.flatnonzero(outcome == 3)
+            new = (outcome == 3).nonzero()[0]
             if len(new):
                 which = of_part.take(value[new], mode="clip")
                 x[new] = kinds.take(which, mode="clip")

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexispark.llm import arrowmap, ngram_join, quality
+from lexispark.llm import arrowmap, ngram_join, quality, token_output
 
 
 def _peak(work):
@@ -63,3 +63,14 @@ def test_freed_memory_goes_back():
     batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
     assert len(list(arrowmap.freeing(run)(iter([batch])))) == 1
     assert held() - before < 40
+
+
+def test_segments_hold_many_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        token_output.write_tokens(docs, str(tmp_path / "t"), token_output.vocabulary_path())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() <= 4
