@@ -27,7 +27,8 @@ LANES = 2048
 MOST_BITS = 20
 MOST_BLOCK = 1 << 13
 _FIRST, _GROWTH = 64, 4  # ids in the first round, and how fast the rounds' ends grow
-_PART = 512  # positions whose intervals are held at once
+_STEPS = 32  # positions whose counts and intervals are held at once
+_LANES_AT_ONCE = 16  # lanes that are looked up at once
 _T2, _HASH = 10, 11  # bits of the order-2 table and of the order-1 contexts
 _HALVE = 128
 _LOW = np.uint64((1 << 32) - 1)
@@ -39,14 +40,19 @@ _ODD = np.int64(0x9E3779B1)
 _KNOWN = np.array([0xFFFF << (16 * j) for j in range(4)], np.uint64)
 _POSSIBLE = np.array([(_KNOWN[0] if conf else 0) | (_KNOWN[1] if bucket else 0) | _KNOWN[2] | _KNOWN[3] for bucket in range(12) for conf in range(4)], np.uint64)
 _FRESH = np.uint64(0xFFFF) << np.uint64(48)  # of a block's first round only the prior is possible, and order 2
-#: Fields of a run (size, begin, id) and of a context (entries, begin, bucket).
-_SIZE, _BEGIN, _RUN = (1 << 14) - 1, (1 << 13) - 1, (1 << 28) - 1
+#: Fields of a run (size, id, begin) and of a context (entries, begin, bucket).
+_SIZE, _BEGIN, _ID = (1 << 14) - 1, (1 << 13) - 1, (1 << MOST_BITS) - 1
 _CERTAIN = np.uint64((1 << 20) | (1 << 40))  # interval 0 to 1 of 1
+_TWENTY = np.uint64((1 << 20) - 1)
+#: Order-1 bucket by number of entries.
+_BUCKET = np.minimum(5, np.frexp(np.arange(17))[1]).astype(np.int8)
 
 
 def header(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur, and the exponents of their weights."""
-    counts = np.bincount(ids, minlength=1)
+    counts = np.zeros(1 + int(ids.max(initial=0)), np.int64)
+    for i in range(0, len(ids), 1 << 20):
+        counts += np.bincount(ids[i : i + (1 << 20)], minlength=len(counts))
     kinds = np.flatnonzero(counts)
     counts, shift = counts[kinds], 0
     while np.maximum(1, counts >> shift).sum() > _most_parts(bits):
@@ -71,11 +77,6 @@ def _rounds(size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in zip(ends, ends[1:])] if size else []
 
 
-def _parts(size: int) -> list[tuple[bool, int, int]]:
-    """The rounds in parts of at most _PART positions, and whether each begins a round: what a round has learnt is made once, its ids are looked up by part."""
-    return [(a == begin, a, min(end, a + _PART)) for begin, end in _rounds(size) for a in range(begin, end, _PART)]
-
-
 class _Sorted:
     """A sorted list per lane; for every entry of it, the id, and the begin and size of its run of equal entries."""
 
@@ -88,7 +89,7 @@ class _Sorted:
         self.heads = np.flatnonzero(new)
         self.sizes = np.diff(np.append(self.heads, keys.size))
         self.head_keys = keys.reshape(-1)[self.heads]
-        self.head_runs = (self.head_keys & np.uint32((1 << MOST_BITS) - 1)).astype(np.int64) << 28 | self.heads % self.size << 14 | self.sizes
+        self.head_runs = self.heads % self.size << 34 | (self.head_keys & np.uint32(_ID)).astype(np.int64) << 14 | self.sizes
 
     def runs(self) -> np.ndarray:
         return np.repeat(self.head_runs, self.sizes)
@@ -138,9 +139,9 @@ class _Model:
         self.past = np.zeros(lanes, np.int64)
         self.n = 0
 
-    def predict(self, buckets: np.ndarray, fresh: bool, i2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums of the outcomes' counts in 16-bit fields, and their total; buckets are four times those of order 1, i2 the order-2 places if they are known."""
-        self.i2 = self.base2 + _order2(self.last, self.back) if i2 is None else i2
+    def predict(self, buckets: np.ndarray, fresh: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the outcomes' counts in 16-bit fields, and their total; buckets are four times those of order 1."""
+        self.i2 = self.base2 + _order2(self.last, self.back)
         self.p2 = self.t2.take(self.i2, mode="clip")
         known = (self.p2 & 3) + buckets
         self.ia = self.base_a + known
@@ -158,13 +159,16 @@ class _Model:
         self.b[self.ib] = self.cb + more
         # a right prediction is confident from then on; a wrong one loses that, or is replaced
         hit = np.equal(outcome, 0)
-        new = (ids << 2 | 1) + (hit << 1)
-        keep = np.greater(self.p2 & 2, hit << 1).nonzero()[0]
-        new[keep] = self.p2.take(keep, mode="clip") ^ 2
+        new = ids << 2 | 1
+        new += hit.view(np.int8) << 1
+        np.copyto(new, self.p2 ^ 2, where=np.greater(self.p2 & 2, hit.view(np.int8) << 1))
         self.t2[self.i2] = new
         self.past = (self.past << 2 & 12) + outcome
         self.back = self.last
         self.last = ids
+        self._age()
+
+    def _age(self) -> None:
         self.n += 1
         if self.n % _HALVE == 0:  # old evidence counts half
             for t in (self.a, self.b):
@@ -172,6 +176,41 @@ class _Model:
                 t &= np.uint64(0x7FFF7FFF7FFF7FFF)
                 t += _FIELDS
 
+    def follow(self, ids: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ids by position and lane: whether order 2 names them, and what is known in both orders. As predict and update, where all ids are known."""
+        behind = np.concatenate((self.back[None], self.last[None], ids))
+        places = _order2(behind[1:-1], behind[:-2]) + self.base2
+        self.back, self.last = behind[-2], behind[-1]
+        once = (ids << 2 | 1).astype(np.int32)
+        said, hit = np.empty(ids.shape, np.int32), np.empty(ids.shape, bool)
+        for t in range(len(ids)):
+            at, new = places[t], once[t]
+            p2 = self.t2.take(at, out=said[t], mode="clip")
+            # they differ at most in the confidence: 1 or 3 against 1
+            right = np.equal(p2 | 2, new | 2, out=hit[t])
+            new += right.view(np.int8) << 1
+            np.copyto(new, p2 ^ 2, where=(p2 & 2 != 0) & ~right)
+            self.t2[at] = new
+        said &= 3
+        return hit, said + buckets
+
+    def count(self, known: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """The counts of the outcomes by position and lane, learnt from on the way."""
+        before = np.concatenate((self.past[None] >> 2, self.past[None] & 3, outcome))
+        at_a, at_b = known + self.base_a, (before[:-2] << 2 | before[1:-1]) + self.base_b
+        self.past = before[-2] << 2 | before[-1]
+        more = self.steps.take(outcome)
+        sums = np.empty(known.shape, np.uint64)
+        for t in range(len(known)):
+            ca, cb = self.a.take(at_a[t], mode="clip"), self.b.take(at_b[t], mode="clip")
+            np.add(ca, cb, out=sums[t])
+            ca += more[t]
+            cb += more[t]
+            self.a[at_a[t]] = ca
+            self.b[at_b[t]] = cb
+            self._age()
+        return sums
+
 
 def _shift(low: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lanes whose interval is under 2^32, and the upper half of their low: the interval is cut to one value of it and widened."""
@@ -188,40 +227,72 @@ def raw_bits(ids: np.ndarray) -> int:
     return max(1, int(ids.max()).bit_length() if len(ids) else 1)
 
 
-def _fallbacks(seen: _Frequencies | None, lanes: slice, now: np.ndarray, before: np.ndarray, new: np.ndarray, rank: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the ids of a round of some lanes, by position and lane: four times the order-1 bucket, the outcome if order 2 fails, its interval."""
-    ranks = rank[now]
-    inner = new[ranks]
-    outcome = np.full(now.shape, 3, np.int8)
-    buckets = np.zeros(now.shape, np.int8)
-    if seen is not None:
-        n, size = len(now), seen.size
-        every = np.arange(n)[:, None]
-        # order 0, by a table of lanes and ids
-        single = seen.singles
-        some = slice(*np.searchsorted(single.heads, (lanes.start * size, lanes.stop * size)))
-        table = np.zeros(n * kinds, np.int32)
-        table[(single.heads[some] // size - lanes.start) * kinds + rank[single.head_keys[some]]] = single.head_runs[some] & _RUN
-        run = table[every * kinds + ranks].astype(np.int64)
-        found = run > 0
-        inner[found] = (run >> 14 | (run & _SIZE) << 20 | size << 40)[found].view(np.uint64)
-        outcome[found] = 2
-        # order 1
-        context = _contexts(before)
-        known = seen.context[(every + lanes.start << _HASH) + context].astype(np.int64)
-        buckets = (known >> 25 & 0x3C).astype(np.int8)
-        keys = (context << MOST_BITS).astype(np.uint32) | now
-        at = np.empty(now.shape, np.int64)
-        pairs = seen.pairs
-        edges = np.searchsorted(pairs.heads, np.arange(lanes.start, lanes.stop + 1) * size)
-        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            at[i] = np.searchsorted(pairs.head_keys[a:b], keys[i])
-        at = np.minimum(at + edges[:-1, None], len(pairs.heads) - 1)
-        found = pairs.head_keys[at] == keys
-        found &= at < edges[1:, None]
-        run, known = pairs.head_runs[at[found]] & _RUN, known[found]
-        inner[found] = ((run >> 14) - (known >> 14 & _BEGIN) | (run & _SIZE) << 20 | (known & _SIZE) << 40).view(np.uint64)
-        outcome[found] = 1
+class _Places:
+    """Of every entry of some lanes, the number of its value among the lane's sorted ones (of_entry), and the numbers of the first value and behind the last of its context."""
+
+    def __init__(self, keys: np.ndarray, high: int = 0) -> None:
+        lanes, size = keys.shape
+        made = keys << 13
+        made |= np.arange(size, dtype=made.dtype)
+        made.sort(axis=1)
+        back = ((made & ((1 << 13) - 1)) + np.arange(lanes)[:, None] * size).reshape(-1)
+        made >>= 13
+        head = np.ones(keys.shape, bool)
+        np.not_equal(made[:, 1:], made[:, :-1], out=head[:, 1:])
+        number = (np.cumsum(head, axis=1, dtype=np.int32) - 1).reshape(-1)
+        self.shape, self.of_entry = keys.shape, np.empty(lanes * size, np.int32)
+        self.of_entry[back] = number
+        if high:
+            made >>= high
+            np.not_equal(made[:, 1:], made[:, :-1], out=head[:, 1:])
+            at = np.append(head.reshape(-1).nonzero()[0], lanes * size)
+            both = np.empty(lanes * size, np.int32)
+            both[back] = np.repeat(number[at[:-1]] | (number[at[1:] - 1] + 1) << 16, np.diff(at))
+            self.first, self.last = (both & 0xFFFF).reshape(keys.shape), (both >> 16).reshape(keys.shape)
+        self.of_entry = self.of_entry.reshape(keys.shape)
+
+    def shown(self, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a lane's first entries, how many have values below each number, with the count of these values in the upper half; and where each lane begins."""
+        lanes, size = self.shape
+        base = np.arange(lanes, dtype=np.int32)[:, None] * np.int32(size + 1)
+        count = np.bincount((self.of_entry[:, :start] + (base + 1)).reshape(-1), minlength=lanes * (size + 1)).astype(np.int32)
+        count += (count > 0).astype(np.int32) << 16
+        return np.cumsum(count.reshape(lanes, size + 1), axis=1, dtype=np.int32).reshape(-1), base
+
+
+def _fallbacks(shown: np.ndarray, new: np.ndarray, rounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the ids of some lanes, by position and lane: four times the order-1 bucket, the outcome if order 2 fails, its interval."""
+    ids = shown.astype(np.int64)
+    inner = new.take(ids, mode="clip")
+    outcome, buckets = np.full(shown.shape, 3, np.int8), np.zeros(shown.shape, np.int8)
+    if len(rounds) > 1:
+        keys = ids.copy()
+        keys[:, 1:] |= _contexts(ids[:, :-1]) << MOST_BITS
+        keys[:, 0] |= _contexts(np.zeros(1, np.int64))[0] << MOST_BITS
+        pairs = _Places(keys, MOST_BITS)
+        singles = _Places(ids if len(new) > 1 << 17 else ids.astype(np.int32))
+        for start, end in rounds[1:]:
+            some = slice(start, end)
+            # order 0
+            below, base = singles.shown(start)
+            at = singles.of_entry[:, some] + base
+            begin = below.take(at) & 0xFFFF
+            size = (below.take(at + 1) & 0xFFFF) - begin
+            found = size > 0
+            of_0 = begin.astype(np.int64) | size.astype(np.int64) << 20 | start << 40
+            # order 1
+            below, base = pairs.shown(start)
+            at = pairs.of_entry[:, some] + base
+            begin, size = below.take(at), below.take(at + 1)
+            size = (size & 0xFFFF) - (begin & 0xFFFF)
+            first = below.take(pairs.first[:, some] + base)
+            both = below.take(pairs.last[:, some] + base) - first
+            n = both & 0xFFFF
+            buckets[:, some] = (_BUCKET.take(n, mode="clip") + 6 * ((both >> 15 & ~1) <= n) * (n > 0)) << 2
+            better = size > 0
+            of_1 = (begin - first & 0xFFFF).astype(np.int64) | size.astype(np.int64) << 20 | n.astype(np.int64) << 40
+            inner[:, some] = np.where(better, of_1, np.where(found, of_0, inner[:, some].view(np.int64))).view(np.uint64)
+            outcome[:, some] = 3 - np.maximum(found, better.view(np.int8) << 1)
     return buckets.T, outcome.T, inner.T
 
 
@@ -238,54 +309,45 @@ def encode(ids: np.ndarray, block: int = BLOCK, bits: int | None = None) -> dict
     shown.reshape(-1)[: len(ids)] = ids
     kinds, exponents = header(shown.reshape(-1), bits) if n else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
     weight = np.uint64(1) << exponents.astype(np.uint64)
-    new = np.cumsum(weight) - weight | weight << np.uint64(20) | weight.sum() << np.uint64(40)
-    rank = np.zeros(1 << bits, np.int32)
-    rank[kinds] = np.arange(len(kinds))
+    new = np.zeros(1 << bits, np.uint64)
+    new[kinds] = np.cumsum(weight) - weight | weight << np.uint64(20) | weight.sum() << np.uint64(40)
+    size = int(sizes.max()) if n else 0
+    buckets, outcomes, inners = (np.empty((size, n), kind) for kind in (np.int8, np.int8, np.uint64))
+    for i in range(0, n, _LANES_AT_ONCE):
+        some = slice(i, i + _LANES_AT_ONCE)
+        buckets[:, some], outcomes[:, some], inners[:, some] = _fallbacks(shown[some, :size], new, _rounds(size))
     model = _Model(n, bits)
     low, reach = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     lanes_said: list[np.ndarray] = []
     words_said: list[np.ndarray] = []
     every = np.arange(n, dtype=np.int32)
-    part = np.uint64((1 << 20) - 1)
-    context = np.zeros(n << _HASH, np.int32)
-    seen = None
-    for fresh, start, end in _parts(int(sizes.max()) if n else 0):
-        if fresh and start:
-            seen = None  # before the next one is made
-            seen = _Frequencies(shown[:, :start], context)
-        now = shown[:, start:end]
-        before = np.zeros_like(now)
-        before[:, 1:] = now[:, :-1]
-        if start:
-            before[:, 0] = shown[:, start - 1]
-        buckets, outcomes, inners = (np.empty((end - start, n), kind) for kind in (np.int8, np.int8, np.uint64))
-        at_once = max(1, min((1 << 21) // len(kinds), (1 << 17) // (end - start)))
-        for i in range(0, n, at_once):
-            some = slice(i, min(n, i + at_once))
-            buckets[:, some], outcomes[:, some], inners[:, some] = _fallbacks(seen, some, now[some], before[some], new, rank, len(kinds))
-        columns = np.ascontiguousarray(now.T, dtype=np.int64)
-        # all ids are known here, and so where order 2 looks
-        behind = np.concatenate((model.back[None], model.last[None], columns))
-        places = _order2(behind[1:-1], behind[:-2]) + model.base2
-        del behind
+    for start in range(0, size, _STEPS):
+        end = min(size, start + _STEPS)
+        ids_now = np.ascontiguousarray(shown[:, start:end].T, dtype=np.int64)
+        hit, known = model.follow(ids_now, buckets[start:end])
+        outcome = np.where(hit, np.int8(0), outcomes[start:end])
+        counts = model.count(known, outcome)
+        possible = _POSSIBLE.take(known)
+        possible[: max(0, _FIRST - start)] &= _KNOWN[0] | _FRESH  # nothing else is known yet
+        counts &= possible
+        ends = counts * _FIELDS
+        total = ends >> _S48
+        shift = (outcome.astype(np.int64) << 4).view(np.uint64)
+        begin = (ends << _S16) >> shift & _FIELD
+        width = (ends >> shift & _FIELD) - begin
+        inner = np.where(hit, _CERTAIN, inners[start:end])
+        inner_total, inner_begin, inner_width = inner >> np.uint64(40), inner & _TWENTY, inner >> np.uint64(20) & _TWENTY
         for t in range(end - start):
-            x = columns[t]
-            ends, total = model.predict(buckets[t], seen is None, places[t])
-            hit = model.p2 >> 2 == x
-            outcome = np.where(hit, 0, outcomes[t].astype(np.int64))
-            inner = np.where(hit, _CERTAIN, inners[t])
-            at = (outcome << 4).view(np.uint64)
-            begin = (ends << _S16) >> at & _FIELD
-            r = reach // total
-            low += r * begin
-            reach = r * ((ends >> at & _FIELD) - begin)
-            r = reach // (inner >> np.uint64(40))
-            low += r * (inner & part)
-            reach = r * (inner >> np.uint64(20) & part)
-            model.update(x, outcome)
+            r = reach // total[t]
+            low += r * begin[t]
+            reach = r * width[t]
+            r = reach // inner_total[t]
+            low += r * inner_begin[t]
+            reach = r * inner_width[t]
             out, word = _shift(low, reach)
             lanes_said.append(out.astype(np.int32))
             words_said.append(word.astype(np.uint32))
+    del buckets, outcomes, inners, model
     for word in (low >> _S32, low & _LOW):
         lanes_said.append(every)
         words_said.append(word.astype(np.uint32))
@@ -306,7 +368,7 @@ def decode(segment: dict) -> np.ndarray:
     kinds = segment["kinds"].astype(np.int64)
     weight = 1 << segment["exponents"].astype(np.int64)
     prior = np.cumsum(weight) - weight
-    of_part = np.repeat(np.arange(len(kinds)), weight)
+    of_part = np.repeat(kinds | prior << 20 | weight << 40, weight)
     model = _Model(n, bits)
     low, reach = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     code = data[at] << _S32 | data[at + 1]
@@ -322,9 +384,10 @@ def decode(segment: dict) -> np.ndarray:
         known = none
         if start:
             seen = _Frequencies(shown[:, :start], context)
+            behind = n * start  # orders' runs are one behind the other
+            seen.singles.head_runs += behind << 34
             runs = np.concatenate((seen.pairs.runs(), seen.singles.runs()))
             base = every * start
-            base_single = base + n * start
             del seen
         # by outcome: parts of the second step; order 1 has its own per lane
         totals = np.array([1, 1, max(start, 1), len(of_part)], np.int64)
@@ -342,27 +405,28 @@ def decode(segment: dict) -> np.ndarray:
             reach = r * ((ends >> shift & _FIELD) - begin)
             parts = totals.take(outcome, mode="clip")
             first = outcome == 1
-            x = model.p2 >> 2
             if start:
                 parts = np.where(first, known & _SIZE, parts)
             r = reach // parts.view(np.uint64)
             value = np.minimum(((code - low) // r).view(np.int64), parts - 1)
-            lower, width = np.zeros(n, np.int64), np.ones(n, np.int64)
             if start:
-                into = known >> 14 & _BEGIN
-                run = runs.take(value + np.where(first, base + into, base_single), mode="clip")
-                x = np.where(outcome > 0, run >> 28, x)
-                lower = np.where(first, (run >> 14 & _SIZE) - into, run >> 14 & _SIZE)
+                into = np.where(first, known >> 14 & _BEGIN, behind)
+                run = runs.take(value + base + into, mode="clip")
+                x = run >> 14 & _ID
+                lower = (run >> 34) - into
                 width = run & _SIZE
                 sure = (outcome == 0).nonzero()[0]
+                x[sure] = model.p2.take(sure, mode="clip") >> 2
                 lower[sure] = 0
                 width[sure] = 1
+            else:
+                x, lower, width = model.p2.astype(np.int64) >> 2, np.zeros(n, np.int64), np.ones(n, np.int64)
             new = (outcome == 3).nonzero()[0]
             if len(new):
-                which = of_part.take(value[new], mode="clip")
-                x[new] = kinds.take(which, mode="clip")
-                lower[new] = prior.take(which, mode="clip")
-                width[new] = weight.take(which, mode="clip")
+                which = of_part.take(value.take(new, mode="clip"), mode="clip")
+                x[new] = which & _ID
+                lower[new] = which >> 20 & _ID
+                width[new] = which >> 40
             low += lower.view(np.uint64) * r
             reach = width.view(np.uint64) * r
             columns[t] = x

@@ -17,14 +17,17 @@ import json
 import re
 import unicodedata
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 
+from lexispark.llm import phrases
 from lexispark.llm import textvec as tv
 
 KEPT_BYTES = 48 << 20
 AT_ONCE = 1 << 14
+_LISTS = 512  # few enough to start no garbage collection
 _PIECE_BYTES = 76  # of a piece in the table at half load, but for its ids
 
 _UNKNOWN, _LETTER, _DIGIT, _SIGN, _SPACE, _WHITE = range(6)
@@ -221,20 +224,34 @@ class PieceEncoder:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_pattern = re.compile(b"|".join(map(re.escape, longest_first))) if self.added else None
         self.kept_bytes = kept_bytes
-        self._hold(*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int32, np.uint32, np.int32)))
+        self.learned = 0
+        self._hold(*(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int32, np.uint32, np.int32, np.int32)))
 
-    def _hold(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, hits: np.ndarray, ids: np.ndarray) -> None:
-        self.key, self.check, self.hits, self.ids = (_Growing(x) for x in (key, check, hits, ids))
+    def _hold(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, hits: np.ndarray, ids: np.ndarray, serial: np.ndarray) -> None:
+        self.key, self.check, self.hits, self.ids, self.serial = (_Growing(x) for x in (key, check, hits, ids, serial))
         self.first = _Growing(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
         self.table = _Table(max(1 << 16, 2 * len(key)))
         self.table.put(key, check, np.arange(len(key), dtype=np.int32))
 
+    def renumber(self) -> None:
+        """Count pieces from 1 again: numbers hold from here to the next call."""
+        self.learned = self.hits.n
+        self.serial = _Growing(np.arange(1, self.learned + 1, dtype=np.int32))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
+        return self.encode_marked(texts)[:2]
+
+    def encode_marked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the number of ids of each text, and marks of the ids by piece (see `phrases`)."""
+        ids, sizes, mark = self._encode_texts(texts)
+        return ids, sizes, np.full(len(ids), phrases.ALONE, np.int32) if mark is None else mark
+
+    def _encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         n = len(texts)
         if not self.by_piece:
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.array(x, np.int32) for x in [[], *made]]), np.array([len(x) for x in made], np.int64)
+            return np.concatenate([np.array(x, np.int32) for x in [[], *made]]), np.array([len(x) for x in made], np.int64), None
         buf, off = tv.text_bytes(texts)
         found = self._added(buf, off)
         if not found:
@@ -242,21 +259,23 @@ class PieceEncoder:
         # the texts between added tokens, and the tokens, are encoded side by side; then the tokens' ids take the place of their letters'
         start, stop, token = (np.array(x, np.int64) for x in zip(*found, strict=True))
         edges = np.sort(np.concatenate((off, start, stop)))
-        ids, sizes = self._encode(buf, edges)
+        ids, sizes, mark = self._encode(buf, edges)
         own = np.searchsorted(edges, start, side="right") - 1
         head = np.cumsum(sizes) - sizes
         after = sizes.copy()
         after[own] = 1
         place = np.cumsum(after) - after
         out = np.empty(int(after.sum()), np.int32)
+        marks = np.full(len(out), phrases.ALONE, np.int32)
         rest = np.ones(len(sizes), bool)
         rest[own] = False
         keep = np.flatnonzero(rest & (sizes > 0))
         at = np.repeat(place[keep] - (np.cumsum(sizes[keep]) - sizes[keep]), sizes[keep]) + np.arange(int(sizes[keep].sum()))
         out[at] = _spans(ids, head[keep], sizes[keep])
+        marks[at] = _spans(mark, head[keep], sizes[keep])
         out[place[own]] = token
         total = np.concatenate(([0], np.cumsum(after)))
-        return out, np.diff(total[np.searchsorted(edges, off)])
+        return out, np.diff(total[np.searchsorted(edges, off)]), marks
 
     def _added(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
         """Start, end and id of the added tokens in the texts, leftmost and longest first; none spans two texts."""
@@ -274,10 +293,10 @@ class PieceEncoder:
             out.append((m.start(), m.end(), self.added[m[0]]))
         return out
 
-    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As `encode`, of texts without added tokens."""
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `encode_marked`, of texts without added tokens."""
         if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64), np.zeros(0, np.int32)
         begin, end, plain = cut(buf, off)
         key, check = identity(buf, begin, end)
         number = self.table.find(key, check)
@@ -301,9 +320,10 @@ class PieceEncoder:
         ids = _spans(self.ids.held, first, size)
         total = np.concatenate(([0], np.cumsum(size)))
         sizes = np.diff(total[np.searchsorted(begin, off)])
+        mark = phrases.marks(self.serial.held[number], size)
         if self.hits.n * _PIECE_BYTES + 4 * self.ids.n > self.kept_bytes:
             self._forget()
-        return ids, sizes
+        return ids, sizes, mark
 
     def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, plain: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
         sizes = np.zeros(len(begin), np.int64)
@@ -321,8 +341,10 @@ class PieceEncoder:
         self.hits.append(np.zeros(len(begin), np.uint32))
         self.key.append(key)
         self.check.append(check)
+        self.serial.append(np.arange(self.learned + 1, self.learned + 1 + len(begin), dtype=np.int32))
+        self.learned += len(begin)
         if self.hits.n > self.table.room():
-            self._hold(self.key.all(), self.check.all(), np.diff(self.first.all()), self.hits.all(), self.ids.all())
+            self._hold(self.key.all(), self.check.all(), np.diff(self.first.all()), self.hits.all(), self.ids.all(), self.serial.all())
         else:
             self.table.put(key, check, np.arange(count, self.hits.n, dtype=np.int32))
 
@@ -330,16 +352,20 @@ class PieceEncoder:
         """Ids of pieces of one pre-token each, and their numbers; their letters are made for all at once, parted by that of a line end."""
         if not len(begin):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        tokenize = self.tokenizer.model.tokenize
-        made: list[list[int]] = []
+        tokenize, number = self.tokenizer.model.tokenize, attrgetter("id")
+        ids: list[np.ndarray] = []
+        sizes: list[int] = []
         for i in range(0, len(begin), AT_ONCE):
             size = end[i : i + AT_ONCE] - begin[i : i + AT_ONCE]
             joined = np.full(int(size.sum()) + len(size), 0x0A, np.uint8)
             joined[np.repeat(np.arange(len(size)), size) + np.arange(int(size.sum()))] = _spans(buf, begin[i : i + AT_ONCE], size)
             two = np.stack((np.ones(len(joined), bool), _LENGTHS[joined] == 2), axis=1)
             words = _LETTERS[joined][two].tobytes().decode().split(_LINE_END)
-            made += [[t.id for t in tokenize(w)] for w in words[:-1]]
-        return np.fromiter(chain.from_iterable(made), np.int32), np.array([len(x) for x in made], np.int64)
+            for j in range(0, len(size), _LISTS):
+                made = list(map(tokenize, words[j : min(j + _LISTS, len(size))]))
+                ids.append(np.fromiter(map(number, chain.from_iterable(made)), np.int32))
+                sizes += map(len, made)
+        return np.concatenate(ids), np.array(sizes, np.int64)
 
     def _whole(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [buf[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
@@ -351,16 +377,17 @@ class PieceEncoder:
         hits, sizes = self.hits.all(), np.diff(self.first.all())
         keep = np.sort(np.argsort(hits, kind="stable")[len(hits) // 2 :])
         ids = _spans(self.ids.held, self.first.held[keep], sizes[keep])
-        self._hold(self.key.all()[keep], self.check.all()[keep], sizes[keep], hits[keep] // 2, ids)
+        self._hold(self.key.all()[keep], self.check.all()[keep], sizes[keep], hits[keep] // 2, ids, self.serial.all()[keep])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def worker_encoder(path: str, kept_bytes: int = KEPT_BYTES) -> PieceEncoder:
-    """The encoder that this worker process keeps from task to task."""
+    """The encoder that this worker process keeps from task to task; it numbers pieces anew in each."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = PieceEncoder(path)
     _ENCODERS[path].kept_bytes = kept_bytes
+    _ENCODERS[path].renumber()
     return _ENCODERS[path]

@@ -3,8 +3,8 @@
 Documents are dealt to partitions by ranges of their id and sorted, so that partition,
 segment and block numbers follow the ids (or kept in the order in which they come). Texts
 are encoded (see `pieces`), the end id is appended to each, and segments of about
-LANES * BLOCK ids (whole documents) become rows of a Parquet folder: the documents' ids and
-token counts, and the blocks of `idcoder`, each with its own checksum. Any segment can be
+LANES * BLOCK * IDS_A_SYMBOL ids (whole documents) become rows of a Parquet folder: the documents' ids and
+token counts, the alphabet of `phrases`, and the blocks of `idcoder` of its symbols, each with its own checksum. Any segment can be
 read without the others. The tokenizer's own special strings in a text are ordinary text.
 
 Defined results: null and empty texts are the end id alone; rows that repeat an id each
@@ -24,16 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm import idcoder, pieces
+from lexispark.llm import idcoder, phrases, pieces
 from lexispark.llm import textvec as tv
 from lexispark.llm.arrowmap import freeing
 from lexispark.llm.scratch import scratch_dir, shuffle_width
 
 END_ID = 0
 SLICE = 1 << 20
+IDS_A_SYMBOL = 2  # phrases leave fewer symbols than ids, and a symbol costs less the more blocks are coded side by side
 
 SEGMENT = (
-    "part int, segment int, n_tokens bigint, has_id binary, doc_ids binary, doc_tokens binary, bits int, kinds binary, "
+    "part int, segment int, n_tokens bigint, has_id binary, doc_ids binary, doc_tokens binary, symbol_ids binary, phrase_sizes binary, phrase_ids binary, bits int, kinds binary, "
     "exponents binary, block_ids binary, block_crcs binary, block_words binary, payload binary"
 )
 
@@ -44,8 +45,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _with_end(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.full(len(ids) + len(sizes), END_ID, np.int32)
+def _with_end(ids: np.ndarray, sizes: np.ndarray, end: int = END_ID) -> np.ndarray:
+    out = np.full(len(ids) + len(sizes), end, np.int32)
     keep = np.ones(len(out), bool)
     keep[np.cumsum(sizes + 1) - 1] = False
     out[keep] = ids
@@ -61,20 +62,26 @@ def _encode_partition(path: str, block: int, lanes: int, kept_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.worker_encoder(path, kept_bytes)
         part = TaskContext.get().partitionId()
-        segment, room = 0, block * lanes
-        ids, tokens, docs, named = [], [], [], []
+        whole = block * lanes * (IDS_A_SYMBOL if encoder.by_piece else 1)
+        segment, room = 0, whole
+        ids, marks, tokens, docs, named = [], [], [], [], []
 
         def row() -> pa.RecordBatch:
-            made = idcoder.encode(np.concatenate(ids), block)
+            n = sum(map(len, ids))
+            symbols, alphabet = phrases.fold(ids, marks)
+            ids.clear()
+            marks.clear()
+            made = idcoder.encode(symbols, block)
             pa.default_memory_pool().release_unused()
-            values = [part, segment, sum(map(len, ids)), np.concatenate(named).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(tokens).tobytes(), made["bits"]]
+            values = [part, segment, n, np.concatenate(named).tobytes(), np.concatenate(docs).tobytes(), np.concatenate(tokens).tobytes()]
+            values += [alphabet[k] for k in ("kinds", "sizes", "ids")] + [made["bits"]]
             values += [made[k].tobytes() for k in ("kinds", "exponents", "sizes", "crcs", "words", "payload")]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
             for rows, texts in tv.row_slices(batch, tv.filled(batch.column(1)), SLICE):
-                flat, sizes = encoder.encode(texts)
-                flat, sizes = _with_end(flat, sizes), sizes + 1
+                flat, sizes, mark = encoder.encode_marked(texts)
+                flat, mark, sizes = _with_end(flat, sizes), _with_end(mark, sizes, phrases.ALONE), sizes + 1
                 doc = rows.column(0)
                 named_now = doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
                 doc_now = doc.fill_null(0).to_numpy()
@@ -85,14 +92,15 @@ def _encode_partition(path: str, block: int, lanes: int, kept_bytes: int):
                     to = max(at + 1, int(np.searchsorted(ends, before + room, side="right"))) if not ids else int(np.searchsorted(ends, before + room, side="right"))
                     if to > at:
                         ids.append(flat[before : int(ends[to - 1])])
+                        marks.append(mark[before : int(ends[to - 1])])
                         tokens.append(sizes[at:to])
                         docs.append(doc_now[at:to])
                         named.append(named_now[at:to])
                         room -= int(ends[to - 1]) - before
                     if to < len(sizes):
                         yield row()
-                        segment, room = segment + 1, block * lanes
-                        ids, tokens, docs, named = [], [], [], []
+                        segment, room = segment + 1, whole
+                        ids, marks, tokens, docs, named = [], [], [], [], []
                     at = to
         if ids:
             yield row()
@@ -114,6 +122,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_
 def _segment_of(batch: pa.RecordBatch, i: int) -> dict:
     col = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
     return {"bits": batch.column("bits")[i].as_py(), "kinds": col("kinds", np.uint32), "exponents": col("exponents", np.uint8), "sizes": col("block_ids", np.int32), "crcs": col("block_crcs", np.uint32), "words": col("block_words", np.int32), "payload": col("payload", np.uint32)} | {
+        "alphabet": {"kinds": batch.column("symbol_ids")[i].as_py(), "sizes": batch.column("phrase_sizes")[i].as_py(), "ids": batch.column("phrase_ids")[i].as_py()},
         "named": col("has_id", np.uint8), "docs": col("doc_ids", np.int64), "tokens": col("doc_tokens", np.int64),
     }
 
@@ -126,7 +135,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
         for batch in batches:
             for i in range(batch.num_rows):
                 s = _segment_of(batch, i)
-                ids = idcoder.decode(s).astype("<u4")
+                ids = phrases.unfold(idcoder.decode(s), s["alphabet"])
                 ends = np.cumsum(s["tokens"])
                 starts = ends - s["tokens"]
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexispark.llm import idcoder as c
-from lexispark.llm import pieces
+from lexispark.llm import phrases, pieces
 from lexispark.llm import token_output as to
 from tokenizers import Tokenizer
 
@@ -133,3 +133,42 @@ def test_added_tokens_in_texts_are_tokens():
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
     assert [len(w) for w in want[1:4]] == [1, 0, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=40), min_size=1, max_size=4), st.integers(0, 12))
+def test_phrases_unfold(slices, most):
+    known = [[5], [1, 2], [2, 1, 7], [9, 9, 9, 9], [0], [3, 70_000], [1, 2, 2]]  # pieces by number less one
+    ids = [np.array([i for p in s for i in known[p]], np.int32) for s in slices]
+    marks = [phrases.marks(np.array(s, np.int32) + 1, np.array([len(known[p]) for p in s], np.int64)) for s in slices]
+    symbols, alphabet = phrases.fold(ids, marks, most)
+    want = np.concatenate(ids)
+    assert (phrases.unfold(symbols, alphabet) == want).all()
+    assert len(symbols) <= len(want) and symbols.max(initial=0) < max(most, len(np.unique(want)), 1)
+    every = [p for s in slices for p in s]
+    fewer = sum((len(known[p]) - 1) * every.count(p) for p in set(every) if every.count(p) >= phrases.LEAST)
+    assert most < 12 or len(symbols) == len(want) - fewer
+
+
+@pytest.mark.parametrize("kept", [pieces.KEPT_BYTES, 2000])
+def test_marks_name_the_same_ids(kept):
+    e = pieces.PieceEncoder(to.vocabulary_path(), kept)
+    named, begun = {}, 0
+    for some in (TEXTS, TEXTS[::-1], [f"zorgan{'pqxz'[i % 4]}thine quibble{'wv'[i % 2]}ax" for i in range(500)], TEXTS):
+        ids, _, mark = e.encode_marked(pa.array(some))
+        start = np.flatnonzero(mark != phrases.INSIDE)
+        for a, b in zip(start, [*start[1:], len(ids)]):
+            assert mark[a] > 0 if b - a > 1 else mark[a] == phrases.ALONE
+            if mark[a]:
+                begun += 1
+                assert named.setdefault(int(mark[a]), ids[a:b].tolist()) == ids[a:b].tolist()
+    assert len(named) < begun
+
+
+def test_frequent_pieces_are_coded_as_one_symbol(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Quibblewax {i} zorganthine, quibblewax frumptuously") for i in range(300)], "doc_id long, text string").coalesce(1)
+    to.write_tokens(docs, str(tmp_path / "t"), to.vocabulary_path(), by_id=False)
+    row = spark.read.parquet(str(tmp_path / "t")).first()
+    assert 3 * np.frombuffer(row.block_ids, np.int32).sum() < 2 * row.n_tokens
+    got = sorted(tuple(r) for r in to.read_documents(spark, str(tmp_path / "t")).collect())
+    assert got == sorted(plain([tuple(r) for r in docs.collect()]))
