@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,12 +109,14 @@ def record(docs: DataFrame, number: str) -> DataFrame:
     return docs.where(F.col("pnum") == tx.catalogue_number(F.lit(number)))
 
 
-def by_identifier(docs: DataFrame, wanted: str) -> DataFrame:
-    """The document of an id, TM number or hybrid name, as given or with ; for ."""
-    exact = docs.where((F.col("id") == wanted) | (F.col("tm") == wanted) | (F.col("hybrid") == wanted))
-    dotted = wanted.replace(";", ".")
-    loose = docs.where((F.replace("id", F.lit(";"), F.lit(".")) == dotted) | (F.replace("hybrid", F.lit(";"), F.lit(".")) == dotted))
-    return relational.tiers([p.withColumn("one", F.lit(1)) for p in (exact, loose)], ["one"]).drop("one", "tier")
+def by_identifier(docs: DataFrame, *wanted: str) -> DataFrame:
+    """The documents of ids, TM numbers or hybrid names, as given or else with ; for . ; a document that several of them name is there once."""
+    dotted = lambda c: F.replace(c, F.lit(";"), F.lit("."))
+    exact = [(F.col("id") == x) | (F.col("tm") == x) | (F.col("hybrid") == x) for x in wanted]
+    loose = [(dotted("id") == x.replace(";", ".")) | (dotted("hybrid") == x.replace(";", ".")) for x in wanted]
+    known = docs.agg(*[F.coalesce(F.bool_or(x), F.lit(False)).alias(f"known{i}") for i, x in enumerate(exact)])
+    hit = functools.reduce(operator.or_, [x | (y & ~F.col(f"known{i}")) for i, (x, y) in enumerate(zip(exact, loose, strict=True))])
+    return docs.join(F.broadcast(known)).where(hit).select(*docs.columns)  # one row
 
 
 def edition_marks(words: DataFrame, base: str, modern: list[str], majority: int = 4) -> DataFrame:
