@@ -14,9 +14,14 @@ def sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def catalogued(catalogue: DataFrame, texts: DataFrame, scope: Column, number: str = "number", least: int = 30) -> DataFrame:
-    """Catalogue records in scope with their text, met by the normalised catalogue number; texts of `least` characters and more."""
-    keyed = texts.select(tx.catalogue_number(F.col(number)).alias("pnum"), "text").where(F.length("text") >= least)
-    return catalogue.where(scope).withColumn("pnum", tx.catalogue_number(F.col(number))).join(keyed, "pnum")
+    """Catalogue records in scope with their text, met by all digits of the catalogue number; texts of `least` characters and more.
+
+    pnum has six digits, so that longer numbers may share one.
+    """
+    digits = tx.catalogue_digits(F.col(number)).alias("_digits")
+    keyed = texts.select(digits, "text").where(F.length("text") >= least)
+    records = catalogue.where(scope).select("*", digits, tx.catalogue_number(F.col(number)).alias("pnum"))
+    return records.join(keyed, "_digits").drop("_digits")
 
 
 def in_scope(genre: Column, subgenre: Column, genres: list[str], keywords: list[str]) -> Column:

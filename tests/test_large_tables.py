@@ -26,3 +26,12 @@ def part(key, name="red rod", brand="Brand#1", kind="SMALL", size=1):
 def test_a_part_that_two_identifiers_name_is_one(spark, tmp_path):
     rows = [part(12, brand="Brand#12"), part(13, brand="Brand#12"), part(14)]
     assert len(same(spark, tmp_path, "by_identifier", part=(rows, PART))) == 2
+
+
+DOCUMENTS = "doc_id long, text string"
+
+
+def test_catalogue_numbers_of_seven_digits_meet_their_own_text(spark, tmp_path):
+    parts = [part(k) for k in (12, 100_000, 1_000_001, 1_000_002, 1_000_003)]
+    texts = [(k, f"text {k} " + "x" * (30 + k % 10)) for k in (12, 100_000, 1_000_002, 1_000_004)]
+    assert len(same(spark, tmp_path, "catalogue_texts", part=(parts, PART), documents=(texts, DOCUMENTS))) == 3
