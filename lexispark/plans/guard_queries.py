@@ -63,10 +63,10 @@ WITH r AS (SELECT p_type, p_size % 6 + 1 AS s, p_partkey, p_name, row_number() O
 SELECT p_type AS book, s::INTEGER AS section_no, 'Part ' || s AS section, n::INTEGER AS row_no, p_name || ',' || p_partkey AS cells FROM r""")
 def fact_check_ledger(spark, sf):
     p = table(spark, sf, "part")
-    s = F.col("p_size") % 6 + 1
-    rows = p.select(F.col("p_type").alias("book"), (s * 1_000_000 + F.col("p_partkey")).alias("line_no"), F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |")).alias("text"))
+    s, room = F.col("p_size") % 6 + 1, 10**12  # lines of a section, more than there are keys
+    rows = p.select(F.col("p_type").alias("book"), (s * room + F.col("p_partkey")).alias("line_no"), F.concat(F.lit("| "), "p_name", F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |")).alias("text"))
     heads = p.select(F.col("p_type").alias("book"), s.alias("s")).distinct()
-    line = lambda at, text: heads.select("book", (F.col("s") * 1_000_000 + at).cast("bigint").alias("line_no"), text.alias("text"))
+    line = lambda at, text: heads.select("book", (F.col("s") * room + at).cast("bigint").alias("line_no"), text.alias("text"))
     title = F.concat(F.lit("## "), F.col("s").cast("string"), F.lit(". Part "), F.col("s").cast("string"))
     lines = rows.unionByName(line(-9, title)).unionByName(line(-8, F.lit("| Name | Id |"))).unionByName(line(-7, F.lit("|---|---|"))).unionByName(line(-9_000, F.lit("prose")))
     return shelf.ledger(lines).withColumn("cells", F.array_join("cells", ","))

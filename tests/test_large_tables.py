@@ -35,3 +35,8 @@ def test_catalogue_numbers_of_seven_digits_meet_their_own_text(spark, tmp_path):
     parts = [part(k) for k in (12, 100_000, 1_000_001, 1_000_002, 1_000_003)]
     texts = [(k, f"text {k} " + "x" * (30 + k % 10)) for k in (12, 100_000, 1_000_002, 1_000_004)]
     assert len(same(spark, tmp_path, "catalogue_texts", part=(parts, PART), documents=(texts, DOCUMENTS))) == 3
+
+
+def test_sections_of_a_ledger_keep_keys_of_seven_digits(spark, tmp_path):
+    parts = [part(k, name=f"rod {k}", size=k % 7) for k in (*range(5), *range(999_990, 1_000_010), 2_000_003, 7_000_000)]
+    assert len(same(spark, tmp_path, "fact_check_ledger", part=(parts, PART))) == 27
