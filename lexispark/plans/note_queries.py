@@ -90,7 +90,7 @@ SELECT k AS doc_id, CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN '«' || word || '»
   CASE WHEN k % 7 = 0 THEN 'NO-REF' WHEN k % 11 = 0 THEN CASE WHEN known THEN 'LSJ-OK' ELSE 'LSJ-MISS' END WHEN k % 13 = 0 THEN 'NO-REF' WHEN k % 5 = 0 THEN
     CASE WHEN next_body IS NULL THEN 'MISMATCH' WHEN contains(lower(next_body), lower(body)) THEN 'MATCH' ELSE 'CITATION-PRECISION' END ELSE 'MATCH' END AS status FROM j""")
 def quote_audit(spark, sf):
-    """Quotations with the right place, the next one, none, one too far off, or a false one that is nearer; and terms."""
+    """Quotations with the right place, the next one, none, one too far off, or a false one that is nearer, of a chapter that no table has; and terms."""
     p = table(spark, sf, "part")
     at = lambda n: (1 + F.floor(F.col("p_partkey") / 20)).cast("int") if n == "chapter" else (1 + F.col("p_partkey") % 20).cast("int")
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
@@ -99,7 +99,7 @@ def quote_audit(spark, sf):
     place = lambda n: F.concat(F.lit("Genesis "), F.col("chapter").cast("string"), F.lit(":"), (F.col("verse") + n).cast("string"))
     said = F.concat(F.lit("«"), "body", F.lit("»"))
     text = F.when(k % 7 == 0, said).when(k % 11 == 0, F.concat(F.lit("The word «"), "word", F.lit("» (Genesis 1:1)"))).when(k % 13 == 0, F.concat(said, F.repeat(F.lit(" and on"), F.lit(60)), place(0)))
-    text = text.when(k % 5 == 0, F.concat(said, F.lit(" ("), place(1), F.lit(")"))).when(k % 3 == 0, F.concat(F.lit("Against Genesis 999:1, "), said, F.lit(" stands in "), place(0))).otherwise(F.concat(said, F.lit(" ("), place(0), F.lit(")")))
+    text = text.when(k % 5 == 0, F.concat(said, F.lit(" ("), place(1), F.lit(")"))).when(k % 3 == 0, F.concat(F.lit("Against Genesis 0:1, "), said, F.lit(" stands in "), place(0))).otherwise(F.concat(said, F.lit(" ("), place(0), F.lit(")")))
     docs = table(spark, sf, "orders").join(v, F.col("o_custkey") == F.col("p_partkey")).select(k.alias("doc_id"), text.alias("text"))
     return passages.quote_audit(docs, v, v.where("p_size % 2 = 0"), "«[^»]+»").select("doc_id", "quote", "ref", "status")
 

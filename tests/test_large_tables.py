@@ -40,3 +40,9 @@ def test_catalogue_numbers_of_seven_digits_meet_their_own_text(spark, tmp_path):
 def test_sections_of_a_ledger_keep_keys_of_seven_digits(spark, tmp_path):
     parts = [part(k, name=f"rod {k}", size=k % 7) for k in (*range(5), *range(999_990, 1_000_010), 2_000_003, 7_000_000)]
     assert len(same(spark, tmp_path, "fact_check_ledger", part=(parts, PART))) == 27
+
+
+def test_a_false_reference_stays_false_with_a_thousand_chapters(spark, tmp_path):
+    parts = [part(k, name=f"{'red' if k % 40 else 'hot'} rod", size=k % 3) for k in range(19_950, 20_010)]
+    orders = [(k, 19_950 + k // 10) for k in range(600)]
+    assert len(same(spark, tmp_path, "quote_audit", part=(parts, PART), orders=(orders, "o_orderkey long, o_custkey long"))) == 600
