@@ -232,20 +232,27 @@ def tei_segments(docs: DataFrame, verses: int = 12) -> DataFrame:
 
 
 def papyri(docs: DataFrame) -> DataFrame:
-    """id, tm, hybrid, langs, text of EpiDoc files; texts under three characters dropped; one row per id, of the first path."""
+    """id, tm, hybrid, langs, text of EpiDoc files; texts under three characters dropped; one row per id, of the first path.
 
-    def parse(path: str, content: bytes) -> list[tuple]:
-        root = ET.fromstring(content)
+    A file is a document, or a teiCorpus of many.
+    """
+
+    def document(path: str, at: int, root: ET.Element) -> tuple:
         ids: dict[str, str] = {}
         for node in root.iter():
             if _local(node.tag) == "idno":
                 ids.setdefault(node.get("type", ""), (node.text or "").strip())
         langs = sorted({v for node in root.iter() if _local(node.tag) in ("div", "ab", "foreign") for k, v in node.attrib.items() if _local(k) == "lang"})
         text = " ".join(_text_of(node) for node in root.iter() if _local(node.tag) == "div" and node.get("type") == "edition")
-        return [(path, ids.get("filename", ""), ids.get("TM", ""), ids.get("ddb-hybrid", ""), langs, text)] if len(text) >= 3 else []
+        return path, at, ids.get("filename", ""), ids.get("TM", ""), ids.get("ddb-hybrid", ""), langs, text
+
+    def parse(path: str, content: bytes) -> list[tuple]:
+        root = ET.fromstring(content)
+        own = [node for node in root if _local(node.tag) == "TEI"] if _local(root.tag) == "teiCorpus" else [root]
+        return [row for at, node in enumerate(own) if len((row := document(path, at, node))[-1]) >= 3]
 
-    rows = _parsed(docs, "path string, id string, tm string, hybrid string, langs array<string>, text string", parse)
-    return rows.groupBy("id").agg(F.min_by(F.struct("tm", "hybrid", "langs", "text"), "path").alias("r")).select("id", "r.*")
+    rows = _parsed(docs, "path string, at int, id string, tm string, hybrid string, langs array<string>, text string", parse)
+    return rows.groupBy("id").agg(F.min_by(F.struct("tm", "hybrid", "langs", "text"), F.struct("path", "at")).alias("r")).select("id", "r.*")
 
 
 def wordnet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -75,3 +75,23 @@ def test_event_lines_tolerate_only_the_last(spark, tmp_path):
         raise AssertionError("a broken line inside must be refused")
     except ValueError:
         pass
+
+
+def test_papyri_are_packed_and_read_one_by_one(spark, tmp_path):
+    tei = lambda i, text, tag="TEI": f'<{tag} xmlns="http://www.tei-c.org/ns/1.0"><idno type="filename">p.{i}</idno><idno type="TM">T{i}</idno><div type="edition">{text}</div></{tag}>'
+    pages = [("b", tei(1, "second one") + tei(3, "third") + tei(3, "later") + tei(4, "no")), ("a", tei(1, "first") + tei(2, "two"))]
+    docs = [(p, f'<teiCorpus xmlns="http://www.tei-c.org/ns/1.0">{x}</teiCorpus>'.encode()) for p, x in pages] + [("c", tei(5, "alone").encode()), ("d", b"<TEI>")]
+    got = f.papyri(spark.createDataFrame(docs, "path string, content binary")).collect()
+    assert sorted((r.id, r.tm, r.text) for r in got) == [("p.1", "T1", "first"), ("p.2", "T2", "two"), ("p.3", "T3", "third"), ("p.5", "T5", "alone")]
+
+
+def test_papyri_of_many_rows_are_few_files(spark, tmp_path, monkeypatch):
+    from lexispark import store
+    from lexispark.plans import source_queries
+
+    rows = [(k, f"name {k}") for k in range(3000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(store, "folder", lambda _: f"{tmp_path}/made")
+    got = source_queries.src_papyri(spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.tm, r.text) for r in got) == sorted((f"p.{k}", f"T{k}", n) for k, n in rows)
+    assert len(list((tmp_path / "made").rglob("*.txt"))) < 20
