@@ -149,3 +149,42 @@ def test_stemmed_index_by_brute_force(spark):
         want = {d: n for d, ts in tokens.items() if (n := sum(ts[i : i + len(ws)] == ws for i in range(len(ts))))}
         assert {r.doc_id: r.tf for r in index.matches(clause).collect()} == want
     assert spark.createDataFrame([(None,), ("Running",), ("running",), ("running",)], "t string").select(stems.stem(F.col("t")).alias("s")).collect()[2].s == "run"
+
+
+def _exchanges(monkeypatch, spark, make):
+    """How often rows are sent between tasks for each folder that make() writes, where no table is small enough to be broadcast by itself."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        plan = self._df._jdf.queryExecution().executedPlan().toString()
+        seen[path.rstrip("/").rsplit("/", 1)[-1]] = plan.count(" Exchange ") - plan.count(" Exchange SinglePartition")
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(fulltext, "RANGE_SAMPLE", 3, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = make()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return out, seen
+
+
+TEXTS = [(i, " ".join(["the", "running" if i % 2 else "runs", f"w{i % 7}", "the", "ran"] * (1 + i % 4))) for i in range(60)] + [(99, None)]
+
+
+def test_postings_are_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    index, seen = _exchanges(monkeypatch, spark, lambda: fulltext.build_index(docs, store.folder(spark)))
+    assert seen["postings"] <= 2 and seen["documents"] <= 1  # one of them deals the test's own rows
+    key = lambda d: sorted((r.term, r.doc_id, r.tf, list(r.positions)) for r in d.collect())
+    assert key(index.postings) == key(fulltext.postings(docs))
+    places = index.postings.where("term = 'the'").selectExpr("doc_id", "input_file_name() AS f").collect()
+    files = {}
+    for r in places:
+        files.setdefault(r.f, []).append(r.doc_id)
+    spans = sorted((min(d), max(d)) for d in files.values())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))  # a frequent term lies in several ranges
