@@ -188,3 +188,12 @@ def test_postings_are_sent_once(spark, monkeypatch):
         files.setdefault(r.f, []).append(r.doc_id)
     spans = sorted((min(d), max(d)) for d in files.values())
     assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))  # a frequent term lies in several ranges
+
+
+def test_stems_are_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    plain = fulltext.build_index(docs, store.folder(spark))
+    index, seen = _exchanges(monkeypatch, spark, lambda: stems.build_stemmed(plain, store.folder(spark)))
+    assert seen["postings"] == 1
+    row = index.postings.where("term = 'run' AND doc_id = 3").first()
+    assert row.tf == 4 and list(row.positions) == [1, 6, 11, 16]
