@@ -31,13 +31,14 @@ def build(index: fulltext.Index, path: str) -> ImpactIndex:
     """Write impacts by term and range, and the bounds of each range, under path."""
     stats = index.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
     stats.write.parquet(f"{path}/stats")
-    docs = index.documents.select("doc_id", "len").join(F.broadcast(stats.select("mean_len")))  # one row
     place = F.floor(F.log2(F.col("len") + 1) * STEPS).cast("bigint")
-    rows = index.postings.select("term", "doc_id", "tf").join(docs, "doc_id")
+    known = "len" in index.postings.columns
+    rows = index.postings.select("term", "doc_id", "tf", "len") if known else index.postings.select("term", "doc_id", "tf").join(index.documents.select("doc_id", "len"), "doc_id")
+    rows = rows.join(F.broadcast(stats.select("mean_len")))  # one row
     # equal high bits of the id and equal lengths are one range
     rows = rows.select("term", F.struct(place.alias("len"), F.shiftright("doc_id", RANGE_BITS).alias("ids")).alias("range"), "doc_id", _impact().alias("impact"))
     width = int(index.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(width, "term", "range", "doc_id").sortWithinPartitions("term", "range", "doc_id").write.parquet(f"{path}/impacts")
+    rows.repartitionByRange(width, "term", "range", "doc_id").sortWithinPartitions("term", "range", "doc_id").write.option("compression", "zstd").parquet(f"{path}/impacts")
     made = index.documents.sparkSession.read.parquet(f"{path}/impacts")
     bounds = made.groupBy("term", "range").agg(F.max("impact").alias("best"), F.count(F.lit(1)).alias("n"))
     bounds.repartitionByRange(width, "term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/bounds")

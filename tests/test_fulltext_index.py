@@ -197,3 +197,14 @@ def test_stems_are_sent_once(spark, monkeypatch):
     assert seen["postings"] == 1
     row = index.postings.where("term = 'run' AND doc_id = 3").first()
     assert row.tf == 4 and list(row.positions) == [1, 6, 11, 16]
+
+
+def test_impacts_are_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    plain = fulltext.build_index(docs, store.folder(spark))
+    index, seen = _exchanges(monkeypatch, spark, lambda: impacts.build(plain, store.folder(spark)))
+    assert seen["impacts"] == 1
+    first = lambda d: [(r.doc_id, round(r.score, 6)) for r in d.collect()]
+    assert first(index.top(["the", "ran"], 5)) == first(plain.search(fulltext.parse("the ran"), 5))
+    bare = fulltext.Index(plain.postings.drop("len"), plain.documents)  # an index without lengths is joined with them
+    assert first(impacts.build(bare, store.folder(spark)).top(["the", "ran"], 5)) == first(index.top(["the", "ran"], 5))
